@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from hustings.llm import bpe, jaccard, packing, quality
+from hustings.llm import bpe, jaccard, licences, packing, quality
 
-MODULES = (bpe, jaccard, quality, packing)
+MODULES = (bpe, jaccard, quality, packing, licences)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
