@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from hustings.llm import bpe, hmm, jaccard, licences, packing, quality
+from hustings.llm import bpe, hmm, jaccard, licences, packing, quality, warc
 
-MODULES = (bpe, jaccard, quality, hmm, packing, licences)
+MODULES = (bpe, jaccard, quality, warc, hmm, packing, licences)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
