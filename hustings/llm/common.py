@@ -88,9 +88,9 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(raw: np.ndarray, offsets: np.ndarray, white: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word, and for each text the index of its first word (one more at the end)."""
-    solid = ~WHITE[raw]
+    solid = ~white[raw]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     last = solid.copy()
@@ -114,17 +114,24 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         return mix(own + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def hashed_texts(batch: pa.RecordBatch, text: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first row, row after the last) of slices of about SEGMENT bytes; a longer text is a slice of its own."""
+    row, rows = 0, len(offsets) - 1
+    while row < rows:
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SEGMENT, "right")) - 1)
+        yield row, end
+        row = end
+
+
+def hashed_texts(batch: pa.RecordBatch, text: str, white: np.ndarray = WHITE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, word hashes, first word of each row) for slices of about SEGMENT bytes.
 
     A longer text is a slice of its own; its words are hashed in parts, so that the working memory follows SEGMENT.
     """
     raw, offsets = texts_of(batch.column(text))
-    row, rows = 0, len(offsets) - 1
-    while row < rows:
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SEGMENT, "right")) - 1)
+    for row, end in slices(offsets):
         part, at = raw[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
-        starts, ends, firsts = word_spans(part, at)
+        starts, ends, firsts = word_spans(part, at, white)
         if len(part) <= 2 * SEGMENT:
             hashes = word_hashes(part, starts, ends)
         else:
@@ -136,4 +143,3 @@ def hashed_texts(batch: pa.RecordBatch, text: str) -> Iterator[tuple[int, int, n
                 hashes[k:to] = word_hashes(part[low : ends[to - 1]], starts[k:to] - low, ends[k:to] - low)
                 k = to
         yield row, end, hashes, firsts
-        row = end

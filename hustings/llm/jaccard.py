@@ -1,8 +1,8 @@
 """Operator 2: n-gram Jaccard join by vertical partitioning of the global n-gram order.
 
 Documents are sets of distinct word n-grams. Equal sets form a class, and one row per class is joined. All n-grams
-have one global order, rare words first: its high bits are a rarity class from a count sketch of all words, its low
-bits a hash. The order is cut into fragments. Candidate pairs (classes that share an n-gram in their prefixes, within
+have one global order, rare ones first: its high bits are a rarity class from count sketches of all words and n-grams,
+its low bits a hash. The order is cut into fragments. Candidate pairs (classes that share an n-gram in their prefixes, within
 the length and position bounds) have their overlap counted in each fragment by itself; the partial counts are summed
 per pair and compared with the threshold in whole numbers.
 
@@ -29,69 +29,91 @@ from pyspark.sql import functions as F
 from hustings.llm.common import cut, hashed_texts, mix, table
 from hustings.llm.components import connected_components
 
-SKETCH_BITS = 24
+WORD_BITS, GRAM_BITS = 22, 24
 BLOCK_BITS = 14
 FRAGMENTS = 4
 _FACTORS = mix(np.arange(101, 165, dtype=np.uint64)) | np.uint64(1)
 
 
-def word_sketch(docs: DataFrame, text_col: str = "text", bits: int = SKETCH_BITS) -> np.ndarray:
-    """Rarity class (floor of log2 of the count) of each of 2**bits word buckets, from all words of all texts.
+def sketches(docs: DataFrame, n: int, text_col: str = "text", word_bits: int = WORD_BITS, gram_bits: int = GRAM_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Rarity classes (floor of log2 of the count) of 2**word_bits word and 2**gram_bits n-gram buckets.
 
-    An array of fixed size, whatever the corpus: buckets are counted in each task, summed per block of buckets.
+    All words and n-grams of all texts are counted. The arrays have a fixed size, whatever the corpus: buckets are
+    counted in each task, summed per block of buckets. More n-grams per bucket blur the order, never the result.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.uint32)
-        for batch in batches:
-            for _, _, hashes, _ in hashed_texts(batch, "text"):
-                at, n = np.unique(hashes >> np.uint64(64 - bits), return_counts=True)
-                total[at.astype(np.int64)] += n.astype(np.uint32)
-        for block in range(1 << (bits - BLOCK_BITS)):
-            part = total[block << BLOCK_BITS : (block + 1) << BLOCK_BITS]
+    def blocks(kind: int, total: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for block, part in enumerate(total.reshape(-1, 1 << BLOCK_BITS)):
             at = np.flatnonzero(part)
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([at.astype("<u2").tobytes()]), pa.array([part[at].astype("<u4").tobytes()])], ["block", "at", "n"])
+                dense = kind and len(at) > 1 << (BLOCK_BITS - 3)  # bytes that saturate, one for each bucket
+                n = np.minimum(part, 255).astype(np.uint8) if dense else part[at].astype("<u4")
+                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([block], pa.int32()), pa.array([b"" if dense else at.astype("<u2").tobytes()]), pa.array([n.tobytes()])], ["kind", "block", "at", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, grams = np.zeros(1 << word_bits, np.uint32), np.zeros(1 << gram_bits, np.uint32)
+        for batch in batches:
+            for _, _, hashes, firsts in hashed_texts(batch, "text"):
+                np.add.at(words, (hashes >> np.uint64(64 - word_bits)).astype(np.int64), 1)
+                if len(hashes) >= n:
+                    inside = np.ones(len(hashes) - n + 1, bool)  # not across two texts
+                    for k in range(1, n):
+                        inside[(edges := firsts[1:-1] - k)[(edges >= 0) & (edges < len(inside))]] = False
+                    np.add.at(grams, (gram_hashes(hashes, n)[inside] >> np.uint64(64 - gram_bits)).astype(np.int64), 1)
+        yield from blocks(0, words)
+        yield from blocks(1, grams)
 
     def merge(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BLOCK_BITS, np.uint64)
         for part in parts:
-            for at, n in zip(part.column("at"), part.column("n"), strict=True):
-                total[np.frombuffer(at.as_buffer(), "<u2")] += np.frombuffer(n.as_buffer(), "<u4")
+            for at, c in zip(part.column("at"), part.column("n"), strict=True):
+                if len(places := np.frombuffer(at.as_py(), "<u2")):
+                    total[places] += np.frombuffer(c.as_buffer(), "<u4")
+                else:
+                    total += np.frombuffer(c.as_buffer(), np.uint8)
         classes = np.where(total > 0, np.frexp(total.astype(float))[1] - 1, 0).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([classes.tobytes()])], ["block", "classes"])
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([classes.tobytes()])], ["kind", "block", "classes"])
 
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "block int, at binary, n binary")
-    whole = np.zeros(1 << bits, np.uint8)
-    for block, classes in counted.groupBy("block").applyInArrow(merge, "block int, classes binary").toLocalIterator():
-        whole[block << BLOCK_BITS : (block + 1) << BLOCK_BITS] = np.frombuffer(classes, np.uint8)
-    return whole
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "kind int, block int, at binary, n binary")
+    out = np.zeros(1 << word_bits, np.uint8), np.zeros(1 << gram_bits, np.uint8)
+    for kind, block, classes in counted.groupBy("kind", "block").applyInArrow(merge, "kind int, block int, classes binary").toLocalIterator():
+        out[kind][block << BLOCK_BITS : (block + 1) << BLOCK_BITS] = np.frombuffer(classes, np.uint8)
+    return out
 
 
-def shingle_keys(hashes: np.ndarray, n: int, rarity: np.ndarray) -> np.ndarray:
-    """Keys of the n-grams of one text's words, in the global order: 6 bits of rarity, 58 bits of hash."""
-    n = max(1, min(n, len(hashes)))
+def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     count = len(hashes) - n + 1
-    bits = len(rarity).bit_length() - 1
-    classes = rarity[(hashes >> np.uint64(64 - bits)).astype(np.int64)]
     with np.errstate(over="ignore"):
-        h, least = np.full(count, np.uint64(n)), np.full(count, 63, np.uint8)
-        if n <= len(_FACTORS):
-            for k in range(n):
-                h += hashes[k : k + count] * _FACTORS[k]
-                np.minimum(least, classes[k : k + count], out=least)
-    return (least.astype(np.uint64) << np.uint64(58)) | (mix(h) >> np.uint64(6))
+        h = np.full(count, np.uint64(n))
+        for k in range(n):
+            h += hashes[k : k + count] * _FACTORS[k]
+    return mix(h)
+
+
+def shingle_keys(hashes: np.ndarray, n: int, rarity: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Keys of the n-grams of one text's words, in the global order: 6 bits of rarity, 58 bits of hash.
+
+    The class is the least of the n-gram's own bucket and its words' buckets: an n-gram is no commoner than its words.
+    """
+    short = len(hashes) < n
+    n = min(n, len(hashes))
+    count = len(hashes) - n + 1
+    word_bits, gram_bits = (len(x).bit_length() - 1 for x in rarity)
+    classes = rarity[0][(hashes >> np.uint64(64 - word_bits)).astype(np.int64)]
+    grams = gram_hashes(hashes, n)
+    least = np.full(count, 63, np.uint8) if short else rarity[1][(grams >> np.uint64(64 - gram_bits)).astype(np.int64)]
+    for k in range(n):
+        np.minimum(least, classes[k : k + count], out=least)
+    return (least.astype(np.uint64) << np.uint64(58)) | (grams >> np.uint64(6))
 
 
-def pivots(rarity: np.ndarray, n: int, fragments: int) -> np.ndarray:
+def pivots(grams: np.ndarray, fragments: int) -> np.ndarray:
     """Keys that cut the global order into fragments of about equal mass, estimated from the sketch alone."""
-    mass = np.bincount(rarity[rarity > 0], minlength=64).astype(float) * 2.0 ** np.arange(64)
-    tail = (np.cumsum(mass[::-1])[::-1] / max(mass.sum(), 1)) ** n  # the share of n-grams of this class or commoner
-    edges = np.append(1 - tail, 1.0)
+    mass = np.bincount(grams[grams > 0], minlength=64).astype(float) * 2.0 ** np.arange(64)
+    edges = np.concatenate([[0.0], np.cumsum(mass)]) / max(mass.sum(), 1)
     goals = np.arange(1, fragments) / fragments
     at = np.clip(np.searchsorted(edges, goals, "right") - 1, 0, 63)
-    width = np.maximum(edges[at + 1] - edges[at], 1e-12)
-    inside = np.clip((goals - edges[at]) / width, 0, 1)
+    inside = np.clip((goals - edges[at]) / np.maximum(edges[at + 1] - edges[at], 1e-12), 0, 1)
     return np.unique((at.astype(np.uint64) << np.uint64(58)) | (inside * (2.0**58 - 1)).astype(np.uint64))
 
 
@@ -108,7 +130,7 @@ def _identity(keys: np.ndarray) -> int:
         return int(mix(np.array([one + np.uint64(3) * two + np.uint64(len(keys))], np.uint64)).view(np.int64)[0])
 
 
-def _sets(batch: pa.RecordBatch, n: int, rarity: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _sets(batch: pa.RecordBatch, n: int, rarity: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
     for first, last, hashes, words in hashed_texts(batch, "text"):
         for row in range(first, last):
             own = hashes[words[row - first] : words[row - first + 1]]
@@ -116,7 +138,7 @@ def _sets(batch: pa.RecordBatch, n: int, rarity: np.ndarray) -> Iterator[tuple[i
 
 
 def describe(docs: DataFrame, sketch, n: int, numerator: int, denominator: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, size, set, prefix): prefix holds the keys that may be shared, with their positions, of the prefix."""
+    """(id, size, set, prefix, places): the keys of the prefix that may be shared, and their places in the set."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,17 +180,20 @@ def jaccard_join(docs: DataFrame, n: int = 5, numerator: int = 80, denominator:
     copies. links: a, b (sets), overlap - enough links to connect every component; not all within a component.
     """
     spark = docs.sparkSession
-    rarity = word_sketch(docs, text_col)
-    sketch = spark.sparkContext.broadcast(rarity)  # 2**SKETCH_BITS bytes, whatever the corpus
-    cuts = pivots(rarity, n, fragments)
+    rarity = sketches(docs, n, text_col)
+    sketch = spark.sparkContext.broadcast(rarity)  # 2**WORD_BITS + 2**GRAM_BITS bytes, whatever the corpus
+    cuts = pivots(rarity[1], fragments)
     described = cut(describe(docs, sketch, n, numerator, denominator, id_col, text_col))
     members = described.select("id", "size", "set")
     filled = members.where("size > 0")
     classes = cut(filled.groupBy("set").agg(F.first("size").alias("size"), F.min("id").alias("least_id"), F.count("*").alias("copies")))
 
-    prefixes = described.where("size > 0").join(classes.select("set", "least_id"), [described["set"] == classes["set"], described["id"].eqNullSafe(classes["least_id"])], "left_semi")
-    keys = prefixes.select("set", "size", F.explode(F.arrays_zip("prefix", "places")).alias("x")).select("set", "size", F.col("x.prefix").alias("key"), F.col("x.places").alias("place")).distinct()
-    met = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("set", "size", "place")).alias("lead")).where("n > 1")
+    prefixes = described.where("size > 0").join(classes.select("set", "least_id", "copies"), [described["set"] == classes["set"], described["id"].eqNullSafe(classes["least_id"])]).select(described["set"], described["size"], "copies", "prefix", "places")
+    zipped = F.explode(F.arrays_zip("prefix", "places")).alias("x")
+    keys = prefixes.select("set", "size", "copies", zipped).select("set", "size", "copies", F.col("x.prefix").alias("key"), F.col("x.places").alias("place")).distinct()
+    # The leader is the class with the most copies: near copies gather around the text they came from.
+    order = F.struct((-F.col("copies")).alias("order"), "place", "set", "size")
+    met = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(order).alias("lead")).where("n > 1")
     shared = cut(keys.join(met, "key").select("key", "set", "size", "place", "lead"))  # keys of more than one class
     led = shared.where((F.col("set") != F.col("lead.set")) & _possible(F.col("size"), F.col("place"), F.col("lead.size"), F.col("lead.place"), numerator, denominator))
     first = cut(led.select(F.col("set").alias("a"), F.col("lead.set").alias("b"), (F.col("size") + F.col("lead.size")).alias("sizes")).distinct())

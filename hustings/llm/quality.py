@@ -54,10 +54,14 @@ def _distance(counts: list[Column], total: Column, reference: Column) -> Column:
     return F.sqrt(F.greatest(reduce(add, terms) / 2, F.lit(0.0)))
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", references: dict[str, tuple[tuple[float, ...], dict[str, float]]] = REFERENCES) -> DataFrame:
-    """One row per document: base counts and both distances (null where a guard or a missing reference applies)."""
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", references: dict[str, tuple[tuple[float, ...], dict[str, float]]] = REFERENCES, carry: bool = False) -> DataFrame:
+    """One row per document: base counts and both distances (null where a guard or a missing reference applies).
+
+    With carry, the whole input row comes along in the struct `row`, where its names can't clash.
+    """
     text, lang = F.col("text"), F.col("lang")
-    df = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).alias("lang"))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)) if carry else F.lit(None)
+    df = docs.select(F.struct(F.col(id_col).alias("id"), whole.alias("row")).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).alias("lang"))
     df = df.select(
         "id", "lang", F.length(text).alias("chars"),
         F.when(F.btrim(text, F.lit(_SPACES)) == "", F.array().cast("array<string>")).otherwise(F.split(F.btrim(text, F.lit(_SPACES)), _WS)).alias("words"),
@@ -93,7 +97,8 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     df = df.select("*", char_ref.alias("char_ref"), word_ref.alias("word_ref"), *(x.alias(f"f{k}") for k, x in enumerate(found)))
     counts = [F.col(f"f{k}") for k in range(places)]
     return df.select(
-        F.col("id").alias(id_col),
+        F.col("id.id").alias(id_col),
+        *([F.col("id.row").alias("row")] if carry else []),
         F.col("n").cast("long").alias("n_words"),
         (F.col("chars") - F.col("space")).cast("long").alias("word_chars"),
         F.col("symbol").cast("long").alias("n_symbols"),
@@ -111,6 +116,11 @@ def judge(measured: DataFrame, max_character: float = MAX_CHARACTER_DISTANCE, ma
     return measured.withColumn("base_failed", failed).withColumn("kept", ~failed & ~far)
 
 
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The input rows that are kept, with all their columns."""
+    return judge(measure(docs, id_col, text_col, lang_col, carry=True)).where("kept").select("row.*")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(measure(table(spark, sf_dir, "documents")))
 

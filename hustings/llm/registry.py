@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from hustings.llm import bpe, hmm, html, jaccard, licences, packing, quality, warc
+from hustings.llm import bpe, hmm, html, jaccard, licences, ordinal, packing, quality, warc
 
-MODULES = (bpe, jaccard, quality, html, warc, hmm, packing, licences)
+MODULES = (bpe, jaccard, quality, html, warc, ordinal, hmm, packing, licences)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
