@@ -242,6 +242,24 @@ def jaccard_join(docs: DataFrame, n: int = 5, numerator: int = 80, denominator:
     return members, placed.join(names, "group").drop("group"), links
 
 
+def first_of_each(docs: DataFrame, n: int = 5, numerator: int = 80, denominator: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input rows without near duplicates: of each component the document with the least id stays.
+
+    Rows with an empty set stay, rows without an id stay, and of repeated rows of one id one stays.
+    """
+    members, classes, _ = jaccard_join(docs, n, numerator, denominator, id_col, text_col)
+    single = members.where(F.col("id").isNotNull())
+    keepers = classes.select(F.col("component").alias("id")).unionByName(single.where("size = 0").select("id")).where(F.col("id").isNotNull()).distinct()
+    again = cut(single.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+    id_of = F.col(f"`{id_col}`")
+    ids = keepers.withColumnRenamed("id", "_keep")
+    kept = docs.join(ids, id_of == ids["_keep"], "left_semi")
+    if not again.isEmpty():
+        twice = again.withColumnRenamed("id", "_twice")
+        kept = kept.join(twice, id_of == twice["_twice"], "left_anti").unionByName(kept.join(twice, id_of == twice["_twice"], "left_semi").dropDuplicates([id_col]))
+    return kept.unionByName(docs.where(id_of.isNull()))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, classes, _ = jaccard_join(table(spark, sf_dir, "documents"), n=3, numerator=90)
     own = classes.select("set", "component")
