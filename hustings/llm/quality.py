@@ -57,13 +57,13 @@ def _distance(counts: list[Column], total: Column, reference: Column) -> Column:
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", references: dict[str, tuple[tuple[float, ...], dict[str, float]]] = REFERENCES, carry: bool = False) -> DataFrame:
     """One row per document: base counts and both distances (null where a guard or a missing reference applies).
 
-    With carry, the whole input row comes along in the struct `row`, where its names can't clash.
+    With carry, the k-th input column comes along as `in_k`, so that its name can't clash.
     """
     text, lang = F.col("text"), F.col("lang")
-    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)) if carry else F.lit(None)
-    df = docs.select(F.struct(F.col(id_col).alias("id"), whole.alias("row")).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).alias("lang"))
+    rest = [f"in_{k}" for k in range(len(docs.columns) if carry else 0)]
+    df = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in zip(docs.columns, rest, strict=False)), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).alias("lang"))
     df = df.select(
-        "id", "lang", F.length(text).alias("chars"),
+        *rest, "id", "lang", F.length(text).alias("chars"),
         F.when(F.btrim(text, F.lit(_SPACES)) == "", F.array().cast("array<string>")).otherwise(F.split(F.btrim(text, F.lit(_SPACES)), _WS)).alias("words"),
         F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
         F.regexp_replace(text, "[a-z]+", "").alias("rest"),
@@ -72,7 +72,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     window = lambda i: F.xxhash64(*(F.get("words", i + k) for k in range(5)))
     common = _by_language(lang, {name: F.array(*map(F.lit, words)) for name, (_, words) in references.items()}, "array<string>")
     df = df.select(
-        "id", "lang", "chars", "n",
+        *rest, "id", "lang", "chars", "n",
         (F.length("rest") - F.length("odd")).alias("space"),
         (F.col("chars") - F.length("rest")).alias("lower"),
         F.length("odd").alias("odd_chars"),
@@ -97,8 +97,8 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     df = df.select("*", char_ref.alias("char_ref"), word_ref.alias("word_ref"), *(x.alias(f"f{k}") for k, x in enumerate(found)))
     counts = [F.col(f"f{k}") for k in range(places)]
     return df.select(
-        F.col("id.id").alias(id_col),
-        *([F.col("id.row").alias("row")] if carry else []),
+        *rest,
+        F.col("id").alias(id_col),
         F.col("n").cast("long").alias("n_words"),
         (F.col("chars") - F.col("space")).cast("long").alias("word_chars"),
         F.col("symbol").cast("long").alias("n_symbols"),
@@ -118,7 +118,9 @@ def judge(measured: DataFrame, max_character: float = MAX_CHARACTER_DISTANCE, ma
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The input rows that are kept, with all their columns."""
-    return judge(measure(docs, id_col, text_col, lang_col, carry=True)).where("kept").select("row.*")
+    judged = judge(measure(docs, id_col, text_col, lang_col, carry=True)).withColumn("row", F.monotonically_increasing_id())
+    # A filter isn't moved below a column that counts rows; moved, it would repeat all expressions above in itself.
+    return judged.where(F.col("kept") & (F.col("row") >= 0)).select(*(F.col(f"in_{k}").alias(c) for k, c in enumerate(docs.columns)))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
