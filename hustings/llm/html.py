@@ -229,10 +229,10 @@ def labelled_pages(count: int = 400, seed: int = 11) -> list[str]:
     def links(n: int) -> str:
         return "<ul>" + "".join(f"<li><a href='/{word()}'>{words(1, 3)}</a></li>" for _ in range(n)) + "</ul>"
 
-    def block() -> str:
+    def block(longest: int) -> str:
         kind = rng.random()
         if kind < 0.72:
-            return f"<p>{words(1, 90)}.</p>"
+            return f"<p>{words(1, longest)}.</p>"
         if kind < 0.80:
             return f"<{(h := pick('h2', 'h3'))}>{words(1, 8)}</{h}>"
         if kind < 0.86:
@@ -265,12 +265,13 @@ def labelled_pages(count: int = 400, seed: int = 11) -> list[str]:
             return f"<form data-content=0><label>{words(1, 4)}</label><p>{words(1, 12)}</p><input></form>"
         if kind == "share":
             return f"<div data-content=0 class='{pick('share', 'social', 'tags', 'pagination', 'pager', 'meta')}'>{links(3)}</div>"
-        one = lambda: f"<{(t := pick('div', 'li', 'article'))} class='comment'><div class='author'>{words(1, 3)}</div><p>{words(3, 60)}.</p></{t}>"
+        one = lambda: f"<{(t := pick('div', 'div', 'li', 'li', 'article'))} class='comment'><div class='author'>{words(1, 3)}</div><p>{words(3, 60)}.</p></{t}>"
         return f"<{(t := pick('section', 'div', 'ol'))} data-content=0 {pick('class', 'id')}='{pick('comments', 'comment', 'discussion', 'replies', 'respond')}'><h3>{words(1, 4)}</h3>{''.join(one() for _ in range(rng.randrange(1, 6)))}</{t}>"
 
     out = []
     for _ in range(count):
-        body = [block() for _ in range(rng.randrange(1, 25))]
+        longest = pick(8, 30, 90)
+        body = [block(longest) for _ in range(rng.randrange(1, 25))]
         for kind in ("ad", "side", "share", "comment", "form", "notice"):
             if rng.random() < 0.2:
                 body.insert(rng.randrange(0, len(body) + 1), noise(kind))
