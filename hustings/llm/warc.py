@@ -93,17 +93,18 @@ class Members:
 
     def more(self) -> bool:
         """Inflate one more step of this member; False at its end."""
-        if self.inflate.eof or self.at >= len(self.content):
+        if self.inflate.eof:
             return False
         if self.inflate.unconsumed_tail:
-            self.buffer += self.inflate.decompress(self.inflate.unconsumed_tail, STEP)
+            step = self.inflate.unconsumed_tail
         else:
             step = self.content[self.at : self.at + STEP]
-            self.buffer += self.inflate.decompress(step, STEP)
             self.at += len(step)
+        out = self.inflate.decompress(step, STEP)
+        self.buffer += out
         if self.inflate.eof:
             self.at -= len(self.inflate.unused_data)
-        return True
+        return bool(len(step) or out)
 
     def until(self, mark: bytes) -> bytes:
         while (k := self.buffer.find(mark)) < 0:
