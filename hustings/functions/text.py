@@ -8,23 +8,24 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_ascii(values: pd.Series) -> pd.Series:
     """Compatibility decomposition, then ASCII alone."""
     folded = {x: unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode() for x in values.dropna().unique()}
     return values.map(folded)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_marks(values: pd.Series) -> pd.Series:
     """Canonical decomposition without combining marks U+0300 to U+036F; other scripts stay."""
     folded = {x: "".join(c for c in unicodedata.normalize("NFD", x) if not "̀" <= c <= "ͯ") for x in values.dropna().unique()}
     return values.map(folded)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two texts."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
