@@ -118,4 +118,32 @@ def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_licence_scan": op9_licence_scan}
-ORACLES: dict[str, str] = {}
+
+
+def _oracle() -> str:
+    rows = []
+    for notice, (label, text, keys) in enumerate(NOTICES):
+        words = text.split(" ")
+        for phrase in keys:
+            start = next(i for i in range(len(words)) if words[i : i + len(phrase.split(" "))] == phrase.split(" "))
+        rows += [f"({notice}, '{label}', '{w}', {i}, {str(w not in COMMON).upper()}, {str(start <= i < start + len(keys[0].split(' '))).upper()})" for i, w in enumerate(words)]
+    chain = {label: phrase.split(" ") for phrase, label in PHRASES.items()}
+    base = " UNION ALL ".join(f"SELECT a.doc_id, a.i, '{label}' AS label FROM tok a " + " ".join(f"JOIN tok t{k} ON t{k}.doc_id = a.doc_id AND t{k}.i = a.i + {k} AND t{k}.w = '{w}'" for k, w in enumerate(ws) if k) + f" WHERE a.w = '{ws[0]}'" for label, ws in chain.items())
+    return f"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+post (notice, label, w, posting, rare, key) AS (VALUES {', '.join(rows)}),
+tok AS (SELECT doc_id, ws[i + 1] AS w, i FROM (SELECT doc_id, ws, unnest(range(len(ws))) AS i FROM d) WHERE ws[i + 1] IN (SELECT w FROM post)),
+base AS ({base}),
+found AS (SELECT DISTINCT doc_id, w FROM tok WHERE w IN (SELECT w FROM post WHERE rare)),
+idf AS (SELECT w, ln(((SELECT count(*) FROM documents) + 1.0) / (coalesce(df, 0) + 0.5)) AS idf FROM (SELECT DISTINCT w FROM post WHERE rare) LEFT JOIN (SELECT w, count(*) AS df FROM found GROUP BY w) USING (w)),
+weight AS (SELECT notice, sum(idf) AS weight FROM post JOIN idf USING (w) WHERE rare GROUP BY notice),
+top AS (SELECT doc_id, w, idf FROM (SELECT doc_id, w, idf, row_number() OVER (PARTITION BY doc_id ORDER BY idf DESC, w) AS r FROM found JOIN idf USING (w)) WHERE r <= {RARE_WORDS}),
+met AS (SELECT doc_id, notice, i - posting AS shift, sum(idf) AS matched FROM tok JOIN top USING (doc_id, w) JOIN (SELECT * FROM post WHERE rare) USING (w) GROUP BY ALL),
+scored AS (SELECT doc_id, notice, shift, round(least(matched / weight, 1.0), 6) AS score FROM met JOIN weight USING (notice)),
+noticed AS (SELECT doc_id, label, max(score) AS score FROM (SELECT s.doc_id, s.notice, p.label, s.shift, s.score, count(*) AS stand FROM scored s JOIN post p ON p.notice = s.notice AND p.key JOIN tok t ON t.doc_id = s.doc_id AND t.i = s.shift + p.posting AND t.w = p.w WHERE score >= {LEAST_SCORE} GROUP BY ALL) v JOIN (SELECT notice, count(*) AS length FROM post WHERE key GROUP BY notice) l ON l.notice = v.notice AND l.length = v.stand GROUP BY doc_id, label),
+b AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY doc_id),
+l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM base UNION SELECT doc_id, label FROM noticed) GROUP BY doc_id),
+s AS (SELECT doc_id, max(score) AS score FROM noticed GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score FROM d LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN s USING (doc_id)"""
+
+
+ORACLES = {"op9_licence_scan": _oracle()}

@@ -124,8 +124,39 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(measure(table(spark, sf_dir, "documents")))
+    return judge(measure(table(spark, sf_dir, "documents"))).drop("character_distance", "word_distance")
 
 
 QUERIES = {"op3_quality_rules": op3_quality_rules}
-ORACLES: dict[str, str] = {}
+
+
+def _oracle() -> str:
+    """The same rules as SQL: counts of characters by stripping, windows by a join of positions."""
+    stripped = lambda pattern: f"length(text) - length(regexp_replace(text, '{pattern}', '', 'g'))"
+    patterns = {"lower": "[a-z]+", "upper": "[A-Z]+", "digit": "[0-9]+", "space": r"[\x20\x09-\x0D]+", "other_letter": r"[^\x00-\x7F]+", "symbol": "[#*$%&|<>]+"}
+    counts = ", ".join(f"{stripped(p)} AS c_{name}" for name, p in patterns.items())
+    parts = [f"c_{name}" for name in CLASSES[:-1]] + ["chars - c_lower - c_upper - c_digit - c_space - c_other_letter - c_symbol"]
+
+    def distance(values: list[str], total: str, shares: list[float]) -> str:
+        term = lambda x, m: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / ({m})) ELSE 0 END"
+        sums = []
+        for value, q in zip(values, shares, strict=True):
+            p = f"(({value}) / {total})"
+            sums += [term(p, f"({p} + {q}) / 2"), term(f"CAST({q} AS DOUBLE)", f"({p} + {q}) / 2")]
+        return f"sqrt(greatest(({' + '.join(sums)}) / 2, 0))"
+
+    far_c, far_w = "CASE lang", "CASE lang"
+    for lang, (shares, common) in REFERENCES.items():
+        far_c += f" WHEN '{lang}' THEN {distance(parts, 'chars', [x / sum(shares) for x in shares])}"
+        hits = [f"len(list_filter(ws, lambda x: x = '{w}'))" for w in common]
+        far_w += f" WHEN '{lang}' THEN {distance([*hits, 'n - ' + ' - '.join(hits)], 'n', [*common.values(), 1 - sum(common.values())])}"
+    return f"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dups FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i:i + 4], ' ')) AS times FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d)),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS repeated FROM win, range(5) r(k) WHERE times > 1 GROUP BY doc_id),
+m AS (SELECT doc_id, lang, ws, len(ws) AS n, length(text) AS chars, coalesce(dups, 0) AS dups, coalesce(repeated, 0) AS repeated, {counts} FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
+j AS (SELECT *, CASE WHEN chars >= {MIN_CHARACTERS} THEN {far_c} END END AS far_c, CASE WHEN n >= {MIN_WORDS} THEN {far_w} END END AS far_w, n < 10 OR 100 * repeated > 20 * n AS failed FROM m)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(chars - c_space AS BIGINT) AS word_chars, CAST(c_symbol AS BIGINT) AS n_symbols, CAST(dups AS BIGINT) AS n_dup_lines, CAST(repeated AS BIGINT) AS n_repeat_words, failed AS base_failed, NOT failed AND coalesce(far_c, 0) <= {MAX_CHARACTER_DISTANCE} AND coalesce(far_w, 0) <= {MAX_WORD_DISTANCE} AS kept FROM j"""
+
+
+ORACLES = {"op3_quality_rules": _oracle()}

@@ -195,4 +195,9 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_warc": op5_warc}
-ORACLES: dict[str, str] = {}
+#: Base 32 from the hexadecimal digest: five bits from two neighbouring digits.
+ORACLES = {"op5_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+bits AS (SELECT h, i, (instr('0123456789abcdef', substr(h, (5 * i) // 4 + 1, 1)) - 1) * 16 + instr('0123456789abcdef', substr(h, (5 * i) // 4 + 2, 1)) - 1 AS two, 3 - (5 * i) % 4 AS shift FROM (SELECT DISTINCT h FROM p), range(32) r(i)),
+b32 AS (SELECT h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((two >> shift) & 31 AS BIGINT) + 1, 1), '' ORDER BY i) AS payload_digest FROM bits GROUP BY h),
+g AS (SELECT h, max(page_id) AS last FROM p GROUP BY h)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM p JOIN b32 USING (h) JOIN g USING (h)"""}
