@@ -120,5 +120,5 @@ def cells(html: Column) -> Column:
     strip = lambda t: F.trim(F.regexp_replace(t, r"<[^>]+>", ""))
     pattern = r"(?is)<td[^>]*>(.*?)</td>\s*<td[^>]*>(.*?)</td>"
     pairs = F.arrays_zip(F.regexp_extract_all(html, F.lit(pattern), 1).alias("k"), F.regexp_extract_all(html, F.lit(pattern), 2).alias("v"))
-    distinct = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: strip(q["0"]) == strip(p["0"])))
-    return F.map_from_entries(F.transform(distinct, lambda p: F.struct(strip(p["0"]), strip(p["1"]))))
+    distinct = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: strip(q["k"]) == strip(p["k"])))
+    return F.map_from_entries(F.transform(distinct, lambda p: F.struct(strip(p["k"]), strip(p["v"]))))
