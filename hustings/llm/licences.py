@@ -131,7 +131,7 @@ def _oracle() -> str:
     base = " UNION ALL ".join(f"SELECT a.doc_id, a.i, '{label}' AS label FROM tok a " + " ".join(f"JOIN tok t{k} ON t{k}.doc_id = a.doc_id AND t{k}.i = a.i + {k} AND t{k}.w = '{w}'" for k, w in enumerate(ws) if k) + f" WHERE a.w = '{ws[0]}'" for label, ws in chain.items())
     return f"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
 post (notice, label, w, posting, rare, key) AS (VALUES {', '.join(rows)}),
-tok AS (SELECT doc_id, ws[i + 1] AS w, i FROM (SELECT doc_id, ws, unnest(range(len(ws))) AS i FROM d) WHERE ws[i + 1] IN (SELECT w FROM post)),
+tok AS (SELECT doc_id, w, i FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM d) WHERE w IN (SELECT w FROM post)),
 base AS ({base}),
 found AS (SELECT DISTINCT doc_id, w FROM tok WHERE w IN (SELECT w FROM post WHERE rare)),
 idf AS (SELECT w, ln(((SELECT count(*) FROM documents) + 1.0) / (coalesce(df, 0) + 0.5)) AS idf FROM (SELECT DISTINCT w FROM post WHERE rare) LEFT JOIN (SELECT w, count(*) AS df FROM found GROUP BY w) USING (w)),

@@ -148,13 +148,16 @@ def _oracle() -> str:
     far_c, far_w = "CASE lang", "CASE lang"
     for lang, (shares, common) in REFERENCES.items():
         far_c += f" WHEN '{lang}' THEN {distance(parts, 'chars', [x / sum(shares) for x in shares])}"
-        hits = [f"len(list_filter(ws, lambda x: x = '{w}'))" for w in common]
+        hits = [f"h{k}" for k in range(len(common))]
         far_w += f" WHEN '{lang}' THEN {distance([*hits, 'n - ' + ' - '.join(hits)], 'n', [*common.values(), 1 - sum(common.values())])}"
+    refs = "CASE lang " + " ".join(f"WHEN '{lang}' THEN {list(common)}" for lang, (_, common) in REFERENCES.items()) + " END"
+    places = max(len(common) for _, common in REFERENCES.values())
+    found = ", ".join(f"len(list_filter(ws, lambda x: x = ref[{k + 1}])) AS h{k}" for k in range(places))
     return f"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
 lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dups FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
-win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i:i + 4], ' ')) AS times FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d)),
+win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, key) AS times FROM (SELECT doc_id, unnest(range(1, len(ws) - 3)) AS i, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) AS key FROM d)),
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS repeated FROM win, range(5) r(k) WHERE times > 1 GROUP BY doc_id),
-m AS (SELECT doc_id, lang, ws, len(ws) AS n, length(text) AS chars, coalesce(dups, 0) AS dups, coalesce(repeated, 0) AS repeated, {counts} FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
+m AS (SELECT doc_id, lang, {found}, len(ws) AS n, length(text) AS chars, coalesce(dups, 0) AS dups, coalesce(repeated, 0) AS repeated, {counts} FROM (SELECT *, {refs} AS ref FROM d) LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
 j AS (SELECT *, CASE WHEN chars >= {MIN_CHARACTERS} THEN {far_c} END END AS far_c, CASE WHEN n >= {MIN_WORDS} THEN {far_w} END END AS far_w, n < 10 OR 100 * repeated > 20 * n AS failed FROM m)
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(chars - c_space AS BIGINT) AS word_chars, CAST(c_symbol AS BIGINT) AS n_symbols, CAST(dups AS BIGINT) AS n_dup_lines, CAST(repeated AS BIGINT) AS n_repeat_words, failed AS base_failed, NOT failed AND coalesce(far_c, 0) <= {MAX_CHARACTER_DISTANCE} AND coalesce(far_w, 0) <= {MAX_WORD_DISTANCE} AS kept FROM j"""
 
