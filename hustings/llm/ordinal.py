@@ -3,8 +3,8 @@
 One weight per hashed text feature is shared by all grades; ordered thresholds cut the score into grades, so that
 P(grade <= k) is the logistic of threshold k minus the score. A document gets its expected grade and the probability of
 the highest grade, by which documents are selected. Features are the distinct words (runs of letters) and a few shapes
-of the text, binned. The weights are fitted on at most MAX_LABELLED labelled rows (a documented bound), chosen by a
-hash of the id, in one task; scoring runs over all documents with a model whose size follows that bound.
+of the text, binned. The weights are fitted on about MAX_LABELLED labelled rows (a documented bound, twice as many at
+most), chosen by a hash of the id, in one task; scoring runs over all documents with a model whose size follows that bound.
 
 Defined results: a null or empty text has the shape features of an empty one; without any label every weight is zero
 and every document is selected; rows with a null rating are not fitted on; repeated rows are scored alike; columns of
@@ -26,8 +26,8 @@ from hustings.llm.common import WHITE, hashed_texts, mix, slices, table, texts_o
 
 BITS = 24
 MAX_LABELLED = 20_000
-LEAST_DOCUMENTS = 6
-EPOCHS, BATCH, RATE, SHRINK = 12, 128, 0.15, 1e-4
+LEAST_DOCUMENTS = 20
+EPOCHS, BATCH, RATE, SHRINK = 12, 128, 0.15, 1e-2
 LEAST_TAIL = 0.5
 
 LETTER = np.zeros(256, bool)
@@ -132,10 +132,13 @@ def fit_arrays(rows: np.ndarray, found: np.ndarray, grades: np.ndarray, n_grades
 
 
 def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", bound: int = MAX_LABELLED) -> Model:
-    """The model of documents joined with ratings (id, grade from 0), from at most `bound` rated ids."""
+    """The model of documents joined with ratings (id, grade from 0), from about `bound` rated ids, twice as many at most."""
     rated = ratings.select(F.col(id_col).alias("id"), F.col(grade_col).cast("int").alias("grade")).where("id is not null and grade is not null")
-    chosen = rated.orderBy(F.xxhash64("id"), "id", "grade").limit(bound).dropDuplicates(["id"])
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").orderBy("id", "text").select("text", "grade")
+    share = int(min(1.0, bound / max(rated.count(), 1)) * (1 << 30))
+    chosen = rated.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share).groupBy("id").agg(F.min("grade").alias("grade")).limit(2 * bound)
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    # The scan runs in as many tasks as there are; the sample, whose size is bounded, goes to one.
+    sample = sample.repartition(1).sortWithinPartitions("id", "text").select("text", "grade")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, found, grades, before = [], [], [], 0
@@ -149,7 +152,7 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc_i
             model = fit_arrays(np.concatenate(rows), np.concatenate(found), np.concatenate(grades), n_grades)
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (model.features.astype("<i8"), model.weights.astype("<f8"), model.thresholds.astype("<f8"))], ["features", "weights", "thresholds"])
 
-    found = sample.coalesce(1).mapInArrow(run, "features binary, weights binary, thresholds binary").first()
+    found = sample.mapInArrow(run, "features binary, weights binary, thresholds binary").first()
     if found is None:
         return Model(np.zeros(0, np.int64), np.zeros(0), np.full(n_grades - 1, -50.0))
     return Model(np.frombuffer(found["features"], "<i8"), np.frombuffer(found["weights"], "<f8"), np.frombuffer(found["thresholds"], "<f8"))
