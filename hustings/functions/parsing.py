@@ -70,3 +70,17 @@ def collapse_overlay(texts: pd.Series) -> pd.Series:
         return "\n".join(" ".join(map(single, x.split(" "))) for x in lines)
 
     return texts.map(one)
+
+
+def balanced_groups(numbers: Column, width: int, most: int = 2) -> Column:
+    """A run of numbers as groups of `width` whose first is the sum of the others.
+
+    Up to `most` stray numbers at either end are left out, as few as possible; null if no grouping balances."""
+
+    def fit(skip: int, drop: int) -> Column:
+        count = F.size(numbers) - skip - drop
+        groups = F.transform(F.sequence(F.lit(0), (count / width).cast("int") - 1), lambda g: F.slice(numbers, g * width + skip + 1, F.lit(width)))
+        balanced = F.forall(groups, lambda g: F.get(g, F.lit(0)) == F.aggregate(F.slice(g, 2, width - 1), F.lit(0).cast("bigint"), lambda a, x: a + x))
+        return F.when((count >= width) & (count % width == 0), F.when(balanced, groups))
+
+    return F.coalesce(*(fit(a, b) for a, b in sorted(((a, b) for a in range(most + 1) for b in range(most + 1)), key=lambda x: (sum(x), x))))

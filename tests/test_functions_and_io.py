@@ -5,7 +5,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from hustings.functions import geometry, numbers, text
+from hustings.functions import geometry, numbers, parsing, text
+from hustings.operators import match
 from hustings.sources import readers, writers
 from hustings.streaming import telemetry
 
@@ -48,6 +49,24 @@ def test_ratios_tolerance_and_maps(spark):
     assert one(spark, numbers.parts_per_million(F.lit(41), F.lit(640))) == 64063
 
 
+@pytest.mark.parametrize("given,groups", [([5, 2, 3, 7, 3, 4], [[5, 2, 3], [7, 3, 4]]), ([9, 5, 2, 3, 1, 1], [[5, 2, 3]]), ([1, 2, 4], None), ([], None)])
+def test_runs_of_numbers_balance(spark, given, groups):
+    assert one(spark, parsing.balanced_groups(F.array(*map(F.lit, given)).cast("array<bigint>"), 3)) == groups
+
+
+def test_lines_parse(spark):
+    assert one(spark, parsing.fixed_row(F.lit("01/02  Upper Town  1,000 20"), 2)).asDict() == {"code": "01/02", "name": "Upper Town", "values": [1000, 20]}
+    assert one(spark, parsing.fixed_row(F.lit("heading only"), 2)) is None
+    assert one(spark, parsing.collapse_overlay(F.lit("aabb cc\naabb cc\nx\naabb cc\naabb cc\nx"))) == "ab cc\nx"
+    assert str(one(spark, parsing.date_in(F.lit("D:20240131120000")))) == "2024-01-31" and one(spark, parsing.date_in(F.lit("none"))) is None
+
+
+def test_segments_are_used_once(spark):
+    segments = spark.createDataFrame([(1, 1, "Upper"), (1, 2, "Town"), (1, 3, "Town"), (1, 4, "Hill")], "page int, id int, text string")
+    names = spark.createDataFrame([(1, "Town"), (1, "Upper Town"), (1, "Vale")], "page int, name string")
+    assert sorted((r.name, r.segments) for r in match.label_segments(segments, names, "page").collect()) == [("Town", [3]), ("Upper Town", [1, 2])]
+
+
 def square(spark, points):
     return spark.createDataFrame([(points,)], f"r {geometry.RING}")
 
