@@ -90,7 +90,8 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     df = df.withColumn("repeated", F.coalesce(F.aggregate(step, F.lit(0), lambda a, b: a + b), F.lit(0)))
     classes = [F.col("lower"), F.col("upper"), F.col("digit"), F.col("space"), F.col("other_letter"), F.col("symbol"), F.col("odd_chars") - F.col("upper") - F.col("digit") - F.col("symbol") - F.col("other_letter")]
     places = max(len(words) for _, words in references.values())
-    found = [F.size(F.filter("hits", lambda x, k=k: x == k + 1)) for k in range(places)]
+    at = lambda k: F.size(F.filter("hits", lambda x: x == k + 1))
+    found = [at(k) for k in range(places)]
     char_ref = _by_language(lang, {name: F.array(*(F.lit(x / sum(shares)) for x in shares)) for name, (shares, _) in references.items()}, "array<double>")
     padded = {name: [*words.values(), *[0.0] * (places - len(words)), 1 - sum(words.values())] for name, (_, words) in references.items()}
     word_ref = _by_language(lang, {name: F.array(*map(F.lit, x)) for name, x in padded.items()}, "array<double>")
