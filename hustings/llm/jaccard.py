@@ -23,15 +23,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hustings.llm.common import cut, hashed_texts, mix, table
 from hustings.llm.components import connected_components
 
-WORD_BITS, GRAM_BITS = 22, 24
-BLOCK_BITS = 14
+WORD_BITS, GRAM_BITS = 22, 25
+BLOCK_BITS = 16
 FRAGMENTS = 4
+#: Up to so many ids a list of wanted documents is broadcast.
+BROADCAST_IDS = 500_000
 _FACTORS = mix(np.arange(101, 165, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -43,15 +46,13 @@ def sketches(docs: DataFrame, n: int, text_col: str = "text", word_bits: int = W
     """
 
     def blocks(kind: int, total: np.ndarray) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
         for block, part in enumerate(total.reshape(-1, 1 << BLOCK_BITS)):
-            at = np.flatnonzero(part)
-            if len(at):
-                dense = kind and len(at) > 1 << (BLOCK_BITS - 3)  # bytes that saturate, one for each bucket
-                n = np.minimum(part, 255).astype(np.uint8) if dense else part[at].astype("<u4")
-                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([block], pa.int32()), pa.array([b"" if dense else at.astype("<u2").tobytes()]), pa.array([n.tobytes()])], ["kind", "block", "at", "n"])
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([block], pa.int32()), pa.array([pack(part.tobytes())])], ["kind", "block", "packed"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, grams = np.zeros(1 << word_bits, np.uint32), np.zeros(1 << gram_bits, np.uint32)
+        words, grams = np.zeros(1 << word_bits, np.uint32), np.zeros(1 << gram_bits, np.uint8)
         for batch in batches:
             for _, _, hashes, firsts in hashed_texts(batch, "text"):
                 np.add.at(words, (hashes >> np.uint64(64 - word_bits)).astype(np.int64), 1)
@@ -59,22 +60,22 @@ def sketches(docs: DataFrame, n: int, text_col: str = "text", word_bits: int = W
                     inside = np.ones(len(hashes) - n + 1, bool)  # not across two texts
                     for k in range(1, n):
                         inside[(edges := firsts[1:-1] - k)[(edges >= 0) & (edges < len(inside))]] = False
-                    np.add.at(grams, (gram_hashes(hashes, n)[inside] >> np.uint64(64 - gram_bits)).astype(np.int64), 1)
+                    at, c = np.unique(gram_hashes(hashes, n)[inside] >> np.uint64(64 - gram_bits), return_counts=True)
+                    at = at.astype(np.int64)
+                    grams[at] = np.minimum(grams[at] + c, 255)  # a task's count saturates; the order only needs sizes
         yield from blocks(0, words)
         yield from blocks(1, grams)
 
     def merge(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BLOCK_BITS, np.uint64)
+        kind, total = key[0].as_py(), np.zeros(1 << BLOCK_BITS, np.uint64)
+        unpack = zstandard.ZstdDecompressor().decompress
         for part in parts:
-            for at, c in zip(part.column("at"), part.column("n"), strict=True):
-                if len(places := np.frombuffer(at.as_py(), "<u2")):
-                    total[places] += np.frombuffer(c.as_buffer(), "<u4")
-                else:
-                    total += np.frombuffer(c.as_buffer(), np.uint8)
+            for packed in part.column("packed"):
+                total += np.frombuffer(unpack(packed.as_py()), np.uint8 if kind else np.uint32)
         classes = np.where(total > 0, np.frexp(total.astype(float))[1] - 1, 0).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([classes.tobytes()])], ["kind", "block", "classes"])
+        yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([classes.tobytes()])], ["kind", "block", "classes"])
 
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "kind int, block int, at binary, n binary")
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "kind int, block int, packed binary")
     out = np.zeros(1 << word_bits, np.uint8), np.zeros(1 << gram_bits, np.uint8)
     for kind, block, classes in counted.groupBy("kind", "block").applyInArrow(merge, "kind int, block int, classes binary").toLocalIterator():
         out[kind][block << BLOCK_BITS : (block + 1) << BLOCK_BITS] = np.frombuffer(classes, np.uint8)
@@ -138,24 +139,21 @@ def _sets(batch: pa.RecordBatch, n: int, rarity: tuple[np.ndarray, np.ndarray])
 
 
 def describe(docs: DataFrame, sketch, n: int, numerator: int, denominator: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, size, set, prefix, places): the keys of the prefix that may be shared, and their places in the set."""
+    """(id, size, set, prefix): the prefix holds the rarest keys, of which two linked sets share at least one."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = sketch.value
         for batch in batches:
-            sizes, names, prefixes, places = [], [], [], []
+            sizes, names, prefixes = [], [], []
             for _, keys in _sets(batch, n, rarity):
                 length = len(keys) - -(-numerator * len(keys) // denominator) + 1 if len(keys) else 0
-                head = keys[:length]
-                shared = np.flatnonzero(head >> np.uint64(58))  # a bucket counted once is a word of one place
                 sizes.append(len(keys))
                 names.append(_identity(keys) if len(keys) else 0)
-                prefixes.append(head[shared])
-                places.append(shared.astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), _lists(prefixes), _lists(places)], ["id", "size", "set", "prefix", "places"])
+                prefixes.append(keys[:length])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), _lists(prefixes)], ["id", "size", "set", "prefix"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, size long, set long, prefix array<long>, places array<long>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, size long, set long, prefix array<long>")
 
 
 def _possible(size_a: Column, place_a: Column, size_b: Column, place_b: Column, numerator: int, denominator: int) -> Column:
@@ -165,12 +163,13 @@ def _possible(size_a: Column, place_a: Column, size_b: Column, place_b: Column,
 
 
 def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """(a, b, overlap): partial overlaps by fragment, summed per pair."""
+    """(a, b, sizes, overlap): partial overlaps by fragment, summed per pair."""
     left = segments.select(F.col("set").alias("a"), "fragment", F.col("keys").alias("keys_a"))
     right = segments.select(F.col("set").alias("b"), "fragment", F.col("keys").alias("keys_b"))
-    met = pairs.join(left, "a").join(right, ["b", "fragment"])
-    partial = met.select("a", "b", F.size(F.array_intersect("keys_a", "keys_b")).cast("long").alias("partial"))
-    return partial.groupBy("a", "b").agg(F.sum("partial").alias("overlap"))
+    few = pairs.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS  # else both are shuffled by set
+    met = left.join(F.broadcast(pairs) if few else pairs, "a").join(right, ["b", "fragment"])
+    partial = met.select("a", "b", "sizes", F.size(F.array_intersect("keys_a", "keys_b")).cast("long").alias("partial"))
+    return partial.groupBy("a", "b", "sizes").agg(F.sum("partial").alias("overlap"))
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, numerator: int = 80, denominator: int = 100, id_col: str = "doc_id", text_col: str = "text", fragments: int = FRAGMENTS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -185,12 +184,16 @@ def jaccard_join(docs: DataFrame, n: int = 5, numerator: int = 80, denominator:
     cuts = pivots(rarity[1], fragments)
     described = cut(describe(docs, sketch, n, numerator, denominator, id_col, text_col))
     members = described.select("id", "size", "set")
-    filled = members.where("size > 0")
-    classes = cut(filled.groupBy("set").agg(F.first("size").alias("size"), F.min("id").alias("least_id"), F.count("*").alias("copies")))
-
-    prefixes = described.where("size > 0").join(classes.select("set", "least_id", "copies"), [described["set"] == classes["set"], described["id"].eqNullSafe(classes["least_id"])]).select(described["set"], described["size"], "copies", "prefix", "places")
-    zipped = F.explode(F.arrays_zip("prefix", "places")).alias("x")
-    keys = prefixes.select("set", "size", "copies", zipped).select("set", "size", "copies", F.col("x.prefix").alias("key"), F.col("x.places").alias("place")).distinct()
+    full = cut(described.where("size > 0").groupBy("set").agg(F.first("size").alias("size"), F.min("id").alias("least_id"), F.count("*").alias("copies"), F.first("prefix").alias("prefix")))
+    classes = full.drop("prefix")
+
+    # Dealt out by key once: the count per key and the join with it reuse that shuffle.
+    # Size, place and copies travel in one number. A place beyond 22 bits counts as less, which keeps more candidates;
+    # more copies than 255 rank as 255.
+    zipped = full.select("set", "size", "copies", F.posexplode("prefix").alias("place", "key"))
+    packed = F.shiftleft("size", 30) + F.shiftleft(F.least(F.col("place").cast("long"), F.lit((1 << 22) - 1)), 8) + F.least("copies", F.lit(255))
+    dealt = zipped.select("key", "set", packed.alias("packed")).repartition("key")
+    keys = dealt.select("key", "set", F.shiftright("packed", 30).alias("size"), F.shiftright("packed", 8).bitwiseAND(F.lit((1 << 22) - 1)).alias("place"), F.col("packed").bitwiseAND(F.lit(255)).alias("copies"))
     # The leader is the class with the most copies: near copies gather around the text they came from.
     order = F.struct((-F.col("copies")).alias("order"), "place", "set", "size")
     met = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(order).alias("lead")).where("n > 1")
@@ -200,8 +203,9 @@ def jaccard_join(docs: DataFrame, n: int = 5, numerator: int = 80, denominator:
 
     def segments(wanted: DataFrame) -> DataFrame:
         """The wanted sets, cut into fragments; their texts are read again."""
-        source = wanted.join(classes, "set").select(F.col("least_id").alias("id"), F.lit(True).alias("wanted")).distinct()
-        texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(source, "id", "left_semi")
+        source = cut(wanted.join(classes, "set").select(F.col("least_id").alias("id")).distinct())
+        few = source.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS  # else the texts are shuffled by id
+        texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(source) if few else source, "id", "left_semi")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = sketch.value
@@ -221,7 +225,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, numerator: int = 80, denominator:
 
     def tested(pairs: DataFrame) -> DataFrame:
         parts = cut(segments(pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()))
-        found = overlaps(pairs.select("a", "b"), parts).join(pairs, ["a", "b"])
+        found = overlaps(pairs, parts)
         return cut(found.where(denominator * F.col("overlap") >= numerator * (F.col("sizes") - F.col("overlap"))).select("a", "b", "overlap"))
 
     links = tested(first)
