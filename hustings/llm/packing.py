@@ -26,7 +26,7 @@ from hustings.llm.bpe import encoding, ids_of
 from hustings.llm.common import cut, table
 
 #: Ranks of one length are counted in this many parts, so that no length is one task's.
-PARTS = 256
+PARTS = 64
 
 
 def tokenise(docs: DataFrame, ranks: str, length: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
