@@ -73,12 +73,14 @@ def sketches(docs: DataFrame, n: int, text_col: str = "text", word_bits: int = W
             for packed in part.column("packed"):
                 total += np.frombuffer(unpack(packed.as_py()), np.uint8 if kind else np.uint32)
         classes = np.where(total > 0, np.frexp(total.astype(float))[1] - 1, 0).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([classes.tobytes()])], ["kind", "block", "classes"])
+        packed = zstandard.ZstdCompressor(level=1).compress(classes.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([packed])], ["kind", "block", "classes"])
 
     counted = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "kind int, block int, packed binary")
     out = np.zeros(1 << word_bits, np.uint8), np.zeros(1 << gram_bits, np.uint8)
+    unpack = zstandard.ZstdDecompressor().decompress
     for kind, block, classes in counted.groupBy("kind", "block").applyInArrow(merge, "kind int, block int, classes binary").toLocalIterator():
-        out[kind][block << BLOCK_BITS : (block + 1) << BLOCK_BITS] = np.frombuffer(classes, np.uint8)
+        out[kind][block << BLOCK_BITS : (block + 1) << BLOCK_BITS] = np.frombuffer(unpack(bytes(classes)), np.uint8)
     return out
 
 
@@ -110,7 +112,9 @@ def shingle_keys(hashes: np.ndarray, n: int, rarity: tuple[np.ndarray, np.ndarra
 
 def pivots(grams: np.ndarray, fragments: int) -> np.ndarray:
     """Keys that cut the global order into fragments of about equal mass, estimated from the sketch alone."""
-    mass = np.bincount(grams[grams > 0], minlength=64).astype(float) * 2.0 ** np.arange(64)
+    # By parts: bincount widens what it counts to eight bytes each.
+    counts = sum(np.bincount(part[part > 0], minlength=64) for part in np.array_split(grams, max(1, len(grams) >> BLOCK_BITS)))
+    mass = counts.astype(float) * 2.0 ** np.arange(64)
     edges = np.concatenate([[0.0], np.cumsum(mass)]) / max(mass.sum(), 1)
     goals = np.arange(1, fragments) / fragments
     at = np.clip(np.searchsorted(edges, goals, "right") - 1, 0, 63)
@@ -182,6 +186,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, numerator: int = 80, denominator:
     rarity = sketches(docs, n, text_col)
     sketch = spark.sparkContext.broadcast(rarity)  # 2**WORD_BITS + 2**GRAM_BITS bytes, whatever the corpus
     cuts = pivots(rarity[1], fragments)
+    del rarity  # the broadcast has its own copy on disk
     described = cut(describe(docs, sketch, n, numerator, denominator, id_col, text_col))
     members = described.select("id", "size", "set")
     full = cut(described.where("size > 0").groupBy("set").agg(F.first("size").alias("size"), F.min("id").alias("least_id"), F.count("*").alias("copies"), F.first("prefix").alias("prefix")))
