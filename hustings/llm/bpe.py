@@ -2,9 +2,10 @@
 
 A text longer than one chunk is cut into chunks that overlap. Every chunk is pre-tokenised by itself, on any executor.
 The pattern matches from left to right without looking back, so once two neighbouring chunks agree on one pre-token
-boundary inside their overlap, they agree on all that follow: the text can be cut there. The pieces between such
-boundaries are encoded independently and their ids concatenated. Neighbours that never agree within the overlap (one
-pre-token longer than it) stay one piece.
+boundary inside their overlap, they agree on all that follow: the text can be cut there, unless white space stands
+before the boundary (the pattern looks ahead behind white space, and the piece's end would hide what follows). The
+pieces between such boundaries are encoded independently and their ids concatenated. Neighbours without such a boundary
+within the overlap (one pre-token longer than it) stay one piece.
 
 Defined results: a null text encodes like an empty one, to no ids; repeated rows give repeated rows; columns other than
 the id and the text are not carried (their names cannot clash); an empty table gives an empty table.
@@ -110,13 +111,13 @@ def _stitch(group: pa.Table, chunk: int) -> pa.Table:
     for k in range(len(keep) - 1):
         # The left chunk's boundaries hold only while its own scan has been tied to the text's start.
         both = sorted({x - chunk for x in tails[k]} & set(heads[k + 1])) if synced else []
-        if both:
-            cuts.append((k, both[0]))
-        else:
-            synced = False
+        synced = bool(both)
+        safe = next((x for x in both if not bodies[k][chunk + x - 1].isspace()), None)
+        if safe is not None:
+            cuts.append((k, safe))
     out, part, k, low = [], [], 0, 0
     for at_chunk, where in [*cuts, (len(keep) - 1, None)]:
-        while k < at_chunk:  # no agreement between k and k + 1: the piece runs on
+        while k < at_chunk:  # no cut between k and k + 1: the piece runs on
             part.append(bodies[k][low:chunk])
             k, low = k + 1, 0
         part.append(bodies[k][low : None if where is None else chunk + where])

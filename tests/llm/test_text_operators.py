@@ -291,3 +291,10 @@ def test_sha_columns_of_the_query(spark, tmp_path):
     ids, digest, raw = bpe.brute("Hello  world", RANKS)
     assert (rows[1].n_tokens, rows[1].ids_sha256, rows[1].decoded_sha256) == (len(ids), digest, raw)
     assert (rows[2].n_tokens, rows[2].ids_sha256) == (0, hashlib.sha256(b"").hexdigest())
+
+
+@pytest.mark.parametrize("gap", ["\n\n", "\n\t", "  \n", "\n" * 6])
+def test_bpe_cuts_no_text_behind_white_space(spark, gap):
+    rows = [(k, "word " * 6 + "x" * k + "foo." + gap + "Bar baz, " * 12 + gap + "end. " * 30) for k in range(64)]
+    done = bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), RANKS, chunk=64, overlap=32).collect()
+    assert {r.doc_id: list(r.ids) for r in done} == {i: bpe.brute(t, RANKS)[0] for i, t in rows}
