@@ -34,7 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all remaining documents in sequences of at most 1024 tokens."""
-    packed = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    added = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    packed = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), added=added)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

@@ -13,6 +13,8 @@ other columns are not carried; an empty table gives an empty table; ties in rank
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,20 +31,40 @@ from hustings.llm.common import cut, table
 PARTS = 64
 
 
-def tokenise(docs: DataFrame, ranks: str, length: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizer's JSON file, with their ids."""
+    with open(path) as file:
+        rows = json.load(file)["added_tokens"]
+    for row in rows:
+        if row["single_word"] or row["lstrip"] or row["rstrip"] or row["normalized"]:
+            raise ValueError(f"added token with rules of its own: {row}")
+    return {row["content"]: row["id"] for row in rows}
+
+
+def tokenise(docs: DataFrame, ranks: str, length: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, pattern: str = public_tokenizers.PATTERN, added: dict[str, int] | None = None) -> DataFrame:
     """(id, doc_tokens, crcs, ids): the ids with the end id; one checksum per block of `length`; ids null unless kept.
 
     The rank file holds the same vocabulary and merges as the JSON file of the `tokenizers` library, so the ids are
-    that library's (tests compare them); reading ranks is several times as fast.
+    that library's (tests compare them); reading ranks is several times as fast. Where an `added` token stands in a
+    text it has its own id, and the stretches between are encoded by themselves; without any they are plain text.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
+    # Of tokens that start at one place the longest counts.
+    marks = "|".join(re.escape(x) for x in sorted(added or {}, key=len, reverse=True))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, end = encoding(ranks, pattern), np.array([end_id], np.uint32)
+
+        def parts(text: str) -> list[np.ndarray]:
+            if not marks:
+                return [ids_of(own, text)]
+            return [np.array([added[x]], np.uint32) if k % 2 else ids_of(own, x) for k, x in enumerate(re.split(f"({marks})", text))]
+
         for batch in batches:
             sizes, crcs, kept = [], [], []
             for text in batch.column(1):
-                ids = np.concatenate([ids_of(own, text.as_py() or ""), end])
+                ids = np.concatenate([*parts(text.as_py() or ""), end])
                 sizes.append(len(ids))
                 crcs.append([zlib.crc32(ids[k : k + length].astype("<u4").tobytes()) for k in range(0, len(ids), length)])
                 kept.append(ids.astype(np.int32).tolist() if keep_ids else None)
@@ -158,9 +180,9 @@ def plan(sizes: np.ndarray, demand: np.ndarray, length: int, grain: int | None =
     return rows
 
 
-def pack(docs: DataFrame, ranks: str, length: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, ranks: str, length: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, added: dict[str, int] | None = None) -> DataFrame:
     """One row per piece: id, start, length, crc, doc_tokens, sequence_id, offset and, if kept, its ids."""
-    ready = tokenise(docs, ranks, length, end_id, id_col, text_col, keep_ids)
+    ready = tokenise(docs, ranks, length, end_id, id_col, text_col, keep_ids, added=added)
     tokens = cut(ready.withColumns({
         "rest": (F.col("doc_tokens") % length).cast("int"), "blocks": F.floor(F.col("doc_tokens") / length).cast("long"),
         "part": F.pmod(F.xxhash64("id", "crcs"), F.lit(PARTS)).cast("int"),
@@ -198,7 +220,8 @@ def pack(docs: DataFrame, ranks: str, length: int = 1024, end_id: int = 0, id_co
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    added = added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), added=added).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 QUERIES = {"op8_packing": op8_packing}

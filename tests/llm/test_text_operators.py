@@ -298,3 +298,13 @@ def test_bpe_cuts_no_text_behind_white_space(spark, gap):
     rows = [(k, "word " * 6 + "x" * k + "foo." + gap + "Bar baz, " * 12 + gap + "end. " * 30) for k in range(64)]
     done = bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), RANKS, chunk=64, overlap=32).collect()
     assert {r.doc_id: list(r.ids) for r in done} == {i: bpe.brute(t, RANKS)[0] for i, t in rows}
+
+
+def test_packing_gives_added_tokens_the_ids_of_the_library(spark, tmp_path):
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>\n\n x<|endoftext|>", "<|endoftext", "plain  text", "x \n<|endoftext|>\n y"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+    assert want[0][:-1] == [64, 220, 50256, 275]
+    got = {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in packing.op8_packing(spark, str(tmp_path)).collect()}
+    assert got == {i: (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, ids in want.items()}
