@@ -12,7 +12,8 @@ the wanted share of them. Every vector is indexed. On vectors without any struct
 uniform on the sphere) the window must be a large share of the table, whatever the index.
 
 Defined results: vectors that are null, zero, of another length than most, or hold a null or a non-finite component
-take no part; a query's own id is no candidate, repeated rows of one id count as one; equal products are ordered by id;
+take no part; a query's own id is no candidate, repeated rows of one id count as one (where their
+vectors differ, the least in lexicographic order); equal products are ordered by id;
 with fewer candidates than k all are returned; other columns are not carried; an empty table gives an empty table.
 """
 
@@ -89,12 +90,18 @@ def _best(found: np.ndarray, candidates: np.ndarray, ids: np.ndarray, queries: n
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v) of the vectors that take part."""
+    """(id, v) of the vectors that take part, one row per id."""
     v = F.col("v")
     whole = v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     fit = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & whole)
-    size = fit.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").first()
-    return fit.where(F.size("v") == (size["size"] if size else 0))
+    rows = cut(fit.groupBy("id", F.size("v").alias("size")).agg(F.count("*").alias("rows")))
+    size = rows.groupBy("size").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").first()
+    fit = fit.where(F.size("v") == (size["size"] if size else 0))
+    again = rows.where((F.col("rows") > 1) & (F.col("size") == (size["size"] if size else 0))).select("id")
+    if again.isEmpty():
+        return fit
+    # Only the repeated ids' vectors are gathered; the choice is kept, as it is read several times.
+    return cut(fit.join(again, "id", "left_anti").unionByName(fit.join(again, "id", "left_semi").groupBy("id").agg(F.min("v").alias("v"))))
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL, count: int = CURVES) -> DataFrame:

@@ -156,3 +156,14 @@ def test_pipeline_stages_keep_clean_documents(spark, tmp_path):
     assert len(ids & set(range(60))) >= 57 and not ids & {400, 401, 402} and not ids & set(range(100, 105)) and not ids & set(range(200, 205))
     assert not ids & set(range(300, 340))
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "quality_classifier", "near_duplicates", "packing"]
+
+
+def test_repeated_rows_cost_no_neighbours(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(np.float32(x)) for x in p]) for i, p in enumerate(rng.normal(size=(400, 8)))]
+    order = lambda df: sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in hilbert.nearest(df, F.col("id") % 20 == 0).collect())
+    frame = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    once = order(frame(rows))
+    assert len(once) == 20 * 20 and order(frame(rows * 5)) == once
+    # Of different vectors of one id the least stays.
+    assert order(frame([*rows, (7, [99.0] * 8), (20, [99.0] * 8)])) == once
