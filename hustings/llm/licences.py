@@ -1,13 +1,12 @@
 """Operator 9: licence scan by a positional rare-token index, in DataFrame functions only.
 
 The postings hold every word of every notice template with its place. Of each file only its licence words are looked
-up, those of the highest inverse document frequency first; a template's postings and the file's places agree on an
-alignment when place minus posting is the same. The weight matched at the best alignment, over the template's weight,
+up, all of them; a template's postings and the file's places agree on an alignment when place minus posting is the same. The weight matched at the best alignment, over the template's weight,
 is the score; a template counts if the score reaches the least and one of its mandatory key phrases stands there word
 by word. Files with equal licence words at equal places are looked up once.
 
 Defined results: a null or empty text has no words and no labels; repeated rows are labelled alike; other columns are
-not carried; an empty table gives an empty table; ties of rarity are broken by the word.
+not carried; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -35,7 +34,9 @@ NOTICES = [
 ]
 #: Words so common in prose that they never start a lookup; they still count for key phrases.
 COMMON = "a an and any are at by can for free in is it may not of or that the this to use under with you work version 0 2 4".split()
-RARE_WORDS, LEAST_SCORE = 16, 0.6
+LEAST_SCORE = 0.6
+#: So many licence words of a file the SQL looks up; the scan looks up all, so they differ on files with more.
+RARE_WORDS = 16
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -89,9 +90,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     # As many rows as the templates have words.
     idf = F.broadcast(rare.join(frequency, "word", "left").select("word", F.log((F.lit(total) + 1.0) / (F.coalesce("df", F.lit(0)) + 0.5)).alias("idf")))
     weights = F.broadcast(postings(spark).where("rare").join(idf, "word").groupBy("notice").agg(F.sum("idf").alias("weight")))
-    own = found.join(idf, "word").groupBy("same").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("idf")).alias("order"), "word", "idf"))), 1, RARE_WORDS).alias("top"))
-    chosen = own.select("same", F.explode("top").alias("x")).select("same", F.col("x.word").alias("word"), F.col("x.idf").alias("idf"))
-    met = words.join(chosen, ["same", "word"]).join(index.where("rare"), "word").groupBy("same", "notice", (F.col("place") - F.col("posting")).alias("shift")).agg(F.sum("idf").alias("matched"))
+    met = words.join(idf, "word").join(index.where("rare"), "word").groupBy("same", "notice", (F.col("place") - F.col("posting")).alias("shift")).agg(F.sum("idf").alias("matched"))
     scored = met.join(weights, "notice").select("same", "notice", "shift", F.round(F.least(F.col("matched") / F.col("weight"), F.lit(1.0)), 6).alias("score")).where(F.col("score") >= LEAST_SCORE)
     keys = postings(spark).where("key is not null")
     lengths = F.broadcast(keys.groupBy("notice", "key").agg(F.count("*").alias("length")))

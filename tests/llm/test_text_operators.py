@@ -308,3 +308,11 @@ def test_packing_gives_added_tokens_the_ids_of_the_library(spark, tmp_path):
     assert want[0][:-1] == [64, 220, 50256, 275]
     got = {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in packing.op8_packing(spark, str(tmp_path)).collect()}
     assert got == {i: (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, ids in want.items()}
+
+
+def test_licences_of_a_file_with_many_notices(spark):
+    every = " ".join(text for _, text, _ in licences.NOTICES)
+    bundled = " ".join(licences.NOTICES[k][1] for k in (1, 6, 9))
+    found = {r.id: (set(r.noticed), r.score) for r in licences.scan(spark.createDataFrame([(1, bundled), (2, every)], "doc_id long, text string")).collect()}
+    assert found[1] == ({"mit", "bsd", "mpl"}, 1.0)
+    assert found[2] == ({label for label, _, _ in licences.NOTICES}, 1.0)
