@@ -121,7 +121,7 @@ def j18(spark, d):
 
 
 def _sheet(spark, d):
-    ranked = roles.ranked(spark, d).where("edition = 2000 and position <= 5").withColumn("contest", F.col("seat"))
+    ranked = roles.ranked(spark, d).withColumn("contest", F.concat_ws(":", *KEYS))
     rows = ranked.select("contest", F.col("position").alias("row"), F.lower("candidate").alias("name"), (F.col("votes") + (F.col("position") % 2)).alias("votes"))
     return rows, ranked.select("contest", F.col("candidate").alias("candidate_id"), F.col("candidate").alias("name"), "votes")
 

@@ -47,3 +47,16 @@ def test_entry_without_text_operators():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     code = "import sys; sys.modules['hustings.llm'] = None; sys.modules['corpus_pipeline'] = None\nimport __spark_entry__ as e\nq, o = e.queries(), e.oracle_sql()\nassert len(q) > 100 and set(o) <= set(q) and not any(n.startswith('op') for n in q if n[2:3].isdigit() and '_' in n and n.split('_')[0][2:].isdigit() and n[:2] == 'op'), q"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True, env=os.environ | {"PYTHONPATH": root})
+
+
+@pytest.mark.parametrize("name", ["j19_fuzzy_candidate_match", "j20_column_assignment"])
+def test_matching_sees_every_contest_and_place(spark, name):
+    from hustings.plans import roles
+
+    if not os.path.isdir(SMALL):
+        pytest.skip("no tables here")
+    ranked = roles.ranked(spark, SMALL).collect()
+    place = "row" if name.startswith("j19") else "column"
+    want = {(f"{r.edition}:{r.seat}", r.position) for r in ranked}
+    assert {(r["contest"], r[place]) for r in QUERIES[name](spark, SMALL).collect()} == want
+    assert max(r.position for r in ranked) > 5 and len({r.edition for r in ranked}) > 1
