@@ -316,3 +316,16 @@ def test_licences_of_a_file_with_many_notices(spark):
     found = {r.id: (set(r.noticed), r.score) for r in licences.scan(spark.createDataFrame([(1, bundled), (2, every)], "doc_id long, text string")).collect()}
     assert found[1] == ({"mit", "bsd", "mpl"}, 1.0)
     assert found[2] == ({label for label, _, _ in licences.NOTICES}, 1.0)
+
+
+def test_quality_word_distance_alone_rejects(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for k, (lang, (_, common)) in enumerate(quality.REFERENCES.items()):
+        plain = ["".join(rng.choice(list("bcdfglmnprt"), 6)) for _ in range(120)]
+        mixed = [list(common)[n // 3 % len(common)] if n % 3 == 0 else w for n, w in enumerate(plain)]
+        rows += [(2 * k, " ".join(plain) + ".", lang), (2 * k + 1, " ".join(mixed) + ".", lang)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in quality.judge(quality.measure(docs)).collect()}
+    assert all(not r.base_failed and r.character_distance <= quality.MAX_CHARACTER_DISTANCE for r in found.values())
+    assert {r.doc_id for r in quality.keep(docs).collect()} == {1, 3, 5, 7}
