@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +28,27 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder, so that a lost executor costs a reread and no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def cut(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write to the shared folder and read back, so that a lost executor costs a reread and no recomputation."""
+    path = path or f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that no later step reads."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+#: Up to so many rows of a few numbers each a list is broadcast, after it was counted; a longer one is shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def lean(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written list, marked for broadcast if it has few rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 #: The six ASCII white-space bytes that end a word.
@@ -38,7 +57,7 @@ WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -12,7 +12,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """(node, component): the least node reachable. Nodes without a link are absent.
 
     Each step finds a node's least neighbour by a grouped minimum and joins it back, so a hub's links are never
-    gathered in one task. The links are checkpointed each round; stars are a fixed point.
+    gathered in one task; Spark may split the join of a hub. The links are written each round; stars are a fixed point.
+    Repeated links, links of a node with itself and links with a null end have no effect; no links give no rows.
     """
     edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     before = None

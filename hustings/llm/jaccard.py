@@ -6,19 +6,24 @@ its low bits a hash. The order is cut into fragments. Candidate pairs (classes t
 the length and position bounds) have their overlap counted in each fragment by itself; the partial counts are summed
 per pair and compared with the threshold in whole numbers.
 
-Pairs within a group of near copies would grow with its square. For the question which documents hang together they
+Pairs within a group of near copies grow with its square. For the question which documents hang together they
 are not all needed: first each class is joined with one leader of each of its prefix n-grams; only classes that share
 a prefix n-gram and are not yet connected are then paired with each other. Every link between different components is
-still tested, so the components are exact.
+still tested, so the components are exact. With `whole` every pair that shares a prefix n-gram is tested instead.
+
+Only n-grams that more than one class has in its prefix go on after they were counted. Lists of few rows are broadcast
+after their size was checked, longer ones are joined by a shuffle that Spark may split where a key is hot.
 
 Defined results: a null or empty text, or one without words, has an empty set and links with nothing; with fewer than
 n words the whole sequence is the one n-gram; repeated rows are equal sets and come back as often as they came; rows of
-one id and different texts stay rows of their own; a null id never becomes a component's name unless all its members'
-ids are null; other columns are not carried; an empty table gives an empty table.
+one id and different texts stay rows of their own; rows with a null id are joined like others, but a null id never
+becomes a component's name unless all its members' ids are null; other columns are not carried; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,14 +32,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hustings.llm.common import cut, hashed_texts, mix, table
+from hustings.llm.common import cut, hashed_texts, lean, mix, remove, shared_dir, table
 from hustings.llm.components import connected_components
 
-WORD_BITS, GRAM_BITS = 22, 25
+WORD_BITS, GRAM_BITS = 22, 24
 BLOCK_BITS = 16
 FRAGMENTS = 4
-#: Up to so many ids a list of wanted documents is broadcast.
-BROADCAST_IDS = 500_000
+#: Copies (8 bits, reversed), place (22) and size (30) of a class travel in one number, which orders them for the choice of
+#: a leader. A place beyond 22 bits counts as less, which keeps more candidates; more copies than 255 rank as 255.
+COPIES, PLACE, SIZE = (1 << 8) - 1, (1 << 22) - 1, (1 << 30) - 1
 _FACTORS = mix(np.arange(101, 165, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -128,151 +134,186 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows).view(np.int64) if rows else np.zeros(0, np.int64)))
 
 
-def _identity(keys: np.ndarray) -> int:
-    """The 64-bit name of a set, from two independent sums over its keys."""
+def _identity(keys: np.ndarray) -> tuple[int, int]:
+    """The name of a set: two independent 64-bit sums over its keys."""
     with np.errstate(over="ignore"):
-        one, two = mix(keys).sum(dtype=np.uint64), mix(keys ^ np.uint64(0xA5A5A5A5DEADBEEF)).sum(dtype=np.uint64)
-        return int(mix(np.array([one + np.uint64(3) * two + np.uint64(len(keys))], np.uint64)).view(np.int64)[0])
+        sums = np.array([mix(keys).sum(dtype=np.uint64), mix(keys ^ np.uint64(0xA5A5A5A5DEADBEEF)).sum(dtype=np.uint64)], np.uint64)
+        one, two = mix(sums + np.uint64(len(keys))).view(np.int64)
+    return int(one), int(two)
 
 
-def _sets(batch: pa.RecordBatch, n: int, rarity: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+def _sets(batch: pa.RecordBatch, n: int, rarity: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """(first row, row after the last, sorted keys of each row), by slices."""
     for first, last, hashes, words in hashed_texts(batch, "text"):
-        for row in range(first, last):
-            own = hashes[words[row - first] : words[row - first + 1]]
-            yield row, np.unique(shingle_keys(own, n, rarity)) if len(own) else np.zeros(0, np.uint64)
+        own = [hashes[words[k] : words[k + 1]] for k in range(last - first)]
+        yield first, last, [np.unique(shingle_keys(x, n, rarity)) if len(x) else np.zeros(0, np.uint64) for x in own]
+
+
+def _row_hashes(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """Two hashes of a row's id and text, by which the row is found again."""
+    name, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    return F.xxhash64(name, text).alias("row"), F.xxhash64(F.lit(1), text, name).alias("twin")
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(*_row_hashes(id_col, text_col), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
 
 
 def describe(docs: DataFrame, sketch, n: int, numerator: int, denominator: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, size, set, prefix): the prefix holds the rarest keys, of which two linked sets share at least one."""
+    """(row, twin, id, size, s1, s2, prefix, nr): the prefix holds the rarest keys, of which two linked sets share at
+    least one; s1 and s2 name the set; nr numbers the rows."""
     kind = docs.schema[id_col].dataType.simpleString()
+    names = ["row", "twin", "id", "size", "s1", "s2", "prefix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = sketch.value
         for batch in batches:
-            sizes, names, prefixes = [], [], []
-            for _, keys in _sets(batch, n, rarity):
-                length = len(keys) - -(-numerator * len(keys) // denominator) + 1 if len(keys) else 0
-                sizes.append(len(keys))
-                names.append(_identity(keys) if len(keys) else 0)
-                prefixes.append(keys[:length])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), _lists(prefixes)], ["id", "size", "set", "prefix"])
+            for first, last, sets in _sets(batch, n, rarity):
+                part = batch.slice(first, last - first)
+                lengths = [len(keys) - -(-numerator * len(keys) // denominator) + 1 if len(keys) else 0 for keys in sets]
+                s1, s2 = zip(*(_identity(keys) if len(keys) else (0, 0) for keys in sets), strict=True)
+                numbers = (pa.array(x, pa.int64()) for x in ([len(keys) for keys in sets], s1, s2))
+                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names[:3]), *numbers, _lists([keys[:k] for keys, k in zip(sets, lengths, strict=True)])], names)
+
+    found = keyed(docs, id_col, text_col).mapInArrow(run, f"row long, twin long, id {kind}, size long, s1 long, s2 long, prefix array<long>")
+    return found.withColumn("nr", F.monotonically_increasing_id())
+
+
+def _place(order: Column) -> Column:
+    return F.shiftright(order, 30).bitwiseAND(F.lit(PLACE))
+
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, size long, set long, prefix array<long>")
+def _size(order: Column) -> Column:
+    return order.bitwiseAND(F.lit(SIZE))
 
 
-def _possible(size_a: Column, place_a: Column, size_b: Column, place_b: Column, numerator: int, denominator: int) -> Column:
-    """Whether two sets whose first common key has these places can reach the threshold."""
-    least = F.least(size_a - place_a, size_b - place_b)  # the most they can share
-    return (denominator * F.least(size_a, size_b) >= numerator * F.greatest(size_a, size_b)) & (least * (numerator + denominator) >= numerator * (size_a + size_b))
+def _possible(x: Column, y: Column, numerator: int, denominator: int) -> Column:
+    """Whether two sets whose first common key has these sizes and places can reach the threshold."""
+    a, b = _size(x), _size(y)
+    least = F.least(a - _place(x), b - _place(y))  # the most they can share
+    return (denominator * F.least(a, b) >= numerator * F.greatest(a, b)) & (least * (numerator + denominator) >= numerator * (a + b))
 
 
 def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """(a, b, sizes, overlap): partial overlaps by fragment, summed per pair."""
     left = segments.select(F.col("set").alias("a"), "fragment", F.col("keys").alias("keys_a"))
     right = segments.select(F.col("set").alias("b"), "fragment", F.col("keys").alias("keys_b"))
-    few = pairs.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS  # else both are shuffled by set
-    met = left.join(F.broadcast(pairs) if few else pairs, "a").join(right, ["b", "fragment"])
+    met = left.join(lean(pairs), "a").join(right, ["b", "fragment"])
     partial = met.select("a", "b", "sizes", F.size(F.array_intersect("keys_a", "keys_b")).cast("long").alias("partial"))
     return partial.groupBy("a", "b", "sizes").agg(F.sum("partial").alias("overlap"))
 
 
-def jaccard_join(docs: DataFrame, n: int = 5, numerator: int = 80, denominator: int = 100, id_col: str = "doc_id", text_col: str = "text", fragments: int = FRAGMENTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def jaccard_join(docs: DataFrame, n: int = 5, numerator: int = 80, denominator: int = 100, id_col: str = "doc_id", text_col: str = "text", fragments: int = FRAGMENTS, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, classes, links).
 
-    members: id, size, set of every row. classes: set, size, least id, component (the least id that links reach),
-    copies. links: a, b (sets), overlap - enough links to connect every component; not all within a component.
+    members: nr, row, twin, id, size, set, copies of every row. classes: set, size, copies, least_id, group and component
+    (the least id that links reach). links: a, b (sets), overlap - every pair of linked classes if `whole`, else enough
+    to connect every component.
     """
     spark = docs.sparkSession
+    folder = f"{shared_dir(spark)}/jaccard-{uuid.uuid4().hex}"
     rarity = sketches(docs, n, text_col)
     sketch = spark.sparkContext.broadcast(rarity)  # 2**WORD_BITS + 2**GRAM_BITS bytes, whatever the corpus
     cuts = pivots(rarity[1], fragments)
     del rarity  # the broadcast has its own copy on disk
-    described = cut(describe(docs, sketch, n, numerator, denominator, id_col, text_col))
-    members = described.select("id", "size", "set")
-    full = cut(described.where("size > 0").groupBy("set").agg(F.first("size").alias("size"), F.min("id").alias("least_id"), F.count("*").alias("copies"), F.first("prefix").alias("prefix")))
-    classes = full.drop("prefix")
-
-    # Dealt out by key once: the count per key and the join with it reuse that shuffle.
-    # Size, place and copies travel in one number. A place beyond 22 bits counts as less, which keeps more candidates;
-    # more copies than 255 rank as 255.
-    zipped = full.select("set", "size", "copies", F.posexplode("prefix").alias("place", "key"))
-    packed = F.shiftleft("size", 30) + F.shiftleft(F.least(F.col("place").cast("long"), F.lit((1 << 22) - 1)), 8) + F.least("copies", F.lit(255))
-    dealt = zipped.select("key", "set", packed.alias("packed")).repartition("key")
-    keys = dealt.select("key", "set", F.shiftright("packed", 30).alias("size"), F.shiftright("packed", 8).bitwiseAND(F.lit((1 << 22) - 1)).alias("place"), F.col("packed").bitwiseAND(F.lit(255)).alias("copies"))
-    # The leader is the class with the most copies: near copies gather around the text they came from.
-    order = F.struct((-F.col("copies")).alias("order"), "place", "set", "size")
-    met = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(order).alias("lead")).where("n > 1")
-    shared = cut(keys.join(met, "key").select("key", "set", "size", "place", "lead"))  # keys of more than one class
-    led = shared.where((F.col("set") != F.col("lead.set")) & _possible(F.col("size"), F.col("place"), F.col("lead.size"), F.col("lead.place"), numerator, denominator))
-    first = cut(led.select(F.col("set").alias("a"), F.col("lead.set").alias("b"), (F.col("size") + F.col("lead.size")).alias("sizes")).distinct())
+    described = cut(describe(docs, sketch, n, numerator, denominator, id_col, text_col), f"{folder}/described")
+    own = described.drop("prefix")
+    named = own.where("size > 0").groupBy("s1", "s2").agg(F.min("nr").alias("set"), F.count("*").alias("copies"), F.min("id").alias("least_id"))
+    none = [F.lit(None).cast("long").alias("set"), F.lit(None).cast("long").alias("copies"), F.col("id").alias("least_id")]
+    members = own.where("size > 0").join(named, ["s1", "s2"]).drop("s1", "s2").unionByName(own.where("size = 0").select("row", "twin", "id", "size", "nr", *none))
+    members = cut(members, f"{folder}/members")
+    classes = members.where("nr = set").drop("nr", "id")
+
+    copied, several = members.where("nr <> set").select("nr"), members.where("nr = set and copies > 1").select("nr", "copies")
+    first_rows = described.where("size > 0").join(lean(copied), "nr", "left_anti").join(lean(several), "nr", "left")
+    zipped = first_rows.select(F.col("nr").alias("set"), "size", F.least(F.coalesce("copies", F.lit(1)), F.lit(COPIES)).alias("copies"), F.posexplode("prefix").alias("place", "key"))
+    order = F.shiftleft(COPIES - F.col("copies"), 52) + F.shiftleft(F.least(F.col("place").cast("long"), F.lit(PLACE)), 30) + F.least("size", F.lit(SIZE))
+    met = zipped.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = cut(zipped.select("key", "set", order.alias("order")).join(met, "key", "left_semi"), f"{folder}/shared")
+    remove(spark, f"{folder}/described")
 
     def segments(wanted: DataFrame) -> DataFrame:
         """The wanted sets, cut into fragments; their texts are read again."""
-        source = cut(wanted.join(classes, "set").select(F.col("least_id").alias("id")).distinct())
-        few = source.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS  # else the texts are shuffled by id
-        texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(source) if few else source, "id", "left_semi")
+        source = cut(wanted.join(classes.select("set", "row", "twin"), "set"))
+        texts = keyed(docs, id_col, text_col).join(lean(source), ["row", "twin"]).select("set", "text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = sketch.value
+            rarity = sketch.value
             for batch in batches:
-                names, at, rows = [], [], []
-                for _, found in _sets(batch, n, own):
-                    if len(found):
-                        name, edges = _identity(found), np.searchsorted(found, cuts)
-                        for k, part in enumerate(np.split(found, edges)):
-                            if len(part):
-                                names.append(name)
-                                at.append(k)
-                                rows.append(part)
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(at, pa.int32()), _lists(rows)], ["set", "fragment", "keys"])
+                names = batch.column("set").to_numpy()
+                for first, last, sets in _sets(batch, n, rarity):
+                    parts = [(name, k, part) for name, keys in zip(names[first:last], sets, strict=True) for k, part in enumerate(np.split(keys, np.searchsorted(keys, cuts))) if len(part)]
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in parts], pa.int64()), pa.array([x[1] for x in parts], pa.int32()), _lists([x[2] for x in parts])], ["set", "fragment", "keys"])
 
         return texts.mapInArrow(run, "set long, fragment int, keys array<long>").dropDuplicates(["set", "fragment"])
 
     def tested(pairs: DataFrame) -> DataFrame:
-        parts = cut(segments(pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()))
+        parts = cut(segments(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()))
         found = overlaps(pairs, parts)
         return cut(found.where(denominator * F.col("overlap") >= numerator * (F.col("sizes") - F.col("overlap"))).select("a", "b", "overlap"))
 
+    def paired(rows: DataFrame, apart: Column | bool = True) -> DataFrame:
+        """Pairs of rows that share a key."""
+        x, y = rows.alias("x"), rows.alias("y")
+        met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.set") < F.col("y.set")) & F.lit(apart) & _possible(F.col("x.order"), F.col("y.order"), numerator, denominator))
+        return met.select(F.col("x.set").alias("a"), F.col("y.set").alias("b"), (_size(F.col("x.order")) + _size(F.col("y.order"))).alias("sizes")).distinct()
+
+    if whole:
+        first = cut(paired(shared))
+    else:
+        # The leader is the class with the most copies: near copies gather around the text they came from.
+        lead = shared.groupBy("key").agg(F.min("order").alias("best"), F.min_by("set", "order").alias("lead"))
+        led = shared.join(lead, "key").where((F.col("set") != F.col("lead")) & _possible(F.col("order"), F.col("best"), numerator, denominator))
+        low, high = F.least("set", "lead"), F.greatest("set", "lead")
+        first = cut(led.select(low.alias("a"), high.alias("b"), (_size(F.col("order")) + _size(F.col("best"))).alias("sizes")).distinct())
     links = tested(first)
-    joined = connected_components(links)
-    named = shared.join(joined.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
-    open_keys = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    rest = cut(named.join(open_keys, "key").select("key", "set", "size", "place", "component", F.col("lead.set").alias("lead")))
-    x, y = rest.alias("x"), rest.alias("y")
-    apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.set") < F.col("y.set")) & (F.col("x.lead") != F.col("x.set")) & (F.col("y.lead") != F.col("y.set")) & _possible(F.col("x.size"), F.col("x.place"), F.col("y.size"), F.col("y.place"), numerator, denominator))
-    second = cut(apart.select(F.col("x.set").alias("a"), F.col("y.set").alias("b"), (F.col("x.size") + F.col("y.size")).alias("sizes")).distinct().join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    if not second.isEmpty():
-        more = tested(second)
-        if not more.isEmpty():
-            links = cut(links.unionByName(more))
-            joined = connected_components(links)
-    placed = classes.join(joined.withColumnRenamed("node", "set"), "set", "left").withColumn("group", F.coalesce("component", "set")).drop("component")
-    names = placed.groupBy("group").agg(F.min("least_id").alias("component"))
-    return members, placed.join(names, "group").drop("group"), links
+    joined = cut(connected_components(links).withColumnRenamed("node", "set"))
+    if not whole:
+        placed = shared.join(lean(joined), "set", "left").withColumn("component", F.coalesce("component", "set"))
+        open_keys = cut(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key"))
+        if not open_keys.isEmpty():
+            rest = cut(placed.join(lean(open_keys), "key"))
+            second = cut(paired(rest, F.col("x.component") != F.col("y.component")).join(lean(first.select("a", "b")), ["a", "b"], "left_anti"))
+            more = second if second.isEmpty() else tested(second)
+            if not more.isEmpty():
+                links = cut(links.unionByName(more))
+                joined = cut(connected_components(links).withColumnRenamed("node", "set"))
+    remove(spark, f"{folder}/shared")
+    grouped = classes.join(lean(joined), "set", "left").withColumn("group", F.coalesce("component", "set")).drop("component")
+    names = grouped.groupBy("group").agg(F.min("least_id").alias("component"))
+    return members.drop("least_id"), cut(grouped.join(names, "group").select("set", "size", "copies", "least_id", "group", "component")), links
+
+
+def labelled(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """members with the group and the component of their class; an empty set is a component of its own."""
+    full = members.where("size > 0").join(classes.select("set", "group", "component"), "set")
+    return full.unionByName(members.where("size = 0").withColumns({"group": F.lit(None).cast("long"), "component": F.col("id")}))
 
 
 def first_of_each(docs: DataFrame, n: int = 5, numerator: int = 80, denominator: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows without near duplicates: of each component the document with the least id stays.
 
-    Rows with an empty set stay, rows without an id stay, and of repeated rows of one id one stays.
+    Ids that are null come after all others, and of equal ids with different texts the one with the least hash stays.
+    Rows with an empty set stay. Of rows equal in id and text one stays, whatever their other columns. All columns are
+    kept, whatever their names.
     """
     members, classes, _ = jaccard_join(docs, n, numerator, denominator, id_col, text_col)
-    single = members.where(F.col("id").isNotNull())
-    keepers = classes.select(F.col("component").alias("id")).unionByName(single.where("size = 0").select("id")).where(F.col("id").isNotNull()).distinct()
-    again = cut(single.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
-    id_of = F.col(f"`{id_col}`")
-    ids = keepers.withColumnRenamed("id", "_keep")
-    kept = docs.join(ids, id_of == ids["_keep"], "left_semi")
+    rows = labelled(members, classes)
+    keepers = rows.where("size > 0").groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row", "twin")).alias("keep"))
+    gone = rows.where("size > 0").join(keepers, "group").where((F.col("row") != F.col("keep.row")) | (F.col("twin") != F.col("keep.twin"))).select("row", "twin").distinct()
+    again = members.groupBy("row", "twin").agg(F.count("*").alias("n")).where("n > 1").select("row", "twin")
+    marks = ["row", "twin"]
+    tagged = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), *_row_hashes(id_col, text_col))
+    kept = tagged.join(lean(cut(gone)), marks, "left_anti")
+    again = cut(again)
     if not again.isEmpty():
-        twice = again.withColumnRenamed("id", "_twice")
-        kept = kept.join(twice, id_of == twice["_twice"], "left_anti").unionByName(kept.join(twice, id_of == twice["_twice"], "left_semi").dropDuplicates([id_col]))
-    return kept.unionByName(docs.where(id_of.isNull()))
+        kept = kept.join(lean(again), marks, "left_anti").unionByName(kept.join(lean(again), marks, "left_semi").dropDuplicates(marks))
+    return kept.select("doc.*")
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, classes, _ = jaccard_join(table(spark, sf_dir, "documents"), n=3, numerator=90)
-    own = classes.select("set", "component")
-    return members.join(own, "set", "left").select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
+    return labelled(members, classes).select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 QUERIES = {"op2_ngram_jaccard": op2_ngram_jaccard}

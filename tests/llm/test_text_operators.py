@@ -12,6 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from hustings.llm import bpe, hmm, jaccard, licences, ordinal, packing, quality
+from hustings.llm.components import connected_components
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, id string, component string, tail string"
@@ -88,8 +89,7 @@ def linked(texts, n, a, b):
 
 def joined(docs, **how):
     members, classes, _ = jaccard.jaccard_join(docs, **how)
-    rows = members.join(classes.select("set", "component"), "set", "left").collect()
-    return Counter((r["id"], r["size"], r["component"] if r["size"] else r["id"]) for r in rows)
+    return Counter((r["id"], r["size"], r["component"]) for r in jaccard.labelled(members, classes).collect())
 
 
 def test_jaccard_components_equal_brute_force(docs, empty):
@@ -115,12 +115,50 @@ def test_jaccard_on_chains_and_near_copies(spark):
     assert kept == {c for _, _, c in linked(texts, 5, 80, 100)}
 
 
+def test_jaccard_links_rows_without_ids_and_rows_of_one_id(spark):
+    base = [f"b{k}" for k in range(100)]
+    texts = [
+        (5, " ".join(base)), (None, " ".join([*base, "one"])), (None, " ".join([*base[:96], "x", "y"])), (9, " ".join([*base[:92], "x", "y"])),
+        (5, prose(31, 80)), (5, prose(31, 80)), (None, prose(32, 90)), (None, prose(32, 89)), (7, prose(33, 70)), (7, ""), (None, None), (None, None),
+    ]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    assert joined(docs, n=3, numerator=90) == Counter(linked(texts, 3, 90, 100))
+    kept = jaccard.first_of_each(docs, n=3, numerator=90).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(5, texts[0][1]), (5, texts[4][1]), (7, texts[8][1]), (7, ""), (None, None)]) + Counter((r.doc_id, r.text) for r in kept if r.doc_id is None and r.text)
+    assert sum(r.doc_id is None and bool(r.text) for r in kept) == 1
+
+
+def test_jaccard_whole_join_finds_every_pair(spark):
+    rng = np.random.default_rng(8)
+    base = [f"z{k}" for k in range(90)]
+    texts = []
+    for i in range(40):
+        own = list(base)
+        for _ in range(rng.integers(0, 4)):
+            own[rng.integers(90)] = f"q{rng.integers(20)}"
+        texts.append((i, " ".join(own)))
+    members, _, links = jaccard.jaccard_join(spark.createDataFrame(texts, "doc_id long, text string"), n=3, numerator=80, whole=True)
+    name = {r["set"]: shingles(texts[r["id"]][1], 3) for r in members.collect()}
+    found = {frozenset((name[r.a], name[r.b])): r.overlap for r in links.collect()}
+    sets = list({shingles(t, 3) for _, t in texts})
+    want = {frozenset((a, b)): len(a & b) for k, a in enumerate(sets) for b in sets[:k] if 100 * len(a & b) >= 80 * len(a | b)}
+    assert found == want and len(found) > len(sets)
+
+
+def test_components_of_stars_chains_and_none(spark):
+    rows = [(1, 2), (2, 3), (9, 3), (20, 21), (21, 20), (30, 30), *((100, k) for k in range(101, 140))]
+    found = {r.node: r.component for r in connected_components(spark.createDataFrame(rows, "a long, b long")).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 9: 1, 20: 20, 21: 20, **dict.fromkeys(range(100, 140), 100)}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_first_of_each_keeps_columns_and_empty_sets(docs):
     kept = jaccard.first_of_each(docs)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.select("doc_id").collect()]
     assert {2, 3, 4, 7, 10, None} <= set(ids)
     assert ids.count(10) == 1 and 8 not in ids and 16 not in ids and ids.count(None) == 1
+    assert kept.where("row = 'r' and id = 'i' and component = 'c' and tail = 't'").count() == len(ids)
 
 
 def brute_quality(text):
