@@ -299,8 +299,9 @@ def first_of_each(docs: DataFrame, n: int = 5, numerator: int = 80, denominator:
     """
     members, classes, _ = jaccard_join(docs, n, numerator, denominator, id_col, text_col)
     rows = labelled(members, classes)
-    keepers = rows.where("size > 0").groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row", "twin")).alias("keep"))
-    gone = rows.where("size > 0").join(keepers, "group").where((F.col("row") != F.col("keep.row")) | (F.col("twin") != F.col("keep.twin"))).select("row", "twin").distinct()
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row", "twin"))
+    keepers = cut(rows.where("size > 0").groupBy("group").agg(first.alias("keep"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    gone = rows.where("size > 0").join(lean(keepers), "group").where((F.col("row") != F.col("keep.row")) | (F.col("twin") != F.col("keep.twin"))).select("row", "twin").distinct()
     again = members.groupBy("row", "twin").agg(F.count("*").alias("n")).where("n > 1").select("row", "twin")
     marks = ["row", "twin"]
     tagged = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), *_row_hashes(id_col, text_col))
