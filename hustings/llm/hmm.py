@@ -7,9 +7,9 @@ step does not depend on the state, so the likelihood of a text is that of its bu
 Sequences are cut into windows. A window's transfer matrix, the scaled product of its steps, carries the forward vector
 over it exactly, so windows of all documents advance together and a long text costs no more per word than a short one.
 Each round sums expected counts per task, then per block of parameters; only the parameters reach the driver, and their
-number is fixed. A first guess comes from about INIT_DOCUMENTS training documents, twice as many at
-most (a documented bound); every round
-after it runs over all of them.
+number is fixed. The first model comes from counts of neighbouring words over all training documents, in a table of
+fixed size (the commonest words have a row each, the others share rows): expectation and maximisation on that table fits
+a chain of states to it. Every round after it runs over all training texts.
 
 Words outside the broadcast table of the commonest are joined with their counts. Defined results: a null or empty text
 is the end token alone; a null id counts as the empty text when the training part is chosen; repeated rows are scored
@@ -24,6 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ from hustings.llm.common import cut, hashed_texts, mix, table
 
 STATES, OWN, SHARED, WINDOW = 6, 8192, 4096, 64
 KNOWN = 1 << 17
-INIT_DOCUMENTS, INIT_ROUNDS, ROUNDS = 600, 25, 2
+PAIRS_OWN, PAIRS_SHARED, PAIR_ROUNDS, ROUNDS = 767, 256, 200, 2
 BLOCKS = 32
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 
@@ -214,27 +215,76 @@ def _unpack(rows: list, states: int, buckets: int) -> tuple[np.ndarray, np.ndarr
     return flat[:states], flat[states : states + states**2].reshape(states, states), flat[states + states**2 :].reshape(buckets, states)
 
 
+def coarse(buckets: np.ndarray) -> np.ndarray:
+    """Rows of the table of pairs: the commonest words, the end, shared ones."""
+    last = OWN + SHARED
+    shared = PAIRS_OWN + 1 + buckets % PAIRS_SHARED
+    return np.where(buckets < PAIRS_OWN, buckets, np.where(buckets == last, PAIRS_OWN, shared))
+
+
+def count_pairs(training: DataFrame, text_col: str, table_of) -> np.ndarray:
+    """How often each row of the table is followed by each, within a text."""
+    size = PAIRS_OWN + 1 + PAIRS_SHARED
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = np.zeros(size * size, np.int64)
+        for batch in batches:
+            for _, _, hashes, offsets in sequences(batch):
+                at = coarse(table_of.value.look(hashes)[0])
+                inside = np.ones(len(at), bool)
+                inside[offsets[1:] - 1] = False  # nothing follows the end
+                inside = inside[:-1]
+                pairs += np.bincount(at[:-1][inside] * size + at[1:][inside], minlength=size * size)
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for block, part in enumerate(np.array_split(pairs, BLOCKS)):
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([pack(part.tobytes())])], ["block", "sums"])
+
+    def merge(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        total = sum(np.frombuffer(unpack(x.as_py()), np.int64) for part in parts for x in part.column("sums"))
+        packed = zstandard.ZstdCompressor(level=1).compress(total.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([packed])], ["block", "sums"])
+
+    counted = training.select(F.col(text_col).alias("text")).mapInArrow(count, "block int, sums binary")
+    rows = counted.groupBy("block").applyInArrow(merge, "block int, sums binary").collect()  # BLOCKS rows
+    if not rows:
+        return np.zeros((size, size))
+    unpack = zstandard.ZstdDecompressor().decompress
+    return np.concatenate([np.frombuffer(unpack(bytes(x["sums"])), np.int64) for x in sorted(rows, key=lambda x: x["block"])]).reshape(size, size).astype(float)
+
+
+def fit_pairs(pairs: np.ndarray, states: int, rounds: int | None = None, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[float]]:
+    """(share of each state, moves, emissions, log-likelihood of each round) of a chain of states fitted to pair counts."""
+    rng, size = np.random.default_rng(seed), len(pairs)
+    shares = (pairs.sum(axis=0) + pairs.sum(axis=1) + 1) / (2 * pairs.sum() + size)
+    p, move = np.full(states, 1 / states), 0.5 * np.eye(states) + 0.5 / states
+    emit = shares[:, None] * rng.dirichlet(np.full(states, 2.0), size)
+    emit /= emit.sum(axis=0)
+    seen: list[float] = []
+    for _ in range(PAIR_ROUNDS if rounds is None else rounds):
+        joint = p[:, None] * move
+        chance = emit @ joint @ emit.T
+        seen.append(float((pairs * np.log(np.maximum(chance, 1e-300))).sum()))
+        if len(seen) > 1 and seen[-1] - seen[-2] <= 1e-6 * abs(seen[-1]):
+            break
+        ratio = pairs / np.maximum(chance, 1e-300)
+        moved = joint * (emit.T @ ratio @ emit)
+        emitted = emit * (ratio @ emit @ joint.T) + emit * (ratio.T @ emit @ joint)
+        p = (moved.sum(axis=1) + 1) / (moved.sum() + states)
+        move = (moved + 1) / (moved + 1).sum(axis=1, keepdims=True)
+        emit = emitted + shares[:, None]
+        emit /= emit.sum(axis=0)
+    return p, move, emit, seen
+
+
 def train(training: DataFrame, text_col: str, words: Words, prior: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch: a guess from a bounded sample in one task, then `rounds` passes over all training texts."""
+    """Baum-Welch: a first model from counts of pairs, then `rounds` passes, both over all training texts."""
     spark, buckets = training.sparkSession, len(prior)
     table_of = spark.sparkContext.broadcast(words)
-
-    def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(7)
-        model = Model(np.full(states, 1 / states), 0.9 * np.eye(states) + 0.1 / states, prior[:, None] * rng.dirichlet(np.full(states, 2.0), buckets))
-        model.emit /= model.emit.sum(axis=0)
-        slices = [(table_of.value.look(h)[0], o) for batch in batches for _, _, h, o in sequences(batch)]
-        for _ in range(INIT_ROUNDS):
-            sums = np.zeros(states), np.zeros((states, states)), np.zeros((buckets, states))
-            for own, offsets in slices:
-                expect(model, own, offsets, *sums)
-            model = improve(*sums, prior)
-        yield from _blocks(model.start, model.move, model.emit)
-
-    # About as many documents as the bound says, by a hash of their rows; no sorting, no gathering of more.
-    share = int(min(1.0, INIT_DOCUMENTS / max(training.count(), 1)) * (1 << 30))
-    sample = training.where(F.pmod(F.xxhash64(*training.columns), F.lit(1 << 30)) < share).select(F.col(text_col).alias("text")).limit(2 * INIT_DOCUMENTS)
-    model = Model(*_unpack(sample.coalesce(1).mapInArrow(guess, "block int, sums binary").collect(), states, buckets))
+    p, move, rough, _ = fit_pairs(count_pairs(training, text_col, table_of), states)
+    at = coarse(np.arange(buckets))
+    emit = prior[:, None] * rough[at] / np.maximum(np.bincount(at, prior, len(rough)), 1e-300)[at][:, None]
+    model = Model(p, move, 0.95 * emit / np.maximum(emit.sum(axis=0), 1e-300) + 0.05 * prior[:, None])
     for _ in range(rounds):
         current = spark.sparkContext.broadcast(model)
 
