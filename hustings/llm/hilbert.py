@@ -27,11 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hustings.llm.common import cut, table
+from hustings.llm.common import cut, lean, table
 
 CURVES, DIMENSIONS, BITS = 8, 4, 15
 SAMPLE, RECALL = 64, 0.95
-BLOCK_LOW, BLOCK_HIGH = 4096, 32_768
+BLOCK_LOW, BLOCK_HIGH = 256, 32_768
+#: Queries of one block that are compared in one task; more are dealt to several.
+PER_TASK = 2048
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -158,9 +160,13 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
 
     window = _window(base, source, ranked, k, recall, total)
     block = int(min(max(window, BLOCK_LOW), BLOCK_HIGH))
-    rows = ranked.where("not asks").select("curve", "id", F.floor(F.col("place") / block).cast("long").alias("block")).join(base, "id").select("curve", "block", "id", "v")
+    rows = ranked.where("not asks").select("curve", "id", F.floor(F.col("place") / block).cast("long").alias("block"))
     spans = F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("place") - window) / block)).cast("long"), F.floor((F.col("place") + window) / block).cast("long"))).alias("block")
-    asked = ranked.where("asks").select("curve", "id", spans).join(source.where("asks").select("id", "v"), "id").select("curve", "block", "id", "v").toDF("on", "at", "asking", "q")
+    asked = ranked.where("asks").select("curve", "id", spans)
+    # A block's candidates go to as many tasks as its queries need, so that no group grows with the queries.
+    parts_of = lean(cut(asked.groupBy("curve", "block").agg(F.ceil(F.count("*") / PER_TASK).cast("int").alias("parts"))))
+    asked = asked.join(parts_of, ["curve", "block"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).join(source.where("asks").select("id", "v"), "id").select("curve", "block", "part", "id", "v").toDF("on", "at", "of", "asking", "q")
+    rows = rows.join(parts_of, ["curve", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(base, "id").select("curve", "block", "part", "id", "v")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
@@ -174,7 +180,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
         cols = [np.concatenate(x) for x in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table(dict(zip(("query_id", "id", "score"), cols, strict=True)))
 
-    found = rows.groupBy("curve", "block").cogroup(asked.groupBy("on", "at")).applyInArrow(compare, "query_id long, id long, score double")
+    found = rows.groupBy("curve", "block", "part").cogroup(asked.groupBy("on", "at", "of")).applyInArrow(compare, "query_id long, id long, score double")
     best = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
