@@ -5,7 +5,8 @@ The pattern matches from left to right without looking back, so once two neighbo
 boundary inside their overlap, they agree on all that follow: the text can be cut there, unless white space stands
 before the boundary (the pattern looks ahead behind white space, and the piece's end would hide what follows). The
 pieces between such boundaries are encoded independently and their ids concatenated. Neighbours without such a boundary
-within the overlap (one pre-token longer than it) stay one piece.
+within the overlap (one pre-token longer than it) stay one piece; the scan goes on from the last sure boundary, so that
+the next neighbours can agree again.
 
 Defined results: a null text encodes like an empty one, to no ids; repeated rows give repeated rows; columns other than
 the id and the text are not carried (their names cannot clash); an empty table gives an empty table.
@@ -67,25 +68,26 @@ def _ints(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def chunks(docs: DataFrame, id_col: str, text_col: str, chunk: int, overlap: int) -> DataFrame:
-    """(row, doc, chunk_no, last, body) of texts longer than a chunk; row tells repeated rows apart."""
+def chunks(docs: DataFrame, text_col: str, chunk: int, overlap: int) -> DataFrame:
+    """(row, id, chunk_no, last, body) of the texts of (row, id, text)."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, doc, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for k in range(batch.num_rows):
+                text = batch.column(text_col)[k].as_py()
                 starts = range(0, max(1, len(text) - overlap), chunk)
-                for k, s in enumerate(starts):
-                    end = len(text) if k == len(starts) - 1 else s + chunk + overlap
-                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((row, pa.int64()), (doc, batch.column(1).type), (k, pa.int32()), (end == len(text), pa.bool_()), (text[s:end], pa.string()))], ["row", "doc", "chunk_no", "last", "body"])
+                bodies = [text[s : len(text) if s == starts[-1] else s + chunk + overlap] for s in starts]
+                at = pa.array(np.zeros(len(bodies), np.int64))
+                row = batch.slice(k, 1)
+                last = [n == len(bodies) - 1 for n in range(len(bodies))]
+                yield pa.RecordBatch.from_arrays([row.column("row").take(at), row.column("id").take(at), pa.array(range(len(bodies)), pa.int32()), pa.array(last), pa.array(bodies, pa.string())], ["row", "id", "chunk_no", "last", "body"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    # Equal rows get equal row keys by number within the table, not by position: the count tells them apart.
-    keyed = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(id_col).alias("doc"), F.col(text_col).alias("body"))
-    return keyed.mapInArrow(split, f"row long, doc {kind}, chunk_no int, last boolean, body string")
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.mapInArrow(split, f"row long, id {kind}, chunk_no int, last boolean, body string")
 
 
 def pieces(spread: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFrame:
-    """Chunks cut at the boundaries where neighbours resynchronise: (row, doc, piece_no, body)."""
+    """Chunks cut at the boundaries where neighbours resynchronise: (row, id, piece_no, body)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,42 +98,57 @@ def pieces(spread: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFra
                 tails.append(tail)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))], [*batch.schema.names, "head", "tail"])
 
-    kind = spread.schema["doc"].dataType.simpleString()
-    scanned = spread.mapInArrow(scan, f"row long, doc {kind}, chunk_no int, last boolean, body string, head array<int>, tail array<int>")
-    # A document's chunks meet again by hash; a group is one document, never more than the row it came from.
-    return scanned.groupBy("row").applyInArrow(lambda group: _stitch(group, chunk), f"row long, doc {kind}, piece_no int, body string")
-
-
-def _stitch(group: pa.Table, chunk: int) -> pa.Table:
-    at = np.argsort(group.column("chunk_no").to_numpy(), kind="stable")
-    numbers, doc = group.column("chunk_no").to_numpy()[at], group.column("doc")[0]
-    keep = at[np.concatenate([[True], numbers[1:] != numbers[:-1]])]  # equal rows have the same chunks
-    bodies, heads, tails = ([group.column(c)[int(i)].as_py() for i in keep] for c in ("body", "head", "tail"))
-    cuts, synced, base = [], True, 0
-    for k in range(len(keep) - 1):
-        # The left chunk's boundaries hold only while its own scan has been tied to the text's start.
-        both = sorted({x - chunk for x in tails[k]} & set(heads[k + 1])) if synced else []
-        synced = bool(both)
-        safe = next((x for x in both if not bodies[k][chunk + x - 1].isspace()), None)
-        if safe is not None:
-            cuts.append((k, safe))
-    out, part, k, low = [], [], 0, 0
-    for at_chunk, where in [*cuts, (len(keep) - 1, None)]:
-        while k < at_chunk:  # no cut between k and k + 1: the piece runs on
-            part.append(bodies[k][low:chunk])
-            k, low = k + 1, 0
-        part.append(bodies[k][low : None if where is None else chunk + where])
-        out.append("".join(part))
-        part, low, k = [], where, k + 1
+    kind = spread.schema["id"].dataType.simpleString()
+    scanned = spread.mapInArrow(scan, f"row long, id {kind}, chunk_no int, last boolean, body string, head array<int>, tail array<int>")
+    # A row's chunks meet again by its number; a group is one row, never more than the text it came from.
+    return scanned.groupBy("row").applyInArrow(lambda group: _stitch(group, pattern, chunk), f"row long, id {kind}, piece_no int, body string")
+
+
+def cuts_of(bodies: list[str], heads: list[list[int]], tails: list[list[int]], pattern: str, chunk: int) -> list[int]:
+    """Places of the text at which neighbouring chunks agree and no white space precedes.
+
+    A chunk's own boundaries count once its scan is tied to the text's start, through one that its neighbour agrees on.
+    Where neighbours agree on none, the scan goes on from the last sure boundary through the next chunk.
+    """
+    found: list[int] = []
+    sure, last, scanned = set(tails[0]), max(tails[0], default=0), 0
+    for k in range(1, len(bodies)):
+        base = k * chunk
+        both = sorted(sure.intersection(base + x for x in heads[k]))
+        if both:
+            safe = next((x for x in both if not (bodies[k][x - base - 1] if x > base else bodies[k - 1][x - base + chunk - 1]).isspace()), None)
+            if safe is not None:
+                found.append(safe)
+            sure, scanned = {base + x for x in tails[k]}, 0
+            last = max(sure, default=both[-1])
+            continue
+        sure = set()
+        end = base + len(bodies[k])
+        if end - last >= 2 * scanned:  # one long pre-token is read again only after its length has doubled
+            low = last // chunk
+            text = "".join([*(x[:chunk] for x in bodies[low:k]), bodies[k]])[last - low * chunk :]
+            head, tail = boundaries(text, pattern, -1, base + chunk - last, k == len(bodies) - 1)
+            sure, scanned = {last + x for x in tail}, end - last
+            if sure:
+                last, scanned = max(sure), 0
+    return found
+
+
+def _stitch(group: pa.Table, pattern: str, chunk: int) -> pa.Table:
+    group = group.sort_by("chunk_no")
+    bodies, heads, tails = (group.column(c).to_pylist() for c in ("body", "head", "tail"))
+    text = "".join([*(x[:chunk] for x in bodies[:-1]), bodies[-1]])
+    edges = [0, *cuts_of(bodies, heads, tails, pattern, chunk), len(text)]
+    out = [text[a:b] for a, b in zip(edges, edges[1:], strict=False)]
     n = len(out)
-    return pa.table({"row": pa.array([group.column("row")[0].as_py()] * n, pa.int64()), "doc": pa.array([doc.as_py()] * n, group.schema.field("doc").type), "piece_no": pa.array(range(n), pa.int32()), "body": pa.array(out, pa.string())})
+    same = pa.array(np.zeros(n, np.int64))
+    return pa.table({"row": group.column("row").take(same), "id": group.column("id").take(same), "piece_no": pa.array(range(n), pa.int32()), "body": pa.array(out, pa.string())})
 
 
 def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(id, ids array<int>) of every row's whole text."""
     kind = docs.schema[id_col].dataType.simpleString()
-    body = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("doc"), body.alias("body"))
+    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoding(path, pattern)
@@ -141,15 +158,13 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
                 names = [x for x in part.schema.names if x != "body"]
                 yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), _ints([ids_of(own, x) for x in part.column("body").to_pylist()])], [*names, "ids"])
 
-    short = base.where(F.length("body") <= chunk + overlap).mapInArrow(run, f"doc {kind}, ids array<int>")
-    long = base.where(F.length("body") > chunk + overlap)
-    spread = chunks(long, "doc", "body", chunk, overlap).repartition("row", "chunk_no")
-    done = pieces(spread, pattern, chunk, overlap).repartition("row", "piece_no").mapInArrow(run, f"row long, doc {kind}, piece_no int, ids array<int>")
-    # The pieces of one document, in order; equal rows were stitched as one and come back by their count.
-    whole = done.groupBy("row", "doc").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "ids"))), lambda x: x["ids"])).alias("ids"))
-    times = long.groupBy(F.xxhash64("doc", "body").alias("row")).agg(F.count("*").alias("times"))
-    back = whole.join(times, "row").select("doc", "ids", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")).drop("copy")
-    return short.unionByName(back).select(F.col("doc").alias(id_col), "ids")
+    short = base.where(F.length("body") <= chunk + overlap).mapInArrow(run, f"id {kind}, ids array<int>")
+    # Every row has its number, so that repeated rows stay apart and no group holds more than one of them.
+    long = base.where(F.length("body") > chunk + overlap).select(F.monotonically_increasing_id().alias("row"), "id", "body")
+    spread = chunks(long, "body", chunk, overlap).repartition("row", "chunk_no")
+    done = pieces(spread, pattern, chunk, overlap).repartition("row", "piece_no").mapInArrow(run, f"row long, id {kind}, piece_no int, ids array<int>")
+    whole = done.groupBy("row").agg(F.first("id").alias("id"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "ids"))), lambda x: x["ids"])).alias("ids"))
+    return short.unionByName(whole.drop("row")).select(F.col("id").alias(id_col), "ids")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
