@@ -1,8 +1,10 @@
 """Operator 5: WARC archives, one gzip member per record, and their sequential reader.
 
-The writer gives each record its own gzip member. Spark's text sink writes the members as they are, with one zero byte
-after each; gzip readers skip zero padding between members. So the files lie wherever Spark can write, and no executor
-opens a path by itself. The reader goes through a file once: it inflates in small steps, frames a record by its
+The writer gives each record its own gzip member. Spark's text sink writes the members as they are, with a zero byte
+after each. That byte is the member's own last one: the highest of its length, which is zero below 16 MB and left to the
+sink; a longer record is followed by an empty member, whose length ends in zero too. So the files are plain gzip, lie
+wherever Spark can write, and no executor opens a path by itself. A file holds so many records of mean length as fill
+FILE_BYTES. The reader goes through a file once: it inflates in small steps, frames a record by its
 Content-Length, hashes the payload on the way and compares it with the record's digest.
 
 Payloads that are equal and at least `least` bytes long are stored once, with the largest id; the others become revisit
@@ -14,6 +16,7 @@ gives no archive and an empty table.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -28,7 +31,9 @@ from hustings.llm.common import cut, shared_dir, table
 
 #: More repeated payloads than this are joined by a shuffle and not broadcast.
 BROADCAST_ROWS = 50_000
-RECORDS_PER_FILE = 20_000
+FILE_BYTES = 64 << 20
+SEPARATOR = "\x00"
+EMPTY = gzip.compress(b"", mtime=0)
 STEP = 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -58,6 +63,11 @@ def record(page: int | None, url: str | None, payload: bytes, digest: str, refer
     return deflate.compress("\r\n".join(lines).encode()) + deflate.compress(block) + deflate.compress(b"\r\n\r\n") + deflate.flush()
 
 
+def line(member: bytes) -> bytes:
+    """The member without its last byte, which the sink's separator adds."""
+    return (member if member[-1] == 0 else member + EMPTY)[:-1]
+
+
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
     """Write the pages as archives in a folder."""
     base = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
@@ -72,11 +82,24 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64).to_pylist()
-                raw = [record(x["page"], x["url"], x["payload"], digest32(bytes.fromhex(x["digest"])), x["refers"], date) for x in part]
+                raw = [line(record(x["page"], x["url"], x["payload"], digest32(bytes.fromhex(x["digest"])), x["refers"], date)) for x in part]
                 yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary())], ["raw"])
 
     members = joined.select("page", "url", "payload", "digest", refers.alias("refers")).mapInArrow(run, "raw binary")
-    members.select(F.col("raw").cast("string")).write.option("lineSep", "\x00").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    mean = pages.agg(F.avg(F.octet_length(F.col(payload_col)))).first()[0] or 0
+    members.select(F.col("raw").cast("string")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", max(1, int(FILE_BYTES / (mean + 1000)))).text(path)
+    _rename(pages.sparkSession, path)
+
+
+def _rename(spark: SparkSession, path: str) -> None:
+    """Give the sink's files the archives' name."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in files.listStatus(folder):
+        name = status.getPath().getName()
+        if name.endswith(".txt"):
+            files.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(folder, name[:-4] + ".warc.gz"))
 
 
 class Members:
@@ -86,10 +109,14 @@ class Members:
         self.content, self.at, self.buffer, self.inflate = content, 0, bytearray(), None
 
     def next_member(self) -> bool:
-        while self.at < len(self.content) and self.content[self.at] == 0:
-            self.at += 1
-        self.inflate, self.buffer = zlib.decompressobj(31), bytearray()
-        return self.at < len(self.content)
+        """Open the next member that isn't empty."""
+        while self.at < len(self.content):
+            self.inflate, self.buffer = zlib.decompressobj(31), bytearray()
+            while not self.buffer and self.more():
+                pass
+            if self.buffer:
+                return True
+        return False
 
     def more(self) -> bool:
         """Inflate one more step of this member; False at its end."""
@@ -184,10 +211,16 @@ def read_archives(spark: SparkSession, path: str, keep: bool = False) -> DataFra
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, pa.schema(fields))
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("content")
     return files.mapInArrow(run, "page long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
 
 
+def unresolved(records: DataFrame) -> DataFrame:
+    """The revisit records without a response of the page and digest that they refer to."""
+    there = records.where("record_type = 'response'").select(F.col("page").alias("refers_to"), "payload_digest").distinct()
+    return records.where("record_type = 'revisit'").join(there, ["refers_to", "payload_digest"], "left_anti")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(table(spark, sf_dir, "pages"), path)
