@@ -1,9 +1,9 @@
 """Operator 9: licence scan by a positional rare-token index, in DataFrame functions only.
 
 The postings hold every word of every notice template with its place. Of each file only its licence words are looked
-up, all of them; a template's postings and the file's places agree on an alignment when place minus posting is the same. The weight matched at the best alignment, over the template's weight,
-is the score; a template counts if the score reaches the least and one of its mandatory key phrases stands there word
-by word. Files with equal licence words at equal places are looked up once.
+up, all of them; a template's postings and the file's places agree on an alignment when place minus posting is the
+same. The weight matched at the best alignment, over the template's weight, is the score; a template counts if the
+score reaches the least and one of its mandatory key phrases stands there word by word. Files with equal licence words at equal places are looked up once.
 
 Defined results: a null or empty text has no words and no labels; repeated rows are labelled alike; other columns are
 not carried; an empty table gives an empty table.
@@ -35,8 +35,7 @@ NOTICES = [
 #: Words so common in prose that they never start a lookup; they still count for key phrases.
 COMMON = "a an and any are at by can for free in is it may not of or that the this to use under with you work version 0 2 4".split()
 LEAST_SCORE = 0.6
-#: So many licence words of a file the SQL looks up; the scan looks up all, so they differ on files with more.
-RARE_WORDS = 16
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -51,7 +50,7 @@ def read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """(id, n_words, places by label, hits): the base phrases' places, and the licence words with theirs."""
     vocabulary = sorted({w for _, notice, _ in NOTICES for w in notice.split(" ")} - set(COMMON))
     every = sorted({w for _, notice, _ in NOTICES for w in notice.split(" ")})
-    df = docs.select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    df = docs.select(F.col(id_col).alias("id"), F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER).alias("text"))
     df = df.select("id", F.contains("text", F.lit("license")).alias("named"), F.filter(F.split("text", SEPARATOR), lambda w: w != "").alias("words"))
     none = F.array().cast("array<int>")
     marks = F.transform("words", lambda w, i: F.when(w.isin(every), F.struct(w.alias("w"), i.alias("i"))))
@@ -72,14 +71,14 @@ def postings(spark: SparkSession) -> DataFrame:
             parts = phrase.split(" ")
             start = next(i for i in range(len(words)) if words[i : i + len(parts)] == parts)
             inside |= dict.fromkeys(range(start, start + len(parts)), number)
-        rows += [(notice, label, w, i, inside.get(i), w not in COMMON) for i, w in enumerate(words)]
-    return spark.createDataFrame(rows, "notice int, label string, word string, posting int, key int, rare boolean")
+        rows += [f"({notice}, '{label}', '{w}', {i}, {inside.get(i, 'CAST(NULL AS INT)')}, {w not in COMMON})" for i, w in enumerate(words)]
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS p (notice, label, word, posting, key, rare)")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per file: n_words, places of each base label, notices found (labels) and the best score."""
     spark = docs.sparkSession
-    files = cut(read(docs, id_col, text_col).withColumn("same", F.when(F.size("hits") > 0, F.xxhash64("hits"))))
+    files = cut(read(docs, id_col, text_col).withColumn("same", F.when(F.size("hits") > 0, F.md5(F.to_json("hits")))))
     index = F.broadcast(postings(spark))
     total = files.count()
     several = files.where("same is not null").groupBy("same").agg(F.first("hits").alias("hits"), F.count("*").alias("copies"))
@@ -128,15 +127,14 @@ def _oracle() -> str:
         rows += [f"({notice}, '{label}', '{w}', {i}, {str(w not in COMMON).upper()}, {str(start <= i < start + len(keys[0].split(' '))).upper()})" for i, w in enumerate(words)]
     chain = {label: phrase.split(" ") for phrase, label in PHRASES.items()}
     base = " UNION ALL ".join(f"SELECT a.doc_id, a.i, '{label}' AS label FROM tok a " + " ".join(f"JOIN tok t{k} ON t{k}.doc_id = a.doc_id AND t{k}.i = a.i + {k} AND t{k}.w = '{w}'" for k, w in enumerate(ws) if k) + f" WHERE a.w = '{ws[0]}'" for label, ws in chain.items())
-    return f"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+    return f"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
 post (notice, label, w, posting, rare, key) AS (VALUES {', '.join(rows)}),
 tok AS (SELECT doc_id, w, i FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM d) WHERE w IN (SELECT w FROM post)),
 base AS ({base}),
 found AS (SELECT DISTINCT doc_id, w FROM tok WHERE w IN (SELECT w FROM post WHERE rare)),
 idf AS (SELECT w, ln(((SELECT count(*) FROM documents) + 1.0) / (coalesce(df, 0) + 0.5)) AS idf FROM (SELECT DISTINCT w FROM post WHERE rare) LEFT JOIN (SELECT w, count(*) AS df FROM found GROUP BY w) USING (w)),
 weight AS (SELECT notice, sum(idf) AS weight FROM post JOIN idf USING (w) WHERE rare GROUP BY notice),
-top AS (SELECT doc_id, w, idf FROM (SELECT doc_id, w, idf, row_number() OVER (PARTITION BY doc_id ORDER BY idf DESC, w) AS r FROM found JOIN idf USING (w)) WHERE r <= {RARE_WORDS}),
-met AS (SELECT doc_id, notice, i - posting AS shift, sum(idf) AS matched FROM tok JOIN top USING (doc_id, w) JOIN (SELECT * FROM post WHERE rare) USING (w) GROUP BY ALL),
+met AS (SELECT doc_id, notice, i - posting AS shift, sum(idf) AS matched FROM tok JOIN idf USING (w) JOIN (SELECT * FROM post WHERE rare) USING (w) GROUP BY ALL),
 scored AS (SELECT doc_id, notice, shift, round(least(matched / weight, 1.0), 6) AS score FROM met JOIN weight USING (notice)),
 noticed AS (SELECT doc_id, label, max(score) AS score FROM (SELECT s.doc_id, s.notice, p.label, s.shift, s.score, count(*) AS stand FROM scored s JOIN post p ON p.notice = s.notice AND p.key JOIN tok t ON t.doc_id = s.doc_id AND t.i = s.shift + p.posting AND t.w = p.w WHERE score >= {LEAST_SCORE} GROUP BY ALL) v JOIN (SELECT notice, count(*) AS length FROM post WHERE key GROUP BY notice) l ON l.notice = v.notice AND l.length = v.stand GROUP BY doc_id, label),
 b AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY doc_id),
