@@ -30,10 +30,9 @@ REFERENCES: dict[str, tuple[tuple[float, ...], dict[str, float]]] = {
     "de": ((0.78, 0.04, 0.005, 0.14, 0.015, 0.0, 0.02), {"der": 0.034, "die": 0.032, "und": 0.026, "in": 0.018, "den": 0.013, "von": 0.010, "zu": 0.011, "das": 0.010}),
     "es": ((0.77, 0.02, 0.005, 0.16, 0.025, 0.0, 0.02), {"de": 0.060, "la": 0.037, "que": 0.028, "el": 0.028, "en": 0.025, "y": 0.024, "los": 0.016, "a": 0.018}),
 }
-MAX_CHARACTER_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.45
-#: The limits of `keep`, between the largest distance of labelled clean text (sf0.1: en 0.270, fr 0.279, de 0.235, es
-#: 0.294) and that of a text without any common word (0.337, 0.313, 0.286, 0.360). MAX_WORD_DISTANCE, which no such text
-#: reaches, is that of the query and of its SQL.
+MAX_CHARACTER_DISTANCE = 0.30
+#: Between the largest word distance of labelled clean text (sf0.1: en 0.270, fr 0.279, de 0.235, es 0.294) and that of
+#: a text without any common word (0.337, 0.313, 0.286, 0.360).
 WORD_LIMITS = {"en": 0.30, "fr": 0.295, "de": 0.26, "es": 0.325}
 MIN_CHARACTERS, MIN_WORDS = 200, 50
 
@@ -58,8 +57,9 @@ def _distance(counts: list[Column], total: Column, reference: Column) -> Column:
     return F.sqrt(F.greatest(reduce(add, terms) / 2, F.lit(0.0)))
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", references: dict[str, tuple[tuple[float, ...], dict[str, float]]] = REFERENCES, carry: bool = False) -> DataFrame:
-    """One row per document: base counts and both distances (null where a guard or a missing reference applies).
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", references: dict[str, tuple[tuple[float, ...], dict[str, float]]] = REFERENCES, carry: bool = False, limits: dict[str, float] = WORD_LIMITS) -> DataFrame:
+    """One row per document: base counts and both distances (null where a guard or a missing reference applies),
+    and the language's limit of the word distance.
 
     With carry, the k-th input column comes along as `in_k`, so that its name can't clash.
     """
@@ -111,27 +111,26 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         F.col("repeated").cast("long").alias("n_repeat_words"),
         F.when((F.col("chars") >= MIN_CHARACTERS) & F.col("char_ref").isNotNull(), _distance(classes, F.col("chars"), F.col("char_ref"))).alias("character_distance"),
         F.when((F.col("n") >= MIN_WORDS) & F.col("word_ref").isNotNull(), _distance([*counts, F.col("n") - reduce(add, counts)], F.col("n"), F.col("word_ref"))).alias("word_distance"),
+        _by_language(lang, {name: F.lit(x) for name, x in limits.items()}, "double").alias("word_limit"),
     )
 
 
-def judge(measured: DataFrame, max_character: float = MAX_CHARACTER_DISTANCE, max_word: float | Column = MAX_WORD_DISTANCE) -> DataFrame:
+def judge(measured: DataFrame, max_character: float = MAX_CHARACTER_DISTANCE) -> DataFrame:
     """base_failed and kept for measured documents."""
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    far = (F.coalesce("character_distance", F.lit(0.0)) > max_character) | (F.coalesce("word_distance", F.lit(0.0)) > max_word)
+    far = (F.coalesce("character_distance", F.lit(0.0)) > max_character) | F.coalesce(F.col("word_distance") > F.col("word_limit"), F.lit(False))
     return measured.withColumn("base_failed", failed).withColumn("kept", ~failed & ~far)
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The input rows that are kept, with all their columns."""
-    lang = F.col(f"in_{docs.columns.index(lang_col)}")
-    limit = F.coalesce(_by_language(lang, {name: F.lit(x) for name, x in WORD_LIMITS.items()}, "double"), F.lit(MAX_WORD_DISTANCE))
-    judged = judge(measure(docs, id_col, text_col, lang_col, carry=True), max_word=limit).withColumn("row", F.monotonically_increasing_id())
+    judged = judge(measure(docs, id_col, text_col, lang_col, carry=True)).withColumn("row", F.monotonically_increasing_id())
     # A filter isn't moved below a column that counts rows; moved, it would repeat all expressions above in itself.
     return judged.where(F.col("kept") & (F.col("row") >= 0)).select(*(F.col(f"in_{k}").alias(c) for k, c in enumerate(docs.columns)))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(measure(table(spark, sf_dir, "documents"))).drop("character_distance", "word_distance")
+    return judge(measure(table(spark, sf_dir, "documents"))).drop("character_distance", "word_distance", "word_limit")
 
 
 QUERIES = {"op3_quality_rules": op3_quality_rules}
@@ -152,11 +151,12 @@ def _oracle() -> str:
             sums += [term(p, f"({p} + {q}) / 2"), term(f"CAST({q} AS DOUBLE)", f"({p} + {q}) / 2")]
         return f"sqrt(greatest(({' + '.join(sums)}) / 2, 0))"
 
-    far_c, far_w = "CASE lang", "CASE lang"
+    far_c, far_w, limit = "CASE lang", "CASE lang", "CASE lang"
     for lang, (shares, common) in REFERENCES.items():
         far_c += f" WHEN '{lang}' THEN {distance(parts, 'chars', [x / sum(shares) for x in shares])}"
         hits = [f"h{k}" for k in range(len(common))]
         far_w += f" WHEN '{lang}' THEN {distance([*hits, 'n - ' + ' - '.join(hits)], 'n', [*common.values(), 1 - sum(common.values())])}"
+        limit += f" WHEN '{lang}' THEN {WORD_LIMITS[lang]}"
     refs = "CASE lang " + " ".join(f"WHEN '{lang}' THEN {list(common)}" for lang, (_, common) in REFERENCES.items()) + " END"
     places = max(len(common) for _, common in REFERENCES.values())
     found = ", ".join(f"len(list_filter(ws, lambda x: x = ref[{k + 1}])) AS h{k}" for k in range(places))
@@ -166,7 +166,7 @@ win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, key) AS times FROM
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS repeated FROM win, range(5) r(k) WHERE times > 1 GROUP BY doc_id),
 m AS (SELECT doc_id, lang, {found}, len(ws) AS n, length(text) AS chars, coalesce(dups, 0) AS dups, coalesce(repeated, 0) AS repeated, {counts} FROM (SELECT *, {refs} AS ref FROM d) LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
 j AS (SELECT *, CASE WHEN chars >= {MIN_CHARACTERS} THEN {far_c} END END AS far_c, CASE WHEN n >= {MIN_WORDS} THEN {far_w} END END AS far_w, n < 10 OR 100 * repeated > 20 * n AS failed FROM m)
-SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(chars - c_space AS BIGINT) AS word_chars, CAST(c_symbol AS BIGINT) AS n_symbols, CAST(dups AS BIGINT) AS n_dup_lines, CAST(repeated AS BIGINT) AS n_repeat_words, failed AS base_failed, NOT failed AND coalesce(far_c, 0) <= {MAX_CHARACTER_DISTANCE} AND coalesce(far_w, 0) <= {MAX_WORD_DISTANCE} AS kept FROM j"""
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(chars - c_space AS BIGINT) AS word_chars, CAST(c_symbol AS BIGINT) AS n_symbols, CAST(dups AS BIGINT) AS n_dup_lines, CAST(repeated AS BIGINT) AS n_repeat_words, failed AS base_failed, NOT failed AND coalesce(far_c, 0) <= {MAX_CHARACTER_DISTANCE} AND coalesce(far_w <= {limit} END, TRUE) AS kept FROM j"""
 
 
 ORACLES = {"op3_quality_rules": _oracle()}
