@@ -3,13 +3,14 @@
 One weight per hashed text feature is shared by all grades; ordered thresholds cut the score into grades, so that
 P(grade <= k) is the logistic of threshold k minus the score. A document gets its expected grade and the probability of
 the highest grade, by which documents are selected. Features are the distinct words (runs of letters) and a few shapes
-of the text, binned. The weights are fitted on about MAX_LABELLED labelled rows (a documented bound, twice as many at
-most), chosen by a hash of the id, in one task; scoring runs over all documents with a model whose size follows that bound.
+of the text, binned. The weights are fitted on about MAX_LABELLED labelled rows (a documented bound), chosen by a hash of
+the id, in one task; scoring runs over all documents with a model whose size follows that bound. A feature needs a
+weight if it stands in one of a thousand documents of the sample, in two at least.
 
 Defined results: a null or empty text has the shape features of an empty one; without any label every weight is zero
 and every document is selected; rows with a null rating are not fitted on; repeated rows are scored alike; columns of
-the input that have the name of a result column are replaced by it; an empty table gives an empty table; a tail
-probability equal to the least one selects.
+the input that have the name of a result column are replaced by it in `grade` and kept in `select`; an empty table
+gives an empty table; a tail probability equal to the least one selects.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from hustings.llm.common import WHITE, hashed_texts, mix, slices, table, texts_o
 
 BITS = 24
 MAX_LABELLED = 20_000
-LEAST_DOCUMENTS = 20
+LEAST_SHARE = 1e-3
 EPOCHS, BATCH, RATE, SHRINK = 12, 128, 0.15, 1e-2
 LEAST_TAIL = 0.5
 
@@ -92,10 +93,22 @@ class Model:
         return np.bincount(rows, np.where(self.features[at] == found, self.weights[at], 0.0), minlength=count)
 
 
+def slopes(scores: np.ndarray, grades: np.ndarray, cuts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The negated log-likelihood of the grades, and its slopes in the scores and in the thresholds."""
+    edge = np.concatenate([[-np.inf], cuts, [np.inf]])
+    with np.errstate(over="ignore"):
+        high, low = 1 / (1 + np.exp(scores - edge[grades + 1])), 1 / (1 + np.exp(scores - edge[grades]))
+    chance = np.maximum(high - low, 1e-12)
+    down = np.zeros(len(cuts) + 2)
+    np.subtract.at(down, grades + 1, high * (1 - high) / chance)
+    np.add.at(down, grades, low * (1 - low) / chance)
+    return float(-np.log(chance).sum()), 1 - high - low, down[1:-1]
+
+
 def fit_arrays(rows: np.ndarray, found: np.ndarray, grades: np.ndarray, n_grades: int, seed: int = 3) -> Model:
     """Adagrad on the log-likelihood over mini-batches; features of too few documents have no weight."""
     kept, place, times = np.unique(found, return_inverse=True, return_counts=True)
-    often = times >= LEAST_DOCUMENTS
+    often = times >= max(2, LEAST_SHARE * len(grades))
     local = np.full(len(kept), -1)
     local[often] = np.arange(often.sum())
     column = local[place]
@@ -114,31 +127,30 @@ def fit_arrays(rows: np.ndarray, found: np.ndarray, grades: np.ndarray, n_grades
             index = np.repeat(starts[take] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
             mine, of = column[index], np.repeat(np.arange(len(take)), lengths)
             score = np.bincount(of, weights[mine], minlength=len(take))
-            edge = np.concatenate([[-np.inf], cuts, [np.inf]])
-            with np.errstate(over="ignore"):
-                high, low = 1 / (1 + np.exp(score - edge[grades[take] + 1])), 1 / (1 + np.exp(score - edge[grades[take]]))
-            chance = np.maximum(high - low, 1e-12)
-            slope = 1 - high - low  # of the negated log-likelihood in the score
+            _, slope, down = slopes(score, grades[take], cuts)
             touched, where = np.unique(mine, return_inverse=True)
             gradient = np.bincount(where, slope[of], minlength=len(touched)) + SHRINK * len(take) * weights[touched]
             size[touched] += gradient**2
             weights[touched] -= RATE * gradient / np.sqrt(size[touched])
-            down = np.zeros(len(cuts) + 2)
-            np.subtract.at(down, grades[take] + 1, high * (1 - high) / chance)
-            np.add.at(down, grades[take], low * (1 - low) / chance)
-            cut_size += down[1:-1] ** 2
-            cuts = np.maximum.accumulate(cuts - RATE * down[1:-1] / np.sqrt(cut_size))
+            cut_size += down**2
+            cuts = np.maximum.accumulate(cuts - RATE * down / np.sqrt(cut_size))
     return Model(kept[often], weights, cuts)
 
 
 def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", bound: int = MAX_LABELLED) -> Model:
-    """The model of documents joined with ratings (id, grade from 0), from about `bound` rated ids, twice as many at most."""
+    """The model of documents joined with ratings (id, grade from 0), fitted on about `bound` rated rows.
+
+    A rated id is in the sample if its hash lies below the share that the bound is of all rated ids. Of several rows
+    of one id the one with the least hash of its text stands for it.
+    """
     rated = ratings.select(F.col(id_col).alias("id"), F.col(grade_col).cast("int").alias("grade")).where("id is not null and grade is not null")
+    rated = rated.groupBy("id").agg(F.min("grade").alias("grade"))
     share = int(min(1.0, bound / max(rated.count(), 1)) * (1 << 30))
-    chosen = rated.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share).groupBy("id").agg(F.min("grade").alias("grade")).limit(2 * bound)
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    chosen = rated.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share)
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    text_of = F.min_by("text", F.xxhash64("text")).alias("text")
     # The scan runs in as many tasks as there are; the sample, whose size is bounded, goes to one.
-    sample = sample.repartition(1).sortWithinPartitions("id", "text").select("text", "grade")
+    sample = found.groupBy("id", "grade").agg(text_of).repartition(1).sortWithinPartitions("id").select("text", "grade")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, found, grades, before = [], [], [], 0
@@ -160,20 +172,27 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc_i
 
 def grade(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The input rows with expected_grade and tail, the probability of the highest grade."""
+    graded_rows = _grade(docs, model, text_col)
+    kept = [(k, c) for k, c in enumerate(docs.columns) if c not in ("expected_grade", "tail")]
+    return graded_rows.select(*(F.col(f"in_{k}").alias(c) for k, c in kept), "expected_grade", "tail")
+
+
+def _grade(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
+    """Column k of the input as in_k, so that no name can clash, with expected_grade and tail."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    base = docs.drop(*(c for c in ("expected_grade", "tail") if c != text_col))
-    names = [*base.columns, "expected_grade", "tail"]
+    base = docs.toDF(*(f"in_{k}" for k in range(len(docs.columns))))
+    names, text = [*base.columns, "expected_grade", "tail"], f"in_{docs.columns.index(text_col)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
             expected, tail = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-            for first, last, rows, found in features(batch, text_col):
+            for first, last, rows, found in features(batch, text):
                 chance = own.grades(own.scores(rows, found, last - first))
                 expected[first:last], tail[first:last] = chance @ np.arange(chance.shape[1]), chance[:, -1]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(expected), pa.array(tail)], names)
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema.fields)
     return base.mapInArrow(run, f"{kinds}, expected_grade double, tail double")
 
 
@@ -183,9 +202,9 @@ def graded(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", value.alias("grade"))
 
 
-def select(docs: DataFrame, model: Model, least: float = LEAST_TAIL) -> DataFrame:
-    """The input rows whose tail probability reaches the least."""
-    return grade(docs, model).where(F.col("tail") >= least).select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("expected_grade", "tail")))
+def select(docs: DataFrame, model: Model, least: float = LEAST_TAIL, text_col: str = "text") -> DataFrame:
+    """The input rows whose tail probability reaches the least, with all their columns."""
+    return _grade(docs, model, text_col).where(F.col("tail") >= least).select(*(F.col(f"in_{k}").alias(c) for k, c in enumerate(docs.columns)))
 
 
 def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
