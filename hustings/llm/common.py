@@ -125,6 +125,8 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray, white: np.ndarray = WHITE)
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word, with A-Z lower-cased: differences of a polynomial prefix sum, then mixed."""
     n = len(raw)
+    if not len(starts):
+        return np.zeros(0, np.uint64)
     _TABLES.grow(n)
     with np.errstate(over="ignore"):
         sums = np.zeros(n + 1, np.uint64)

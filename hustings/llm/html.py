@@ -2,13 +2,13 @@
 
 Block elements are the nodes of a tree; each is content, noise or the frame around both. A node's features (tag, words
 of its class, id and role, length, share of links) have a likelihood in each state, and a parent and its child
-have a 3 x 3 potential. Messages are
-passed up and down the tree (sum-product), which gives every node's exact marginal; text of nodes whose marginal is at
-least one half is the page's content. All potentials are smoothed counts from labelled pages.
+have a 3 x 3 potential. Messages are passed up and down the tree (sum-product), which gives every node's exact marginal;
+text of nodes whose marginal is at least one half is the page's content. All potentials are smoothed counts from labelled pages.
 
 Defined results: a null, empty or textless page gives the empty string; broken mark-up is closed as browsers do for
-paragraphs, lists and tables, and a tag cut off at the end is dropped; repeated rows are extracted each; other columns
-are not carried; an empty table gives an empty table. A marginal of exactly one half counts as content.
+paragraphs, lists and tables, a quote opens an attribute's value only behind an equals sign, and a tag cut off at the end
+is dropped; formulas and words of drawings belong to the text around them, form controls (buttons too) are left out;
+repeated rows are extracted each; other columns are not carried; an empty table gives an empty table. A marginal of exactly one half counts as content.
 """
 
 from __future__ import annotations
@@ -31,16 +31,18 @@ from hustings.llm.common import table
 
 # Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template head title iframe object svg math canvas select textarea button datalist".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var".split())
+SILENT = frozenset("script style noscript template head title iframe object canvas select textarea button datalist".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var "
+                   "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd semantics svg g defs use path circle rect line polyline polygon ellipse text tspan".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 CONTAINERS = frozenset("ul ol dl table html body".split())
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[a-zA-Z/][^<>]*\Z",
+    # A quote opens a value only behind an equals sign.
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|iframe)\b(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>|<[a-zA-Z/][^<>]*\Z",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"(class|id|role|data-content)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|data-content)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
 @dataclass(slots=True)
@@ -302,6 +304,7 @@ def trained() -> Potentials:
 def main_text(pages: DataFrame, model: Potentials | None = None, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, kept columns, text) of every page."""
     own = model or trained()
+    keep = tuple(c for c in keep if c not in (id_col, "text"))  # the result's own columns come first
     kept = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in (id_col, *keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import os
+import subprocess
 
 import numpy as np
 import pytest
@@ -66,6 +67,26 @@ def test_html_leaves_out_comments_forms_and_notices():
     assert text == "Title Body text of the article."
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<article><p title=it's>Some words of a long enough article here.</p><p>That's it, the end of all.</p></article>", "Some words of a long enough article here. That's it, the end of all."),
+        ("<article><p title=\"a > b\">Quoted bracket in a value of an attribute.</p><p>It's fine.</p></article>", "Quoted bracket in a value of an attribute. It's fine."),
+        ("<article><p>The sum <math><mi>x</mi><mo>+</mo><mn>1</mn></math> is a formula in the text.</p></article>", "The sum x+1 is a formula in the text."),
+        ("<article><p>Never closed paragraph of words<p>Another one with <b>bold text</article>", "Never closed paragraph of words Another one with bold text"),
+        ("<article><p data-class='ad' title='x'>An attribute that only ends in class.</p></article>", "An attribute that only ends in class."),
+    ],
+)
+def test_html_of_odd_mark_up(page, want):
+    assert html.extract(page, html.trained()) == want
+
+
+def test_html_keeps_columns_but_not_the_result_s_names(spark):
+    pages = spark.createDataFrame([(1, "<p>hello there</p>", "a", "u"), (1, "<p>hello there</p>", "a", "u")], "page_id long, html string, text string, url string")
+    found = html.main_text(pages, keep=("url", "text", "page_id"))
+    assert found.columns == ["page_id", "url", "text"] and found.count() == 2
+
+
 def test_warc_round_trip_and_dedupe(pages, spark, tmp_path):
     path = str(tmp_path / "archive")
     warc.write_archives(pages, path)
@@ -79,15 +100,32 @@ def test_warc_round_trip_and_dedupe(pages, spark, tmp_path):
             assert bytes(r.payload) == payload
     kinds = sorted((str(r.page), r.record_type, r.refers_to) for r in rows if r.page in (2, 3, 6, 7, None))
     assert kinds == sorted([("2", "revisit", 3), ("3", "response", None), ("6", "revisit", 7), ("7", "response", None), ("7", "response", None), ("None", "revisit", 7)])
-    names = [n for n in os.listdir(path) if n.endswith(".txt")]
-    raw = b"".join(gzip.decompress(open(os.path.join(path, n), "rb").read()) for n in names if os.path.getsize(os.path.join(path, n)))
+    names = [n for n in os.listdir(path) if n.endswith(".warc.gz")]
+    raw = b"".join(subprocess.run(["gzip", "-dc", os.path.join(path, n)], capture_output=True, check=True).stdout for n in names if os.path.getsize(os.path.join(path, n)))
     assert raw.count(b"WARC/1.1\r\n") == len(PAGES)
+    # Framed by a second, plain parser: header lines, Content-Length, block, two line ends.
+    blocks = []
+    while raw:
+        head, _, raw = raw.partition(b"\r\n\r\n")
+        length = int(next(x for x in head.split(b"\r\n") if x.startswith(b"Content-Length:")).split(b":")[1])
+        blocks.append(raw[:length].partition(b"\r\n\r\n")[2])
+        assert raw[length : length + 4] == b"\r\n\r\n"
+        raw = raw[length + 4 :]
+    assert len(blocks) == len(PAGES)
+    records = warc.read_archives(spark, path)
+    assert warc.unresolved(records).count() == 0
+    assert warc.unresolved(records.where("record_type = 'revisit'")).count() == 3
 
 
 def test_warc_reader_verifies():
     good = warc.record(1, "u", b"hello", warc.digest32(hashlib.sha1(b"hello").digest()), None, "2024-01-01T00:00:00Z")
     bad = warc.record(1, "u", b"hello", warc.digest32(hashlib.sha1(b"other").digest()), None, "2024-01-01T00:00:00Z")
-    assert [r["page"] for r in warc.records(memoryview(good + b"\x00" + good + b"\x00\x00"))] == [1, 1]
+    assert [r["page"] for r in warc.records(memoryview(good + warc.EMPTY + good + warc.EMPTY))] == [1, 1]
+    noise = os.urandom(17 << 20)
+    large = warc.record(2, "u", noise, warc.digest32(hashlib.sha1(noise).digest()), None, "2024-01-01T00:00:00Z")
+    file = b"".join(warc.line(x) + b"\x00" for x in (good, large, good))
+    assert large[-1] != 0 and gzip.decompress(file).count(b"WARC/1.1\r\n") >= 3
+    assert [(r["page"], r["payload_bytes"]) for r in warc.records(memoryview(file))] == [(1, 5), (2, len(noise)), (1, 5)]
     with pytest.raises(ValueError, match="digest"):
         list(warc.records(memoryview(bad)))
     with pytest.raises(ValueError):
@@ -158,12 +196,14 @@ def test_pipeline_stages_keep_clean_documents(spark, tmp_path):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "quality_classifier", "near_duplicates", "packing"]
 
 
-def test_repeated_rows_cost_no_neighbours(spark):
+def test_repeated_rows_cost_no_neighbours(spark, monkeypatch):
     rng = np.random.default_rng(8)
     rows = [(i, [float(np.float32(x)) for x in p]) for i, p in enumerate(rng.normal(size=(400, 8)))]
     order = lambda df: sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in hilbert.nearest(df, F.col("id") % 20 == 0).collect())
     frame = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
     once = order(frame(rows))
     assert len(once) == 20 * 20 and order(frame(rows * 5)) == once
+    monkeypatch.setattr(hilbert, "PER_TASK", 3)  # a block's queries in many tasks
+    assert order(frame(rows)) == once
     # Of different vectors of one id the least stays.
     assert order(frame([*rows, (7, [99.0] * 8), (20, [99.0] * 8)])) == once

@@ -241,7 +241,7 @@ def test_hmm_equals_the_plain_recursion():
 def test_hmm_base_scores_and_gain(spark, docs, empty, monkeypatch):
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(hmm, "INIT_ROUNDS", 3)
+    monkeypatch.setattr(hmm, "PAIR_ROUNDS", 3)
     monkeypatch.setattr(hmm, "KNOWN", 50)  # most words take the join
     training = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 != 2
     rows = hmm.score(docs, training, states=2, rounds=1).collect()
@@ -257,12 +257,11 @@ def test_hmm_base_scores_and_gain(spark, docs, empty, monkeypatch):
 
 def ids_of(text):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     return tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
 
 
 def test_packing_holds_every_id_once(docs, empty):
-    rows = packing.pack(docs, RANKS, length=64, keep_ids=True).collect()
+    rows = packing.pack(docs, RANKS, length=64, keep_ids=True, added=packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))).collect()
     want = Counter()
     for i, t in TEXTS:
         ids = ids_of(t)
@@ -323,6 +322,52 @@ def test_ordinal_grades_and_edge_cases(spark, docs, empty):
     assert ordinal.grade(empty, model).count() == 0
 
 
+def test_ordinal_slopes_equal_numeric_ones():
+    rng = np.random.default_rng(4)
+    scores, grades, cuts = rng.normal(size=30), rng.integers(0, 4, 30), np.array([-1.0, 0.2, 1.5])
+    _, in_scores, in_cuts = ordinal.slopes(scores, grades, cuts)
+    step = 1e-6
+
+    def change(x, k, f):
+        up, down = x.copy(), x.copy()
+        up[k] += step
+        down[k] -= step
+        return (f(up) - f(down)) / (2 * step)
+
+    assert np.allclose(in_scores, [change(scores, k, lambda x: ordinal.slopes(x, grades, cuts)[0]) for k in range(30)], atol=1e-5)
+    assert np.allclose(in_cuts, [change(cuts, k, lambda x: ordinal.slopes(scores, grades, x)[0]) for k in range(3)], atol=1e-5)
+
+
+def test_ordinal_query_equals_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows, ratings = [(900, None), (901, ""), (902, "a " * 9000)], []
+    for i in range(240):
+        bad = i % 3 == 0
+        rows.append((i, prose(i, 50, 60) + (" Zebra zebra" if bad else " Ok") * (1 + i % 2)))
+        ratings += [(i, int(not bad), int(i % 12 == 0))] * (1 + i % 2)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(ratings, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    model = ordinal.fit(spark.read.parquet(f"{tmp_path}/documents.parquet"), ordinal.graded(spark.read.parquet(f"{tmp_path}/labels.parquet")), 3)
+    import pyarrow as pa
+
+    weight = dict(zip(model.features.tolist(), model.weights.tolist()))
+    found = {r.doc_id: r for r in ordinal.op6_ordinal_quality(spark, str(tmp_path)).collect()}
+    assert len(found) == len(rows)
+    for i, text in rows:
+        own = {f for _, _, _, fs in ordinal.features(pa.record_batch([pa.array([text], pa.string())], ["text"]), "text") for f in fs.tolist()}
+        score = sum(weight.get(f, 0.0) for f in own)
+        below = [1 / (1 + math.exp(score - t)) for t in model.thresholds]
+        chance = [below[0], below[1] - below[0], 1 - below[1]]
+        assert found[i].tail == pytest.approx(chance[2]) and found[i].expected_grade == pytest.approx(chance[1] + 2 * chance[2]) and found[i].selected == (found[i].tail >= 0.5)
+    assert np.mean([found[i].selected == (i % 3 != 0) for i in range(240)]) > 0.95
+
+
+def test_ordinal_select_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "x", 0.25, 7.0, "z")], "doc_id long, text string, tail double, expected_grade double, in_0 string")
+    model = ordinal.fit(docs, spark.createDataFrame([], "doc_id long, grade int"), 3)
+    assert [tuple(r) for r in ordinal.select(docs, model).collect()] == [(1, "x", 0.25, 7.0, "z")]
+
+
 def test_sha_columns_of_the_query(spark, tmp_path):
     spark.createDataFrame([(1, "Hello  world"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     rows = {r.doc_id: r for r in bpe.op1_bpe(spark, str(tmp_path)).collect()}
@@ -331,6 +376,65 @@ def test_sha_columns_of_the_query(spark, tmp_path):
     assert (rows[2].n_tokens, rows[2].ids_sha256) == (0, hashlib.sha256(b"").hexdigest())
 
 
+def test_bpe_resynchronises_after_a_long_word(spark):
+    text = prose(41, 3000) + " " + "q" * 3000 + " " + prose(42, 9000) + "z" * 900 + " end" * 400
+    docs = spark.createDataFrame([(1, text), (1, text), (2, "y" * 30_000 + " a b c" * 3000)], "doc_id long, text string")
+    rows = docs.selectExpr("monotonically_increasing_id() AS row", "doc_id AS id", "text AS body")
+    cut = bpe.pieces(bpe.chunks(rows, "body", 1024, 64), public_tokenizers.PATTERN, 1024, 64).collect()
+    first = sorted((r for r in cut if r.row == min(x.row for x in cut if x.id == 1)), key=lambda r: r.piece_no)
+    assert "".join(r.body for r in first) == text and len(first) > 0.85 * len(text) / 1024 and max(len(r.body) for r in first) < 6 * 1024
+    done = bpe.encode(docs, RANKS, chunk=1024, overlap=64).collect()
+    assert Counter((r.doc_id, tuple(r.ids)) for r in done) == Counter((r.doc_id, tuple(bpe.brute(r.text, RANKS)[0])) for r in docs.collect())
+
+
+def test_hmm_first_model_climbs_and_finds_blocks():
+    rng = np.random.default_rng(3)
+    emit = np.zeros((12, 2))
+    emit[:6, 0], emit[6:, 1] = 1 / 6, 1 / 6
+    state, seen = 0, []
+    for _ in range(20_000):
+        state = state if rng.random() < 0.9 else 1 - state
+        seen.append(rng.choice(12, p=emit[:, state]))
+    pairs = np.bincount(np.array(seen[:-1]) * 12 + np.array(seen[1:]), minlength=144).reshape(12, 12).astype(float)
+    _, move, found, climbs = hmm.fit_pairs(pairs, 2)
+    assert np.all(np.diff(climbs[:20]) > -1e-3 * abs(climbs[0]))
+    groups = found.argmax(axis=1)
+    assert len(set(groups[:6])) == len(set(groups[6:])) == 1 and groups[0] != groups[6] and move.diagonal().min() > 0.8
+
+
+def test_hmm_score_equals_a_plain_forward_pass(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    kept = []
+    monkeypatch.setattr(hmm, "KNOWN", 30)
+    plain = hmm.train
+    monkeypatch.setattr(hmm, "train", lambda *a: kept.append((a[2], plain(*a))) or kept[-1][1])
+    texts = [(i, prose(i, 30 + 40 * (i % 4), 60) + (" only%d" % i) * (i % 3)) for i in range(30)] + [(30, None), (31, "unseen words")]
+    rows = hmm.score(spark.createDataFrame(texts, "doc_id long, text string"), F.col("doc_id") < 25, states=3, rounds=2).collect()
+    words_of, model = kept[0]
+    assert np.allclose(model.emit.sum(axis=0), 1) and np.allclose(model.move.sum(axis=1), 1)
+    import pyarrow as pa
+
+    hashes = {i: next(hmm.sequences(pa.record_batch([pa.array([t], pa.string())], ["text"])))[2] for i, t in texts}
+    counts = Counter(h for i, hs in hashes.items() if i < 25 for h in hs.tolist())
+    mass, kinds, bucket = Counter(), Counter(), {}
+    for hs in hashes.values():
+        for h, b in zip(hs.tolist(), words_of.look(hs)[0].tolist()):
+            bucket[h] = b
+    for h, c in counts.items():
+        mass[bucket[h]] += c
+        kinds[bucket[h]] += 1
+    for r in rows:
+        total, p = 0.0, model.start
+        for h in hashes[r.doc_id].tolist():
+            b = bucket[h]
+            a = p * model.emit[b]
+            inside = (counts[h] + 1) / (mass[b] + kinds[b] + 1) if hmm.OWN <= b < hmm.OWN + hmm.SHARED else 1.0
+            total += math.log10(a.sum() * inside)
+            p = a / a.sum() @ model.move
+        assert r.score == pytest.approx(total, rel=1e-9)
+
+
 @pytest.mark.parametrize("gap", ["\n\n", "\n\t", "  \n", "\n" * 6])
 def test_bpe_cuts_no_text_behind_white_space(spark, gap):
     rows = [(k, "word " * 6 + "x" * k + "foo." + gap + "Bar baz, " * 12 + gap + "end. " * 30) for k in range(64)]
@@ -365,5 +469,6 @@ def test_quality_word_distance_alone_rejects(spark):
         rows += [(2 * k, " ".join(plain) + ".", lang), (2 * k + 1, " ".join(mixed) + ".", lang)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     found = {r.doc_id: r for r in quality.judge(quality.measure(docs)).collect()}
+    assert {i for i, r in found.items() if r.kept} == {1, 3, 5, 7}
     assert all(not r.base_failed and r.character_distance <= quality.MAX_CHARACTER_DISTANCE for r in found.values())
     assert {r.doc_id for r in quality.keep(docs).collect()} == {1, 3, 5, 7}
