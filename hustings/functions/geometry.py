@@ -124,3 +124,36 @@ def simplified(points: Column, tolerance: float) -> Column:
         return pd.Series(out)
 
     return run(points)
+
+
+def simplify_ring(ring: np.ndarray, tolerance: float) -> np.ndarray:
+    """A closed ring, split at its first point and the one farthest from it; both halves are simplified as lines."""
+    own = ring[:-1] if len(ring) > 1 and (ring[0] == ring[-1]).all() else ring
+    if len(own) < 4:
+        return ring
+    at = 1 + int(np.hypot(*(own[1:] - own[0]).T).argmax())
+    one, two = simplify_points(own[: at + 1], tolerance), simplify_points(np.vstack([own[at:], own[:1]]), tolerance)
+    return np.vstack([one, two[1:]])
+
+
+def simplified_rings(points: Column, tolerance: float) -> Column:
+    """Simplification of closed rings."""
+
+    @F.pandas_udf(RING)
+    def run(rings: pd.Series) -> pd.Series:
+        return pd.Series([[{"x": float(x), "y": float(y)} for x, y in simplify_ring(np.array([(p["x"], p["y"]) for p in own], float).reshape(-1, 2), tolerance)] for own in rings])
+
+    return run(points)
+
+
+def fitted(point: Column, box: Column, width: float, height: float, padding: float = 28.0) -> Column:
+    """A point of a map scaled evenly into a padded drawing, centred, with y downwards."""
+    wide, high = box["max_x"] - box["min_x"], box["max_y"] - box["min_y"]
+    scale = F.least((width - 2 * padding) / wide, (height - 2 * padding) / high)
+    x = (width - wide * scale) / 2 + (point["x"] - box["min_x"]) * scale
+    y = height - ((height - high * scale) / 2 + (point["y"] - box["min_y"]) * scale)
+    return F.struct(x.alias("x"), y.alias("y"))
+
+
+def geometry_type(polygons: Column) -> Column:
+    return F.when(F.size(polygons) == 1, "Polygon").when(F.size(polygons) > 1, "MultiPolygon")

@@ -11,7 +11,7 @@ TRANSITIONS = {("draft", "reviewed"), ("reviewed", "draft"), ("reviewed", "publi
 
 def allowed(before: Column, after: Column, actor: Column, author: Column) -> Column:
     """Whether a transition may happen: it is listed, the actor's name has 2 to 120 characters, nobody reviews or
-    publishes their own revision."""
+    publishes their own revision. Names are compared without case, so that one person counts as one."""
     listed = F.concat_ws(">", before, after).isin(*(f"{a}>{b}" for a, b in sorted(TRANSITIONS)))
     named = F.length(F.trim(actor)).between(2, 120)
     return listed & named & ~(after.isin("reviewed", "published") & (F.lower(F.trim(actor)) == F.lower(F.trim(author))))
@@ -40,3 +40,21 @@ def read_model(revisions: DataFrame) -> DataFrame:
 
 def valid_input(kind: Column, reason: Column, actor: Column, edition: Column) -> Column:
     return kind.rlike(r"^[a-z][a-z0-9-]{1,60}$") & F.length(F.trim(reason)).between(8, 1000) & F.length(F.trim(actor)).between(2, 120) & edition.rlike(r"^(pru|prn)-[a-z0-9-]+$")
+
+
+def publish_events(revisions: DataFrame, revision: Column, actor: Column) -> DataFrame:
+    """The log rows of a publication: (revision, from_status, to_status, actor, note) of the revision and of the one it
+    supersedes; none if it may not be published."""
+    after = publish(revisions, revision, actor).select("revision", F.col("status").alias("to_status"))
+    moved = revisions.select("revision", F.col("status").alias("from_status")).join(after, "revision").where("from_status <> to_status")
+    note = F.when(F.col("to_status") == "superseded", "Superseded by a newly published revision")
+    return moved.select("revision", "from_status", "to_status", actor.alias("actor"), note.alias("note"))
+
+
+def point(models: DataFrame, revisions: DataFrame, revision: Column, actor: Column) -> DataFrame:
+    """The read model after a rollback to a revision: its key points to it, if it is published or superseded and the
+    actor's name is valid; other keys stay. models: key, revision, payload, etag; revisions: key, revision, status,
+    payload. After a publication the same holds, with the revisions as they are then."""
+    fit = F.col("status").isin("published", "superseded") & F.length(F.trim(actor)).between(2, 120)
+    chosen = revisions.where((F.col("revision") == revision) & fit).select("key", "revision", "payload", F.sha2("payload", 256).alias("etag"))
+    return models.join(chosen.select("key"), "key", "left_anti").unionByName(chosen)

@@ -75,3 +75,75 @@ def precedence_union(primary: DataFrame, fallback: DataFrame, keys: Sequence[str
 def merge_by_key(first: DataFrame, second: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of both; of one key the second's."""
     return first.join(second.select(*keys).distinct(), list(keys), "left_anti").unionByName(second)
+
+
+# The names of seats without a holder and of members without a party.
+VACANT_ALLIANCE, VACANT_PARTY, INDEPENDENT = "VACANT", "-", "INDEPENDENT"
+
+
+def correct_candidates(seats: DataFrame, events: DataFrame, as_of: Column) -> DataFrame:
+    """Candidate corrections: name, alliance and party by position; votes and order stay.
+
+    The correction of position 0 goes to the winner too, whose gender and ethnicity stay where it leaves them blank.
+    seats: seat, candidates (array of structs), winner (struct); events: seat, position and the corrected fields.
+    """
+    fields = ["name", "alliance", "party", "gender", "ethnicity"]
+    own = latest(events, ["seat", "position"], fields, as_of)
+    changed = own.groupBy("seat").agg(F.map_from_entries(F.collect_list(F.struct("position", F.struct(*fields)))).alias("_changes"))
+    at = lambda i: F.try_element_at("_changes", i)
+
+    def patched(old: Column, new: Column, kept_if_blank: Sequence[str] = ()) -> Column:
+        out = old
+        for c in fields[:3]:
+            out = out.withField(c, new[c])
+        for c in kept_if_blank:
+            out = out.withField(c, F.coalesce(F.nullif(new[c], F.lit("")), old[c]))
+        return F.when(new.isNull(), old).otherwise(out)
+
+    joined = seats.join(changed, "seat", "left")
+    return joined.withColumns({
+        "candidates": F.transform("candidates", lambda c, i: patched(c, at(i))),
+        "winner": patched(F.col("winner"), at(F.lit(0)), fields[3:]),
+    }).drop("_changes")
+
+
+def affiliations(seats: DataFrame, events: DataFrame, parties: DataFrame, alliances: DataFrame, as_of: Column) -> DataFrame:
+    """Seats with the member's affiliation: an event of the person wins over one of the seat. Independents have one
+    name; a party or alliance has the catalogue's name of its id, else the event's."""
+    columns = ["affiliation", "party_id", "party_name", "alliance_id", "alliance_name"]
+    held = as_of_with_fallback(seats, events, "person_id", "seat", columns, as_of)
+    named = held.join(parties.select(F.col("id").alias("party_id"), F.col("name").alias("_party")), "party_id", "left")
+    named = named.join(alliances.select(F.col("id").alias("alliance_id"), F.col("name").alias("_alliance")), "alliance_id", "left")
+    alone = F.col("affiliation") == "independent"
+    return named.select(
+        *seats.columns, "affiliation",
+        F.when(alone, INDEPENDENT).otherwise(F.coalesce("_party", "party_name")).alias("affiliation_party"),
+        F.when(alone, INDEPENDENT).otherwise(F.coalesce("_alliance", "alliance_name")).alias("affiliation_alliance"),
+    )
+
+
+def current(status: Column, affiliation: Column, stated: Column, winner: Column, vacant: str) -> Column:
+    """What a seat shows now: the name of vacancy, else the affiliation, the stated change, the winner."""
+    return F.when(status == "vacant", vacant).otherwise(F.coalesce(affiliation, stated, winner))
+
+
+def managed(seats: DataFrame, corrections: DataFrame, statuses: DataFrame, membership: DataFrame, parties: DataFrame, alliances: DataFrame, as_of: Column, current_term: bool) -> DataFrame:
+    """All overlays in their order: candidate corrections, then seat status and affiliation (of the current term only),
+    then the catalogue's names. statuses: seat, status, stated_alliance, stated_party."""
+    fixed = correct_candidates(seats, corrections, as_of)
+    none = lambda df: df if current_term else df.where(F.lit(False))
+    held = as_of_join(fixed, none(statuses), ["seat"], ["status", "stated_alliance", "stated_party"], as_of)
+    held = affiliations(held, none(membership), parties, alliances, as_of)
+    status = F.coalesce("status", F.lit("active"))
+    shown = held.withColumns({
+        "current_alliance": current(status, F.col("affiliation_alliance"), F.col("stated_alliance"), F.col("winner.alliance"), VACANT_ALLIANCE),
+        "current_party": current(status, F.col("affiliation_party"), F.col("stated_party"), F.col("winner.party"), VACANT_PARTY),
+        "is_changed": F.col("status").isNotNull() | F.col("affiliation").isNotNull(),
+    })
+    return resolve_aliases(resolve_aliases(shown, "current_alliance", alliances), "current_party", parties)
+
+
+def replay(seats: DataFrame, events: DataFrame, keys: Sequence[str], columns: Sequence[str], dates: DataFrame) -> DataFrame:
+    """The overlay as it stood on each date of a short list: (date, keys, columns), for keys with an event by then."""
+    held = events.join(F.broadcast(dates), F.col("effective_date") <= F.col("date"))  # a row per date
+    return seats.select(*keys).join(latest(held, ["date", *keys], columns), list(keys))

@@ -70,8 +70,12 @@ def matrix(df: DataFrame, row: str, column: str, columns: Sequence, value: str)
 
 
 def spine(rows: DataFrame, columns: DataFrame, facts: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Every combination of two small dimensions, with the facts where there are any; no join on all pairs of facts."""
-    return rows.withColumn("_all", F.lit(1)).join(columns.withColumn("_all", F.lit(1)), "_all").drop("_all").join(facts, list(on), "left")
+    """Every combination of a dimension's rows and the few values of another, with the facts where there are any.
+
+    The values of `columns` travel as one row, so the rows stay where they are."""
+    every = columns.agg(F.collect_set(F.struct(*columns.columns)).alias("_every"))
+    grid = rows.crossJoin(F.broadcast(every)).withColumn("_one", F.explode("_every")).select(*rows.columns, "_one.*")  # one row
+    return grid.join(facts, list(on), "left")
 
 
 def single_value(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

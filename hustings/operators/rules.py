@@ -84,3 +84,32 @@ def stale(published: DataFrame, recomputed: DataFrame, ignore: Sequence[str] = (
     columns = [c for c in published.columns if c not in ignore]
     a, b = published.select(*columns), recomputed.select(*columns)
     return a.exceptAll(b).withColumn("side", F.lit("published")).unionByName(b.exceptAll(a).withColumn("side", F.lit("recomputed")))
+
+
+def identity(datasets: DataFrame, registered: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """V1: datasets whose key is not registered, or that differ from their registration in a field."""
+    other = registered.select(F.col(key), F.lit(True).alias("_there"), *(F.col(c).alias(f"_{c}") for c in fields))
+    joined = datasets.join(other, key, "left")
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in fields))
+    return check(joined, "V1", F.coalesce(F.col("_there"), F.lit(False)) & same, "identity isn't that of the registry", F.col(key), list(fields))
+
+
+def hierarchy_sums(children: DataFrame, parents: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """V14: metrics of parents that aren't the sums of their children; a parent without children sums to zero."""
+    sums = children.groupBy(*keys).agg(*(F.sum(c).alias(f"_{c}") for c in metrics))
+    joined = parents.join(sums, list(keys), "left")
+    found = [check(joined.select(*keys, F.col(c).alias("stated"), F.coalesce(f"_{c}", F.lit(0)).alias("added"), F.lit(c).alias("metric")), "V14", F.col("stated") == F.col("added"), "children don't add up", F.concat_ws(":", *keys), ["metric", "stated", "added"]) for c in metrics]
+    return reduce(DataFrame.unionByName, found)
+
+
+def expected_counts(counts: DataFrame, label: str, count: str, expected: dict[str, int]) -> DataFrame:
+    """V20: labels whose count isn't the expected one; labels missing on either side count as zero there."""
+    stated = F.explode(F.map_from_arrays(F.array(*map(F.lit, expected)), F.array(*map(F.lit, expected.values())))).alias(label, "expected")
+    both = counts.join(counts.sparkSession.range(1).select(stated), label, "full")
+    both = both.select(label, F.coalesce(count, F.lit(0)).alias("n"), F.coalesce("expected", F.lit(0)).alias("expected"))
+    return check(both, "V20", F.col("n") == F.col("expected"), "another count than expected", F.col(label), ["n", "expected"])
+
+
+def report(found: DataFrame, release: str) -> tuple[DataFrame, DataFrame]:
+    """K7: the run row (release, counts, status) and its issue rows, which carry the release."""
+    return run_status(found).withColumn("release", F.lit(release)), found.withColumn("release", F.lit(release))

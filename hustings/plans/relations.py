@@ -50,9 +50,9 @@ def p3(spark, d):
     return held.groupBy("c_mktsegment").agg(F.count("*").alias("n"))
 
 
-@query("p4_contains_search", "SELECT p_partkey, p_name, p_brand FROM part WHERE contains(lower(p_name), 'ring') OR contains(lower(p_brand), 'ring')")
+@query("p4_contains_search", "SELECT p_partkey, p_name, p_brand FROM part WHERE contains(strip_accents(lower(p_name)), 'ring') OR contains(strip_accents(lower(p_brand)), 'ring')")
 def p4(spark, d):
-    return search.contains_any(table(spark, d, "part"), ["p_name", "p_brand"], " RING ").select("p_partkey", "p_name", "p_brand")
+    return search.contains_any(table(spark, d, "part"), ["p_name", "p_brand"], " RING ", fold=text.lower_marks).select("p_partkey", "p_name", "p_brand")
 
 
 @query("p5_typeahead", "SELECT DISTINCT p_name FROM part WHERE p_name IS NOT NULL AND p_name <> '' AND contains(lower(p_name), 're') ORDER BY p_name LIMIT 60")
@@ -184,13 +184,13 @@ def j17(spark, d):
     return overlay.merge_by_key(base, base.where("k % 3 = 0").withColumn("name", F.lit("override")), ["k"])
 
 
-@query("j22_pairs_in_range", "SELECT a.g AS grp, a.id, b.id AS below FROM (SELECT o_custkey % 50 AS g, o_orderkey AS id, CAST(o_orderkey % 97 AS DOUBLE) AS top, CAST(o_orderkey % 31 AS DOUBLE) AS cx FROM orders WHERE o_orderkey < 3000) a JOIN (SELECT o_custkey % 50 AS g, o_orderkey AS id, CAST(o_orderkey % 97 AS DOUBLE) AS top, CAST(o_orderkey % 31 AS DOUBLE) AS cx FROM orders WHERE o_orderkey < 3000) b ON a.g = b.g AND b.top - a.top BETWEEN 4.3 AND 5.0 AND abs(b.cx - a.cx) <= 6")
+@query("j22_pairs_in_range", "SELECT a.g AS grp, a.id, b.id AS below FROM (SELECT o_custkey % 50 AS g, o_orderkey AS id, CAST(o_orderkey % 97 AS DOUBLE) AS top, CAST(o_orderkey % 31 AS DOUBLE) AS cx FROM orders) a JOIN (SELECT o_custkey % 50 AS g, o_orderkey AS id, CAST(o_orderkey % 97 AS DOUBLE) AS top, CAST(o_orderkey % 31 AS DOUBLE) AS cx FROM orders) b ON a.g = b.g AND b.top - a.top BETWEEN 4.3 AND 5.0 AND abs(b.cx - a.cx) <= 6")
 def j22(spark, d):
-    points = table(spark, d, "orders").where("o_orderkey < 3000").select((F.col("o_custkey") % 50).alias("grp"), F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 97).cast("double").alias("top"), (F.col("o_orderkey") % 31).cast("double").alias("cx"))
+    points = table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("grp"), F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 97).cast("double").alias("top"), (F.col("o_orderkey") % 31).cast("double").alias("cx"))
     return match.pairs_in_range(points, "grp", 4.3, 5.0, 6)
 
 
-@query("j23_nearest_in_cone")
+@query("j23_nearest_in_cone", "WITH p AS (SELECT label AS grp, vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), pairs AS (SELECT a.grp, a.id, b.id AS neighbour, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS r, b.x - a.x AS dx FROM p a JOIN p b ON a.grp = b.grp AND a.id <> b.id) SELECT grp, id, neighbour FROM (SELECT *, row_number() OVER (PARTITION BY grp, id ORDER BY r / greatest(0.08, pow(dx / r, 3)), neighbour) AS place FROM pairs WHERE r > 0 AND dx / r > 0.18) WHERE place = 1")
 def j23(spark, d):
     points = table(spark, d, "embeddings").select(F.col("label").alias("grp"), F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
     return match.nearest_in_direction(points, "grp", 1, 0)
@@ -504,10 +504,10 @@ def e1(spark, d):
     return overlay.seat_status(seats, events, F.lit(AS_OF).cast("date")).select("seat", "current_alliance", "is_changed")
 
 
-@query("k6_upsert", "SELECT k, CASE WHEN m IS NOT NULL THEN m ELSE name END AS name FROM (SELECT s_suppkey AS k, s_name AS name FROM supplier) LEFT JOIN (SELECT user_id, max_by(event_type, event_id) AS m FROM events WHERE user_id < 20 GROUP BY user_id) ON user_id = k")
+@query("k6_upsert", "SELECT k, CASE WHEN m IS NOT NULL THEN m ELSE name END AS name FROM (SELECT s_suppkey AS k, s_name AS name FROM supplier) LEFT JOIN (SELECT user_id, max_by(event_type, event_id) AS m FROM events GROUP BY user_id) ON user_id = k")
 def k6(spark, d):
     target = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"))
-    changes = table(spark, d, "events").where("user_id < 20").select(F.col("user_id").alias("k"), F.col("event_type").alias("name"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("at"))
+    changes = table(spark, d, "events").select(F.col("user_id").alias("k"), F.col("event_type").alias("name"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("at"))
     return overlay.upsert(target, changes.join(target.select("k"), "k", "left_semi"), ["k"], "at")
 
 
