@@ -218,10 +218,13 @@ def jaccard_join(docs: DataFrame, n: int = 5, numerator: int = 80, denominator:
     del rarity  # the broadcast has its own copy on disk
     described = cut(describe(docs, sketch, n, numerator, denominator, id_col, text_col), f"{folder}/described")
     own = described.drop("prefix")
-    named = own.where("size > 0").groupBy("s1", "s2").agg(F.min("nr").alias("set"), F.count("*").alias("copies"), F.min("id").alias("least_id"))
+    # Only rows with equal sets need to know of each other; a row without any is a class of its own.
+    equal = own.where("size > 0").groupBy("s1", "s2").agg(F.min("nr").alias("set"), F.count("*").alias("copies"), F.min("id").alias("least_id")).where("copies > 1")
+    met = own.where("size > 0").join(lean(cut(equal)), ["s1", "s2"], "left")
+    alone = F.col("set").isNull()
+    full = met.select("row", "twin", "id", "size", "nr", F.coalesce("set", "nr").alias("set"), F.coalesce("copies", F.lit(1)).alias("copies"), F.when(alone, F.col("id")).otherwise(F.col("least_id")).alias("least_id"))
     none = [F.lit(None).cast("long").alias("set"), F.lit(None).cast("long").alias("copies"), F.col("id").alias("least_id")]
-    members = own.where("size > 0").join(named, ["s1", "s2"]).drop("s1", "s2").unionByName(own.where("size = 0").select("row", "twin", "id", "size", "nr", *none))
-    members = cut(members, f"{folder}/members")
+    members = cut(full.unionByName(own.where("size = 0").select("row", "twin", "id", "size", "nr", *none)), f"{folder}/members")
     classes = members.where("nr = set").drop("nr", "id")
 
     copied, several = members.where("nr <> set").select("nr"), members.where("nr = set and copies > 1").select("nr", "copies")
