@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hustings.operators import contest
@@ -63,7 +63,8 @@ def registered(spark: SparkSession, d: str) -> DataFrame:
 def contests(spark: SparkSession, d: str) -> DataFrame:
     part = lambda flag: F.when(F.col("l_returnflag") == flag, F.col("l_quantity").cast("bigint")).otherwise(0)
     rows = table(spark, d, "lineitem").select(F.year("l_shipdate").alias("edition"), F.col("l_suppkey").alias("seat"), part("N").alias("valid"), part("R").alias("rejected"), part("A").alias("unreturned"))
-    return contest.accounts(rows, KEYS).join(registered(spark, d), "seat")
+    # Every line has one of the three flags, so a seat's total of all editions is the sum of what was issued.
+    return contest.accounts(rows, KEYS).withColumn("registered", F.sum("issued").over(Window.partitionBy("seat")))
 
 
 def seats(spark: SparkSession, d: str) -> DataFrame:
