@@ -282,9 +282,11 @@ def jaccard_join(docs: DataFrame, n: int = 5, numerator: int = 80, denominator:
                 links = cut(links.unionByName(more))
                 joined = cut(connected_components(links).withColumnRenamed("node", "set"))
     remove(spark, f"{folder}/shared")
-    grouped = classes.join(lean(joined), "set", "left").withColumn("group", F.coalesce("component", "set")).drop("component")
-    names = grouped.groupBy("group").agg(F.min("least_id").alias("component"))
-    return members.drop("least_id"), cut(grouped.join(names, "group").select("set", "size", "copies", "least_id", "group", "component")), links
+    linked = lean(joined)
+    names = cut(classes.join(linked, "set").groupBy("component").agg(F.min("least_id").alias("name")))  # a class without a link has its own
+    placed = classes.join(linked, "set", "left").join(lean(names), "component", "left")
+    name = F.when(F.col("component").isNull(), F.col("least_id")).otherwise(F.col("name"))
+    return members.drop("least_id"), cut(placed.select("set", "size", "copies", "least_id", F.coalesce("component", "set").alias("group"), name.alias("component"))), links
 
 
 def labelled(members: DataFrame, classes: DataFrame) -> DataFrame:
