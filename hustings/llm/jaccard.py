@@ -38,6 +38,8 @@ from hustings.llm.components import connected_components
 WORD_BITS, GRAM_BITS = 22, 24
 BLOCK_BITS = 16
 FRAGMENTS = 4
+#: A prefix n-gram of more classes than this has its leader sent to them as part of a list.
+HOT = 200
 #: Copies (8 bits, reversed), place (22) and size (30) of a class travel in one number, which orders them for the choice of
 #: a leader. A place beyond 22 bits counts as less, which keeps more candidates; more copies than 255 rank as 255.
 COPIES, PLACE, SIZE = (1 << 8) - 1, (1 << 22) - 1, (1 << 30) - 1
@@ -265,8 +267,11 @@ def jaccard_join(docs: DataFrame, n: int = 5, numerator: int = 80, denominator:
         first = cut(paired(shared))
     else:
         # The leader is the class with the most copies: near copies gather around the text they came from.
-        lead = shared.groupBy("key").agg(F.min("order").alias("best"), F.min_by("set", "order").alias("lead"))
-        led = shared.join(lead, "key").where((F.col("set") != F.col("lead")) & _possible(F.col("order"), F.col("best"), numerator, denominator))
+        lead = cut(shared.groupBy("key").agg(F.min("order").alias("best"), F.min_by("set", "order").alias("lead"), F.count("*").alias("n")))
+        # Keys of many classes are few, so their leaders go to the rows as a list; the others meet theirs by a shuffle.
+        hot = lean(lead.where(F.col("n") > HOT).drop("n"))
+        usual = shared.join(hot.select("key"), "key", "left_anti").join(lead.where(F.col("n") <= HOT).drop("n"), "key")
+        led = shared.join(hot, "key").unionByName(usual).where((F.col("set") != F.col("lead")) & _possible(F.col("order"), F.col("best"), numerator, denominator))
         low, high = F.least("set", "lead"), F.greatest("set", "lead")
         first = cut(led.select(low.alias("a"), high.alias("b"), (_size(F.col("order")) + _size(F.col("best"))).alias("sizes")).distinct())
     links = tested(first)
