@@ -8,7 +8,8 @@ text of nodes whose marginal is at least one half is the page's content. All pot
 Defined results: a null, empty or textless page gives the empty string; broken mark-up is closed as browsers do for
 paragraphs, lists and tables, a quote opens an attribute's value only behind an equals sign, and a tag cut off at the end
 is dropped; formulas and words of drawings belong to the text around them, form controls (buttons too) are left out;
-repeated rows are extracted each; other columns are not carried; an empty table gives an empty table. A marginal of exactly one half counts as content.
+text outside any block counts as a paragraph; repeated rows are extracted each; other columns are not carried; an empty
+table gives an empty table. A marginal of exactly one half counts as content.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ CONTAINERS = frozenset("ul ol dl table html body".split())
 
 TOKEN = re.compile(
     # A quote opens a value only behind an equals sign.
-    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|iframe)\b(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>|<[a-zA-Z/][^<>]*\Z",
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|iframe)\b(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>|<[a-zA-Z/][^<>]*\Z",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|data-content)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -67,11 +68,15 @@ def parse(html: str) -> Page:
     """Block elements as nodes; the text of inline elements belongs to the block around them."""
     page = Page([Node("html", -1)])
     stack, links, silent = [("html", 0)], 0, 0
-    at = 0
+    at = loose = 0
 
     def text(raw: str) -> None:
+        nonlocal loose
         if raw and not silent:
-            node = stack[-1][1]
+            node = stack[-1][1] or loose
+            if not node and raw.strip():  # text outside any block is a paragraph
+                page.nodes.append(Node("p", 0))
+                node = loose = len(page.nodes) - 1
             page.runs.append((node, raw))
             size = len(raw.strip())
             page.nodes[node].chars += size
@@ -124,6 +129,7 @@ def parse(html: str) -> Page:
             else:
                 words += re.findall(r"[a-z]+", value)
         page.nodes.append(Node(tag, stack[-1][1], tuple(words), label))
+        loose = 0
         stack.append((tag, len(page.nodes) - 1))
     text(html[at:])
     return page

@@ -75,6 +75,8 @@ def test_html_leaves_out_comments_forms_and_notices():
         ("<article><p>The sum <math><mi>x</mi><mo>+</mo><mn>1</mn></math> is a formula in the text.</p></article>", "The sum x+1 is a formula in the text."),
         ("<article><p>Never closed paragraph of words<p>Another one with <b>bold text</article>", "Never closed paragraph of words Another one with bold text"),
         ("<article><p data-class='ad' title='x'>An attribute that only ends in class.</p></article>", "An attribute that only ends in class."),
+        ("Nothing but plain words, no mark-up at all, " * 5, ("Nothing but plain words, no mark-up at all, " * 5).strip()),
+        ("<body><h1>Title here</h1>Some <b>bold</b>text that goes on<br>and on for a while.<footer>Copy</footer></body>", "Title here Some boldtext that goes on and on for a while."),
     ],
 )
 def test_html_of_odd_mark_up(page, want):
