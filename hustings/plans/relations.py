@@ -342,7 +342,7 @@ def f7(spark, d):
     return table(spark, d, "pages").select("page_id", text.clean_path(F.col("url")).alias("path"))
 
 
-@query("f9_hue")
+@query("f9_hue", "SELECT DISTINCT p_name, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(p_name, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, c: (h * 31 + c) % 4294967296) % 360 AS hue FROM part")
 def f9(spark, d):
     return table(spark, d, "part").select("p_name").distinct().select("p_name", text.hue(F.col("p_name")).alias("hue"))
 

@@ -177,3 +177,21 @@ def test_search_and_pages(spark):
     assert search.contains_any(df, ["a", "b"], "alpha").count() == 2 and search.contains_any(df, ["a"], " ").count() == 3
     assert [r.a for r in search.options(df, "a").collect()] == ["Alpha", "beta"]
     assert [r.b for r in search.page(df, ["b"], 1, 2).collect()] == ["z"]
+
+
+def test_points_to_slots(spark):
+    import itertools
+
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 40, (5, 4, 2)), rng.integers(0, 40, (5, 6, 2))
+    frame = lambda m: spark.createDataFrame([(g, k, int(x), int(y)) for g in range(len(m)) for k, (x, y) in enumerate(m[g])], "plan int, id int, x int, y int")
+    got = match.assign_points(frame(a), frame(b), "plan").collect()
+    for g in range(5):
+        mine = [r for r in got if r.plan == g]
+        assert len({r.id for r in mine}) == len({r.slot for r in mine}) == 4
+        best = min(sum(int(((a[g, k] - b[g, s]) ** 2).sum()) for k, s in enumerate(order)) for order in itertools.permutations(range(6), 4))
+        assert sum(r.squared for r in mine) == best
+    near = {(r.plan, r.id, r.slot) for r in match.assign_points(frame(a), frame(b), "plan", 12).collect()}
+    assert near == {(r.plan, r.id, r.slot) for r in got if r.squared <= 144} and len(near) < len(got)
+    assert len(match.assign_points(frame(b), frame(a), "plan").collect()) == 20
+    assert match.assign_points(frame(a), frame(b).where("plan > 8"), "plan").collect() == []

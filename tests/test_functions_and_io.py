@@ -134,3 +134,28 @@ def test_stream_equals_batch(spark, tmp_path):
     query.awaitTermination(120)
     rows = lambda d: sorted((str(r.window.start), r.name, r.samples, r.average, r.poor) for r in d.collect())
     assert rows(spark.table("rolled")) == rows(telemetry.trailing(good))
+
+
+def test_centroid_and_simplified_rings_against_plain_loops(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rings = [rng.normal(size=(12, 2)) for _ in range(6)] + [np.array([[0.0, 0], [1, 1], [2, 2]])]
+    df = spark.createDataFrame([(k, [float(v) for v in r.ravel()]) for k, r in enumerate(rings)], "k int, flat array<double>").select("k", geometry.ring(F.col("flat")).alias("ring"))
+    rows = df.select("k", geometry.centroid(F.col("ring")).alias("c"), geometry.simplified(F.col("ring"), 0.4).alias("s")).collect()
+
+    def kept(points):
+        if len(points) < 3:
+            return points
+        a, d = points[0], points[-1] - points[0]
+        t = np.clip(((points[1:-1] - a) @ d) / (d @ d), 0, 1)
+        far = np.hypot(*(points[1:-1] - (a + t[:, None] * d)).T)
+        at = int(far.argmax()) + 1
+        return np.vstack([kept(points[: at + 1])[:-1], kept(points[at:])]) if far[at - 1] > 0.4 else points[[0, -1]]
+
+    for row in rows:
+        p, q = rings[row.k], np.roll(rings[row.k], -1, axis=0)
+        cross = p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1]
+        want = p.mean(0) if abs(cross.sum()) < 1e-9 else ((p + q) * cross[:, None]).sum(0) / (3 * cross.sum())
+        assert np.allclose([row.c.x, row.c.y], want)
+        assert np.allclose([(x.x, x.y) for x in row.s], kept(rings[row.k]))
