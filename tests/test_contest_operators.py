@@ -1,5 +1,6 @@
 """Hand-made edge frames: ties, uncontested and empty contests, unknown parts, missing baselines."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
