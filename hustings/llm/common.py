@@ -28,11 +28,23 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Write to the shared folder and read back, so that a lost executor costs a reread and no recomputation."""
-    path = path or f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Spark's setting that removes a query's shuffle files at its end.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame, path: str | None = None, release: bool = False) -> DataFrame:
+    """Write to the shared folder and read back, so that a lost executor costs a reread and no recomputation.
+
+    With `release` the shuffle files of this write go as soon as it ends; nothing else reads them."""
+    spark = df.sparkSession
+    path = path or f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEAN_SHUFFLES, "false")
+    spark.conf.set(CLEAN_SHUFFLES, "true" if release else before)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
