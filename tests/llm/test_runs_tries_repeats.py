@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hustings.llm import periodic, repeats
+from hustings.llm import periodic, repeats, trie
 
 # Periodic runs
 
@@ -146,8 +146,9 @@ def test_repeats_of_equal_ids_nulls_and_nothing(spark):
 def test_repeats_in_a_text_longer_than_a_piece(spark):
     rng = np.random.default_rng(2)
     raw = rng.integers(97, 123, 3 * repeats.PIECE + 500, dtype=np.uint8)
-    for at in (repeats.PIECE - 70, 2 * repeats.PIECE - 150, 3 * repeats.PIECE + 100):
+    for k, at in enumerate((repeats.PIECE - 70, 2 * repeats.PIECE - 150, 3 * repeats.PIECE + 100)):
         raw[at : at + 170] = raw[1000:1170]
+        raw[at - 1], raw[at + 170] = 48 + k, 58 + k  # no letter beside it goes on matching
     docs = spark.createDataFrame([(1, raw.tobytes().decode())], "doc_id long, text string")
     spans = [tuple(s) for s in repeats.without_repeats(docs).first().spans]
     assert spans == [(repeats.PIECE - 70, 170), (2 * repeats.PIECE - 150, 170), (3 * repeats.PIECE + 100, 170)]
@@ -157,3 +158,79 @@ def test_refinement_drops_suffixes_alone_in_their_bucket():
     text = np.array([[1, 2, 3, 4, 5, 9], [1, 2, 3, 4, 5, 8]], np.uint64)
     pointer = repeats.refine(text, np.ones(text.shape, bool), 1, 4)
     assert (pointer[0, :2] == pointer[1, :2]).all() and (pointer[:, :2] >= 0).all() and (pointer[:, 2:] == -1).all()
+
+
+# Prefix trie
+
+
+def brute_trie(rows):
+    """The contract's rows by plain dictionaries; rows: conv, turn, role, text with distinct turns."""
+    convs = {}
+    for conv, turn, role, text in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] is not None, r[1] or 0)):
+        convs.setdefault(conv, []).append((role or "", text or ""))
+    made = {}
+    for c, own in convs.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        base = convs.get(c - int(np.fmod(c, 5)), [])
+        made[c] = tuple(base[:h] + own[h:])
+    nodes = {}
+    for c, turns in made.items():
+        for d in range(len(turns) + 1):
+            nodes.setdefault(turns[:d], []).append(c)
+    children = {k: sum(1 for x in nodes if len(x) == len(k) + 1 and x[:-1] == k) for k in nodes}
+    out = []
+    for k, members in nodes.items():
+        below = [x for x in nodes if x[: len(k)] == k]
+        ends = ",".join(str(c) for c in sorted(members) if made[c] == k)
+        saved = sum((len(nodes[x]) - 1) * len(x[-1][1].encode()) for x in below if x)
+        out.append((min(members), len(k), min(nodes[k[:-1]]) if k else None, len(members), children[k], sum(children[x] == 0 for x in below), saved, hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out)
+
+
+def _conversations(rng, count):
+    starts = [[("user", "hello")], [("user", "hello"), ("assistant", "é" * 3)], [(None, None)], [("user", "")]]
+    rows = []
+    for c in rng.sample(range(-20, 4 * count), count):
+        turns = list(rng.choice(starts)) + [(rng.choice(["user", "assistant"]), rng.choice("abc")) for _ in range(rng.randrange(0, 14))]
+        at = sorted(rng.sample(range(100), len(turns)))
+        rows += [(c, None if k == 0 and rng.random() < 0.3 else t, *turn) for k, (t, turn) in enumerate(zip(at, turns))]
+    return rows
+
+
+def test_op12_equals_brute_force(spark, tmp_path):
+    rng = random.Random(6)
+    rows = _conversations(rng, 60) + [(None, 1, "user", "nobody's")] + [(1000, k, "user", f"turn {k % 7}") for k in range(70)] + [(1001, k, "user", f"turn {k % 7}") for k in range(40)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"depth": F.lit("x"), "conv": F.lit(1), "name": F.lit("n")})
+    docs.repartition(5).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(map(tuple, trie.op12_prefix_trie(spark, str(tmp_path)).collect()))
+    assert got == brute_trie(rows)
+
+
+def test_turns_of_a_huge_conversation_are_numbered_over_parts(spark):
+    rng = random.Random(8)
+    rows = [(5, k, "user", str(k)) for k in range(3000)] + [(c, k, "user", str(k)) for c in (1, 4, 6, 9) for k in range(4)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
+    got = trie.numbered(docs).join(docs.select(F.xxhash64("role", "text").alias("a"), F.col("conv_id").alias("conv"), "turn"), ["a", "conv"])
+    assert got.count() == len(rows) and got.where("depth <> turn + 1").count() == 0
+
+
+def test_trie_of_nothing_repeats_and_turnless_conversations(spark, tmp_path):
+    schema = "conv_id long, turn long, role string, text string"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/conversations.parquet")
+    assert trie.op12_prefix_trie(spark, f"{tmp_path}/none").count() == 0
+    c = next(c for c in range(1, 100) if c % 5 and zlib.crc32(str(c).encode()) % 9 > 2)
+    spark.createDataFrame([(c, 1, "user", "x"), (c, 1, "user", "x")], schema).write.parquet(f"{tmp_path}/one/conversations.parquet")
+    empty = hashlib.sha256(str(c).encode()).hexdigest()
+    assert list(map(tuple, trie.op12_prefix_trie(spark, f"{tmp_path}/one").collect())) == [(c, 0, None, 1, 0, 1, 0, empty)]
+    rows = trie.numbered(spark.createDataFrame([(1, 1, "user", "x"), (1, 1, "user", "x"), (1, 1, "user", "y"), (2, None, None, None)], schema))
+    nodes, names = trie.prefix_trie(rows, rows.groupBy("conv").agg(F.count("*").alias("size")))
+    assert nodes.count() == 5 and names.count() == 6
+
+
+def test_ends_in_several_pieces(spark, monkeypatch):
+    convs = list(range(-50, 10_000, 3))
+    ends = spark.createDataFrame([(2, 7, c) for c in convs] + [(3, 7, 1)], "depth long, name long, conv long").repartition(4)
+    got = {r.depth: r.digest for r in trie.end_digests(ends).collect()}
+    assert got == {2: hashlib.sha256(",".join(map(str, convs)).encode()).hexdigest(), 3: hashlib.sha256(b"1").hexdigest()}
