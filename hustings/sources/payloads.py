@@ -164,9 +164,9 @@ DOCUMENT = """metadata struct<electionId: string, electionNumber: int, termId: s
 seats array<struct<code: string, state: string, registered: bigint, candidates: array<struct<id: string, name: string, alliance: string, votes: bigint>>>>"""
 
 
-def documents(spark: SparkSession, path: str, schema: str = DOCUMENT) -> tuple[DataFrame, DataFrame]:
+def documents(spark: SparkSession, path: str, schema: str = DOCUMENT, pattern: str = "*.json") -> tuple[DataFrame, DataFrame]:
     """(documents, issues) of files that hold one JSON object each; a list, or a text that isn't JSON, is an issue."""
-    texts = whole_files(spark, path)
+    texts = whole_files(spark, path, pattern)
     rows = texts.withColumn("root", _root(F.col("text")))
     good = rows.where("root = 'object'").select("path", F.from_json("text", schema).alias("d")).select("path", "d.*")
     bad = rows.where("root is null or root <> 'object'").select("path", F.lit(None).cast("int").alias("ordinal"), F.lit(None).cast("string").alias("field"), F.when(F.col("root").isNull(), "not_json").otherwise("not_an_object").alias("reason"))

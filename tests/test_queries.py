@@ -7,12 +7,13 @@ import sys
 
 import pytest
 
-from hustings.plans import contests, fields, ledger, records, relations
+from hustings.plans import contests, fields, governed, ledger, records, relations
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES = contests.registry.queries | relations.registry.queries | records.registry.queries | ledger.registry.queries | fields.registry.queries
-ORACLES = contests.registry.oracles | relations.registry.oracles | records.registry.oracles | ledger.registry.oracles | fields.registry.oracles
+PLANS = (contests, relations, records, ledger, fields, governed)
+QUERIES = {name: f for plan in PLANS for name, f in plan.registry.queries.items()}
+ORACLES = {name: sql for plan in PLANS for name, sql in plan.registry.oracles.items()}
 
 
 def plain(value):
