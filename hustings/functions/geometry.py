@@ -156,4 +156,9 @@ def fitted(point: Column, box: Column, width: float, height: float, padding: flo
 
 
 def geometry_type(polygons: Column) -> Column:
-    return F.when(F.size(polygons) == 1, "Polygon").when(F.size(polygons) > 1, "MultiPolygon")
+    return type_of(F.size(polygons))
+
+
+def type_of(count: Column) -> Column:
+    """A geometry's type by its number of polygons."""
+    return F.when(count == 1, "Polygon").when(count > 1, "MultiPolygon")

@@ -48,6 +48,24 @@ def resolve_aliases(df: DataFrame, column: str, catalogue: DataFrame) -> DataFra
     return df.join(table, F.col(column) == F.col("_spelt"), "left").withColumn(column, F.coalesce("_name", column)).drop("_spelt", "_name")
 
 
+def aliases_of(df: DataFrame, column: str, prefixes: Sequence[str]) -> DataFrame:
+    """df once per distinct spelling (`alias`) of a name: upper-cased, and without each of the prefixes (patterns)."""
+    upper = F.upper(F.trim(F.col(column)))
+    return df.withColumn("alias", F.explode(F.array_distinct(F.array(upper, *(F.regexp_replace(upper, f"^(?:{p})", "") for p in prefixes)))))
+
+
+def alias_lookup(asked: DataFrame, names: DataFrame, column: str, prefixes: Sequence[str]) -> DataFrame:
+    """Asked rows (column `asked`) with each row of names that has the asked spelling among its aliases, once."""
+    return asked.join(aliases_of(names, column, prefixes), F.upper(F.trim("asked")) == F.col("alias")).drop("alias").distinct()
+
+
+def with_catalogue(df: DataFrame, column: str, catalogue: DataFrame, defaults: dict[str, Column]) -> DataFrame:
+    """df with the catalogue's columns for its name; a name that the catalogue lacks has the defaults. Of several entries
+    of a name the first by `ordinal` counts."""
+    one = catalogue.groupBy(F.col("name").alias("_name")).agg(*(F.min_by(c, "ordinal").alias(f"_{c}") for c in defaults))
+    return df.join(one, F.col(column) == F.col("_name"), "left").select(*df.columns, *(F.coalesce(f"_{c}", v).alias(c) for c, v in defaults.items()))
+
+
 def seat_status(seats: DataFrame, events: DataFrame, as_of: Column, vacant_alliance: str = "VACANT", vacant_party: str = "-") -> DataFrame:
     """Seats with their current holder: vacant seats have the stated names, seats without an event their winner."""
     held = as_of_join(seats, events, ["seat"], ["status", "alliance", "party"], as_of)

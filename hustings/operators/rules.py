@@ -69,6 +69,17 @@ def cross_source(a: DataFrame, b: DataFrame, keys: Sequence[str], fields: Sequen
     return issues(both, "V13", "sources differ", F.concat_ws(":", *keys), ["field", "first", "second"])
 
 
+def detail_against_headline(detail: DataFrame, headline: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """V12: one issue per contest whose detail differs from its headline in a field, with both values of each such field;
+    and one row with the number of contests that agree in all (`matches`) and that have both (`compared`)."""
+    a = detail.select(*keys, *(F.col(c).cast("string").alias(f"_{c}") for c in fields))
+    joined = a.join(headline.select(*keys, *(F.col(c).cast("string").alias(c) for c in fields)), list(keys))
+    pairs = F.filter(F.array(*(F.struct(F.lit(c).alias("key"), F.when(~F.col(f"_{c}").eqNullSafe(F.col(c)), F.concat(F.coalesce(f"_{c}", F.lit("null")), F.lit(" and "), F.coalesce(c, F.lit("null")))).alias("value")) for c in fields)), lambda x: x["value"].isNotNull())
+    both = joined.select(F.concat_ws(":", *keys).alias("code"), F.map_from_entries(pairs).alias("details"))
+    found = both.where(F.size("details") > 0).select(F.lit("error").alias("severity"), F.lit("V12").alias("rule_id"), F.lit("detail differs from the headline").alias("message"), "code", "details")
+    return found, both.agg(F.count_if(F.size("details") == 0).alias("matches"), F.count("*").alias("compared"))
+
+
 def parts_sum(df: DataFrame, whole: str, parts: Sequence[str], code: Column) -> DataFrame:
     return check(df, "V15", F.col(whole) == reduce(lambda x, y: x + y, map(F.col, parts)), f"{' + '.join(parts)} isn't {whole}", code, [whole, *parts])
 

@@ -35,5 +35,20 @@ def drill(levels: DataFrame, names: Sequence[str], selected: Sequence) -> DataFr
     return levels.where(held & (F.col("level") == depth + 1))
 
 
+def resolve_events(asked: DataFrame, events: DataFrame) -> DataFrame:
+    """asked (id, first, second) with `event` and `redirect`: what a route's two parts mean.
+
+    A state and a year (first isn't a number, second is) mean the state's event of that year; a number and a state the
+    event of that assembly; a state alone (first null) its latest event. Of several the latest counts, then the greatest
+    event. redirect: there is one, and the route isn't the assembly's own. events: event, state, number, year, date."""
+    digits = lambda c: F.coalesce(F.col(c).rlike("^[0-9]+$"), F.lit(False))
+    legacy = F.col("first").isNotNull() & ~digits("first") & digits("second")
+    rows = asked.withColumn("legacy", legacy).withColumn("state", F.when(F.col("legacy"), F.col("first")).otherwise(F.col("second")))
+    wanted = F.when(F.col("legacy"), F.col("year") == F.col("second").try_cast("int")).otherwise(F.col("first").isNull() | F.coalesce(F.col("number") == F.col("first").try_cast("bigint"), F.lit(False)))
+    best = rows.join(events, "state").where(wanted).groupBy("id").agg(F.max_by("event", F.struct("date", "event")).alias("event"))
+    redirect = F.col("event").isNotNull() & (F.col("legacy") | F.col("first").isNull())
+    return rows.join(best, "id", "left").select("id", "event", redirect.alias("redirect"))
+
+
 def page(df: DataFrame, order: Sequence, number: int, size: int) -> DataFrame:
     return df.orderBy(*order).offset(number * size).limit(size)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hustings.functions import geometry, numbers, parsing, text
 from hustings.operators import match
-from hustings.plans.ledger import _scratch
+from hustings.sources.scratch import folder
 from hustings.plans.relations import _EDGES
 from hustings.plans.roles import Registry
 from hustings.sources import readers
@@ -157,15 +157,15 @@ def g12(spark, d):
 
 @query("s7_g14_placemarks", "SELECT n_name AS name, 'nation ' || n_nationkey AS description, '0,0 1,0 1,1 0,' || n_nationkey || '|2,2 3,2 3,3' AS rings FROM nation")
 def s7_g14(spark, d):
-    folder = _scratch(spark, "placemarks")
+    path = folder(spark, "placemarks")
     ring = lambda x: F.concat(F.lit("<LinearRing><coordinates> "), x, F.lit(" </coordinates></LinearRing>"))
     outer, inner = ring(F.concat(F.lit("0,0 1,0  1,1 0,"), "n_nationkey")), ring(F.lit("2,2 3,2 3,3"))
     mark = F.concat(
         F.lit("<kml><Document><Placemark><name>"), "n_name", F.lit("</name><description>nation "), "n_nationkey", F.lit("</description><Polygon><outerBoundaryIs>"),
         outer, F.lit("</outerBoundaryIs><innerBoundaryIs>"), inner, F.lit("</innerBoundaryIs></Polygon></Placemark></Document></kml>"),
     )
-    table(spark, d, "nation").select(F.col("n_nationkey").alias("file"), mark.alias("value")).write.partitionBy("file").text(folder)
-    return readers.placemarks(spark, folder).select("name", "description", F.array_join("rings", "|").alias("rings"))
+    table(spark, d, "nation").select(F.col("n_nationkey").alias("file"), mark.alias("value")).write.partitionBy("file").text(path)
+    return readers.placemarks(spark, path).select("name", "description", F.array_join("rings", "|").alias("rings"))
 
 
 _AT = {"p": (7, 13, 11, 29), "s": (17, 19, 23, 31)}

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hustings.functions import geometry, numbers, text
-from hustings.operators import editorial, match, overlay, rules
+from hustings.operators import editorial, joins, match, overlay, rules
 from hustings.plans import roles
 from hustings.plans.roles import BASE, KEYS, Registry
 from hustings.sources import readers, writers
 from hustings.sources.readers import table
+from hustings.sources.scratch import folder
 
 registry = Registry()
 query = registry.query
@@ -26,11 +24,6 @@ def _code():
     return F.concat_ws(":", *KEYS)
 
 
-def _scratch(spark, name):
-    """A new folder for files that a query writes and reads back; a local one only where the session names none."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/{name}-{uuid.uuid4().hex}"
-
-
 # Rules, each with rows that break it and rows that keep it
 
 
@@ -58,13 +51,27 @@ def v5_to_v11(spark, d):
     return rules.contest_rules(broken, _code()).select("rule_id", "code")
 
 
-@query("v12_detail_against_headline", BASE + f"SELECT {CODE} AS code, field FROM cont, (VALUES ('valid', 5), ('rejected', 9)) f (field, k) WHERE seat % k = 0")
-def v12(spark, d):
-    headline = roles.contests(spark, d).select(*KEYS, "valid", "rejected", "unreturned")
+_OFF = {"registered": 13, "issued": 11, "valid": 5, "rejected": 9, "unreturned": 7}
+
+
+def _v12(spark, d):
+    """Details from the lines, planted with differences; headlines from the accounts."""
+    headline = roles.contests(spark, d)
     flag = lambda x, name: F.sum(F.when(F.col("flag") == x, F.col("q")).otherwise(0)).alias(name)
-    detail = roles.lines(spark, d).groupBy(*KEYS).agg(flag("N", "valid"), flag("R", "rejected"), flag("A", "unreturned"))
-    planted = detail.withColumns({"valid": F.col("valid") + (F.col("seat") % 5 == 0).cast("bigint"), "rejected": F.col("rejected") - (F.col("seat") % 9 == 0).cast("bigint")})
-    return rules.cross_source(planted, headline, KEYS, ["valid", "rejected", "unreturned"]).select("code", F.col("details")["field"].alias("field"))
+    detail = roles.lines(spark, d).groupBy(*KEYS).agg(flag("N", "valid"), flag("R", "rejected"), flag("A", "unreturned"), F.sum("q").alias("issued"))
+    detail = detail.withColumn("registered", F.sum("issued").over(Window.partitionBy("seat")))
+    planted = detail.withColumns({c: F.col(c) + (F.col("seat") % k == 0).cast("bigint") for c, k in _OFF.items()})
+    return rules.detail_against_headline(planted, headline, KEYS, list(_OFF))
+
+
+@query("v12_detail_against_headline", BASE + f"SELECT {CODE} AS code, string_agg(field, ',' ORDER BY field) AS fields FROM cont, (VALUES " + ", ".join(f"('{c}', {k})" for c, k in _OFF.items()) + ") f (field, k) WHERE seat % k = 0 GROUP BY edition, seat")
+def v12(spark, d):
+    return _v12(spark, d)[0].select("code", F.array_join(F.array_sort(F.map_keys("details")), ",").alias("fields"))
+
+
+@query("v12_matches", BASE + "SELECT count(*) FILTER (WHERE " + " AND ".join(f"seat % {k} <> 0" for k in _OFF.values()) + ") AS matches, count(*) AS compared FROM cont")
+def v12_matches(spark, d):
+    return _v12(spark, d)[1]
 
 
 @query("v14_children_against_parents", "SELECT r_name AS code, 'customers' AS metric FROM region WHERE r_regionkey = 2 UNION ALL SELECT r_name, 'segments' FROM region WHERE r_regionkey = 4")
@@ -198,8 +205,9 @@ def _models(spark, d):
 @query("e10_rollback", f"WITH r AS {_REVISIONS}, m AS (SELECT key, max(revision) AS revision FROM r WHERE status = 'published' GROUP BY key), back AS (SELECT key, min(revision) AS revision FROM r WHERE status = 'superseded' GROUP BY key ORDER BY key LIMIT 1) SELECT x.key, x.revision, sha256(payload) AS etag FROM (SELECT * FROM m WHERE key NOT IN (SELECT key FROM back) UNION ALL SELECT * FROM back) x JOIN r ON r.revision = x.revision")
 def e10(spark, d):
     r = _revisions(spark, d)
-    back = r.where("status = 'superseded'").groupBy("key").agg(F.min("revision").alias("revision")).orderBy("key").first()
-    return editorial.point(_models(spark, d), r, F.lit(back["revision"] if back else None), F.lit("bob")).select("key", "revision", "etag")
+    first = r.where("status = 'superseded'").groupBy("key").agg(F.min("revision").alias("revision")).agg(F.min(F.struct("key", "revision")).alias("x"))
+    back = r.join(F.broadcast(first.select(F.col("x.revision").alias("_back"))), F.col("revision") == F.col("_back"), "left")  # one row
+    return editorial.point(_models(spark, d), back, F.col("_back"), F.lit("bob")).select("key", "revision", "etag")
 
 
 @query("e10_rollback_refused", f"WITH r AS {_REVISIONS} SELECT key, max(revision) AS revision FROM r WHERE status = 'published' GROUP BY key")
@@ -247,18 +255,20 @@ def j24(spark, d):
     return match.nearest_half_plane(points, "grp", horizontal=False, sign=-1)
 
 
-@query("j26_geometry_and_result", BASE + "SELECT vec_id AS feature, edition, winner FROM embeddings JOIN win ON vec_id = seat WHERE edition = 1996")
+@query("j26_geometry_and_result", BASE + "SELECT vec_id AS feature, edition, winner FROM embeddings JOIN win ON vec_id = seat")
 def j26(spark, d):
-    won = roles.results(spark, d).where("edition = 1996").select(F.col("seat").alias("vec_id"), "edition", "winner")
-    return table(spark, d, "embeddings").select("vec_id").join(won, "vec_id").withColumnRenamed("vec_id", "feature")
+    """Every result has its one geometry, or the query fails."""
+    won = roles.results(spark, d).select(F.col("seat").alias("feature"), "edition", "winner")
+    return joins.mandatory(won, table(spark, d, "embeddings").select(F.col("vec_id").alias("feature"), "label"), ["feature"]).drop("label")
 
 
-@query("j27_alias_lookup", "SELECT n_nationkey AS id, s.name FROM nation JOIN (VALUES ('STATES'), ('UNITED KINGDOM'), ('CHINA'), ('NOWHERE')) s (name) ON s.name IN (upper(n_name), regexp_replace(upper(n_name), '^UNITED ', ''))")
+_ASKED = ["NATION_7", " 12", "nation_3", "3", "17", "NOWHERE"]
+
+
+@query("j27_alias_lookup", "SELECT DISTINCT n_nationkey AS id, s.name AS asked FROM nation JOIN (VALUES " + ", ".join(f"('{x}')" for x in _ASKED) + ") s (name) ON upper(trim(s.name)) IN (upper(n_name), regexp_replace(upper(n_name), '^NATION_', ''), regexp_replace(upper(n_name), '^NATION_1', ''))")
 def j27(spark, d):
-    spelt = F.array_distinct(F.array(F.upper("n_name"), F.regexp_replace(F.upper("n_name"), "^UNITED ", "")))
-    names = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.explode(spelt).alias("name"))
-    asked = spark.createDataFrame([("STATES",), ("UNITED KINGDOM",), ("CHINA",), ("NOWHERE",)], "name string")
-    return names.join(F.broadcast(asked), "name").distinct()  # four names
+    asked = spark.createDataFrame([(x,) for x in _ASKED], "asked string")
+    return overlay.alias_lookup(asked, table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), "n_name"), "n_name", ["NATION_", "NATION_1"]).select("id", "asked")
 
 
 @query("j30_supplemented_event", "SELECT l_suppkey AS seat, CAST(DATE '1995-06-01' AS VARCHAR) AS held, count(*) AS n FROM lineitem WHERE year(l_shipdate) = 1995 AND l_suppkey <> 3 GROUP BY 1 UNION ALL SELECT l_suppkey, CAST(max(CAST(l_shipdate AS DATE)) AS VARCHAR), count(*) FROM lineitem WHERE year(l_shipdate) = 1996 AND l_suppkey = 3 GROUP BY 1")
@@ -341,16 +351,19 @@ def u9(spark, d):
     return left.exceptAll(right).select(F.lit("left").alias("side"), "name").unionByName(right.exceptAll(left).select(F.lit("right").alias("side"), "name"))
 
 
-@query("f8_short_names", "SELECT n_name, CASE n_name WHEN 'FRANCE' THEN 'FR' WHEN 'CHINA' THEN 'CN' ELSE n_name END AS short, CASE n_name WHEN 'FRANCE' THEN '#0000ff' WHEN 'CHINA' THEN '#ff0000' ELSE '#7b8580' END AS color FROM nation")
+@query("f8_short_names", "SELECT n_name, CASE WHEN n_nationkey % 4 = 0 THEN 'N' || n_nationkey ELSE n_name END AS short, CASE WHEN n_nationkey % 4 = 0 THEN '#0000ff' ELSE '#7b8580' END AS color FROM nation")
 def f8(spark, d):
-    known = spark.createDataFrame([("FRANCE", "FR", "#0000ff"), ("CHINA", "CN", "#ff0000")], "n_name string, short string, color string")
-    return table(spark, d, "nation").select("n_name").join(F.broadcast(known), "n_name", "left").select("n_name", F.coalesce("short", "n_name").alias("short"), F.coalesce("color", F.lit("#7b8580")).alias("color"))  # two names
+    n = table(spark, d, "nation")
+    entry = lambda ordinal, short: n.where("n_nationkey % 4 = 0").select(F.col("n_name").alias("name"), F.lit(ordinal).alias("ordinal"), short.alias("shortName"), F.lit("#0000ff").alias("color"))
+    known = entry(1, F.concat(F.lit("N"), "n_nationkey")).unionByName(entry(2, F.lit("later")))
+    named = overlay.with_catalogue(n.select("n_name"), "n_name", known, {"shortName": F.col("n_name"), "color": F.lit("#7b8580")})
+    return named.withColumnRenamed("shortName", "short")
 
 
-@query("f10_number_formats", "SELECT c_custkey, format('{:,}', c_custkey * 1234) AS grouped, CASE WHEN c_custkey % 2 = 0 THEN '+' ELSE '-' END || CAST(c_custkey AS VARCHAR) AS signed, CAST(c_custkey % 100 AS VARCHAR) || '.0%' AS percent FROM customer WHERE c_custkey > 0")
+@query("f10_number_formats", "SELECT c_custkey, format('{:,}', c_custkey * 1234) AS grouped, CASE WHEN c_custkey % 2 = 0 THEN '+' ELSE '-' END || CAST(c_custkey AS VARCHAR) AS signed, CAST(c_custkey % 100 AS VARCHAR) || '.0%' AS percent FROM customer")
 def f10(spark, d):
     k = F.col("c_custkey")
-    return table(spark, d, "customer").where("c_custkey > 0").select("c_custkey", F.format_number(k * 1234, 0).alias("grouped"), F.format_string("%+d", F.when(k % 2 == 0, k).otherwise(-k)).alias("signed"), F.format_string("%.1f%%", (k % 100) / 100 * 100).alias("percent"))
+    return table(spark, d, "customer").select("c_custkey", F.format_number(k * 1234, 0).alias("grouped"), F.format_string("%+d", F.when(k % 2 == 0, k).otherwise(-k)).alias("signed"), F.format_string("%.1f%%", (k % 100) / 100 * 100).alias("percent"))
 
 
 @query("n5_n6_dates", "SELECT year(min(CAST(o_orderdate AS DATE))) || '-' || year(max(CAST(o_orderdate AS DATE))) AS years, strftime(min(CAST(o_orderdate AS DATE)), '%d/%m/%Y') AS first, strftime(min(CAST(o_orderdate AS DATE)), '%Y-%m-%dT00:00:00Z') AS baseline FROM orders")
@@ -419,8 +432,8 @@ def g11(spark, d):
 
 @query("g13_geometry_types", "SELECT label, CASE WHEN count(*) = 1 THEN 'Polygon' ELSE 'MultiPolygon' END AS kind FROM embeddings GROUP BY label")
 def g13(spark, d):
-    parts = table(spark, d, "embeddings").join(_rings(spark, d), "vec_id").groupBy("label").agg(F.collect_list("ring").alias("polygons"))
-    return parts.select("label", geometry.geometry_type(F.col("polygons")).alias("kind"))
+    parts = table(spark, d, "embeddings").groupBy("label").agg(F.count("*").cast("int").alias("n"))
+    return parts.select("label", geometry.type_of(F.col("n")).alias("kind"))
 
 
 # Files: written, then read back
@@ -428,7 +441,7 @@ def g13(spark, d):
 
 @query("s1_s3_json_and_csv", "SELECT n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS region FROM nation")
 def s1_s3(spark, d):
-    path = _scratch(spark, "files")
+    path = folder(spark, "files")
     n = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
     writers.json_lines(n, f"{path}/json")
     n.write.option("header", True).csv(f"{path}/csv")
@@ -439,7 +452,7 @@ def s1_s3(spark, d):
 
 @query("k2_k3_checked_partitions", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey")
 def k2_k3(spark, d):
-    path = _scratch(spark, "parts")
+    path = folder(spark, "parts")
     n = table(spark, d, "nation")
     writers.partitioned(n.select("n_nationkey", "n_regionkey"), path, "n_regionkey")
     back = spark.read.parquet(path)
@@ -449,18 +462,38 @@ def k2_k3(spark, d):
     return spark.read.parquet(f"{path}-counts")
 
 
-@query("s10_s11_k5_locked_files", "SELECT true AS named_once, true AS locked")
+@query("s10_s11_k5_locked_files", "SELECT CASE WHEN n_nationkey < 10 THEN 'P.00' ELSE 'P.0' END || n_nationkey AS code, sha256(n_name || chr(10)) AS sha256, CAST(strlen(n_name) + 1 AS BIGINT) AS bytes, n_nationkey % 3 <> 0 AS registered FROM nation")
 def s10_s11_k5(spark, d):
-    path = _scratch(spark, "locked")
-    table(spark, d, "region").repartition(3).write.parquet(path)
-    stated = writers.manifest(spark, path).select(F.col("file").alias("name"), "sha256").where("name like 'part-%'")
-    held = readers.locked(readers.files(spark, path, "part-*"), stated)
-    return held.agg((F.count("*") == F.count_distinct("name")).alias("named_once"), F.bool_and(F.col("sha256").isNotNull()).alias("locked"))
+    """A file per nation; two of three are registered with their digest, and locked reading takes just these."""
+    path = folder(spark, "locked")
+    code = F.format_string("P.%03d", "n_nationkey")
+    table(spark, d, "nation").select(code.alias("file"), F.col("n_name").alias("value")).write.partitionBy("file").text(path)
+    found = readers.files(spark, path, "part-*").withColumns({"code": F.regexp_extract("path", "/file=([^/]*)/", 1)}).drop("name").withColumn("name", F.col("code"))
+    stated = table(spark, d, "nation").where("n_nationkey % 3 <> 0").select(code.alias("name"), F.sha2(F.concat("n_name", F.lit("\n")), 256).alias("sha256"))
+    held = readers.locked(found, stated).select("name", F.lit(True).alias("registered"))
+    return found.join(held, "name", "left").select("code", "sha256", "bytes", F.coalesce("registered", F.lit(False)).alias("registered"))
+
+
+@query("s11_wrong_digest_refused", "SELECT CASE WHEN n_nationkey % 3 = 0 THEN 'refused' ELSE 'read' END AS outcome, count(*) AS n FROM nation GROUP BY 1")
+def s11(spark, d):
+    """The same with some digests wrong: what a locked reader would refuse."""
+    path = folder(spark, "locked")
+    table(spark, d, "nation").select(F.col("n_nationkey").alias("file"), F.col("n_name").alias("value")).write.partitionBy("file").text(path)
+    found = readers.files(spark, path, "part-*").withColumn("name", F.regexp_extract("path", "/file=([^/]*)/", 1))
+    wrong = F.when(F.col("n_nationkey") % 3 == 0, "?").otherwise("")
+    stated = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("name"), F.sha2(F.concat("n_name", F.lit("\n"), wrong), 256).alias("sha256"))
+    try:
+        readers.locked(found, stated).select("sha256").write.format("noop").mode("overwrite").save()
+        raise AssertionError("a wrong digest was read")
+    except Exception as error:
+        if "isn't the registered one" not in str(error):
+            raise
+    return readers.mismatched(found, stated).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
 @query("s12_one_partition", "SELECT s_suppkey FROM supplier WHERE s_nationkey = 3")
 def s12(spark, d):
-    path = _scratch(spark, "lazy")
+    path = folder(spark, "lazy")
     writers.partitioned(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), path, "s_nationkey")
     return spark.read.parquet(path).where("s_nationkey = 3").select("s_suppkey")
 

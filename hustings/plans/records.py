@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hustings.functions import geometry, parsing, text
-from hustings.operators import compare, contest, editorial, match, overlay, rollup, rules
+from hustings.operators import compare, contest, editorial, match, overlay, rollup, rules, search
 from hustings.plans import roles
 from hustings.plans.roles import BASE, KEYS, Registry
 from hustings.sources import writers
@@ -65,9 +65,15 @@ def r16(spark, d):
     return table(spark, d, "orders").select("o_orderkey", parsing.date_in(name).alias("day"))
 
 
-@query("f6_collapsed_overlays")
+_PAIRS = "array_to_string(list_transform(range(0, length(w) // 2), lambda k: substr(w, 2 * k + {}, 1)), '')"
+_SINGLE = f"CASE WHEN length(w) > 2 AND length(w) % 2 = 0 AND {_PAIRS.format(1)} = {_PAIRS.format(2)} THEN {_PAIRS.format(1)} ELSE w END"
+
+
+@query("f6_collapsed_overlays", f"SELECT doc_id, CAST(length(t) AS INTEGER) AS n, sha256(t) AS digest FROM (SELECT doc_id, array_to_string(list_transform(list_filter(l, lambda x, i: i = 1 OR x <> l[i - 1]), lambda x: array_to_string(list_transform(string_split(x, ' '), lambda w: {_SINGLE}), ' ')), chr(10)) AS t FROM (SELECT doc_id, string_split(text || ' aabbcc xx', chr(10)) AS l FROM documents))")
 def f6(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.length(parsing.collapse_overlay(F.concat("text", F.lit("\n"), "text"))).alias("n"))
+    once = F.concat("text", F.lit(" aabbcc xx"))
+    both = table(spark, d, "documents").select("doc_id", parsing.collapse_overlay(F.concat(once, F.lit("\n"), once)).alias("t"))
+    return both.select("doc_id", F.length("t").alias("n"), F.sha2("t", 256).alias("digest"))
 
 
 @query("f3_short_names", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE c_name END AS short FROM customer")
@@ -191,6 +197,21 @@ def e15(spark, d):
     return table(spark, d, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("event"))
 
 
+_ROUTES = "(SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN CAST(k AS VARCHAR) WHEN c_custkey % 3 = 1 THEN 's' || c_custkey END AS first, CASE WHEN c_custkey % 3 = 1 THEN '1996' ELSE 's' || c_custkey END AS second FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS k FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey)"
+
+
+@query("e15_event_routes", f"SELECT id, event, event IS NOT NULL AND (first IS NULL OR second = '1996') AS redirect FROM (SELECT r.id, any_value(r.first) AS first, any_value(r.second) AS second, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS event FROM {_ROUTES} r LEFT JOIN orders ON o_custkey = r.id AND CASE WHEN second = '1996' THEN year(o_orderdate) = 1996 WHEN first IS NULL THEN r.id % 3 = 2 ELSE CAST(o_orderkey AS VARCHAR) = first END GROUP BY r.id)")
+def e15_routes(spark, d):
+    """Routes by assembly number, by a year, or by the state alone."""
+    o = table(spark, d, "orders")
+    first = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderkey").alias("k"))
+    state, third = F.concat(F.lit("s"), F.col("c_custkey").cast("string")), F.col("c_custkey") % 3
+    c = table(spark, d, "customer").select("c_custkey").join(first, "c_custkey", "left")
+    asked = c.select(F.col("c_custkey").alias("id"), F.when(third == 0, F.coalesce(F.col("k").cast("string"), F.lit("0"))).when(third == 1, state).alias("first"), F.when(third == 1, "1996").otherwise(state).alias("second"))
+    events = o.select(F.col("o_orderkey").alias("event"), F.concat(F.lit("s"), F.col("o_custkey").cast("string")).alias("state"), F.col("o_orderkey").alias("number"), F.year("o_orderdate").alias("year"), F.col("o_orderdate").alias("date"))
+    return search.resolve_events(asked, events)
+
+
 @query("v9_share_tolerance", BASE + "SELECT CAST(edition AS VARCHAR) || ':' || CAST(seat AS VARCHAR) AS code FROM win WHERE NOT (abs(share - (share + (seat % 3) * 1e-6)) <= greatest(1e-9 * greatest(abs(share), abs(share + (seat % 3) * 1e-6)), 1.5e-6))")
 def v9(spark, d):
     from hustings.functions.numbers import approx_equal

@@ -245,9 +245,9 @@ def w18(spark, d):
 # Sets, sorts and pages
 
 
-@query("u1_bag_union", "SELECT k, count(*) AS n FROM (SELECT l_suppkey AS k FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT s_suppkey FROM supplier) GROUP BY k")
+@query("u1_bag_union", "SELECT k, count(*) AS n FROM (SELECT l_suppkey AS k FROM lineitem UNION ALL SELECT s_suppkey FROM supplier) GROUP BY k")
 def u1(spark, d):
-    a = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_suppkey").alias("k"))
+    a = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"))
     return a.unionByName(table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"))).groupBy("k").agg(F.count("*").alias("n"))
 
 
@@ -368,6 +368,16 @@ def r9(spark, d):
     return table(spark, d, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit("<li><a "), 0)).alias("links"))
 
 
+@query("r9_html_cells", "SELECT page_id, 'u' || page_id AS name, CASE WHEN page_id % 2 = 0 THEN CAST(page_id * 3 AS VARCHAR) END AS area FROM pages")
+def r9_cells(spark, d):
+    """Pages behind a table of key and value cells, with tags in them; of a repeated key the last value counts."""
+    k = F.col("page_id")
+    cell = lambda key, value: F.concat(F.lit(f"<tr><td class='k'>{key}</td> <td><b>"), value, F.lit("</b></td></tr>"))
+    html = F.concat(F.lit("<TABLE>"), cell("NAME", F.lit("old")), F.when(k % 2 == 0, cell("AREA", k * 3)).otherwise(""), cell("NAME", F.concat(F.lit("u"), k)), F.lit("</TABLE>"))
+    found = table(spark, d, "pages").select("page_id", text.cells(html).alias("cells"))
+    return found.select("page_id", F.try_element_at("cells", F.lit("NAME")).alias("name"), F.try_element_at("cells", F.lit("AREA")).alias("area"))
+
+
 @query("r12_typed_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def r12(spark, d):
     return table(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))

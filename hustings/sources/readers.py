@@ -43,6 +43,13 @@ def locked(found: DataFrame, registered: DataFrame) -> DataFrame:
     return joined.withColumn("sha256", F.when(F.col("sha256") == F.col("_expected"), F.col("sha256")).otherwise(F.raise_error(F.concat(F.lit("digest of "), "name", F.lit(" isn't the registered one"))))).drop("_expected")
 
 
+def mismatched(found: DataFrame, registered: DataFrame) -> DataFrame:
+    """Files with the outcome that `locked` would have for each: read, refused, or unregistered."""
+    joined = found.join(registered.select("name", F.col("sha256").alias("_expected")), "name", "left")
+    outcome = F.when(F.col("_expected").isNull(), "unregistered").when(F.col("sha256") == F.col("_expected"), "read").otherwise("refused")
+    return joined.withColumn("outcome", outcome).drop("_expected")
+
+
 def unify(parts: list[DataFrame]) -> DataFrame:
     """Union by name of differently laid-out sources; absent columns are null."""
     out = parts[0]

@@ -196,3 +196,71 @@ def test_points_to_slots(spark):
     assert near == {(r.plan, r.id, r.slot) for r in got if r.squared <= 144} and len(near) < len(got)
     assert len(match.assign_points(frame(b), frame(a), "plan").collect()) == 20
     assert match.assign_points(frame(a), frame(b).where("plan > 8"), "plan").collect() == []
+
+
+def test_assignment_of_columns_is_the_best_of_all_permutations(spark):
+    import difflib
+    import itertools
+    import random
+
+    from hustings.operators import match
+
+    rng = random.Random(3)
+    names = ["ALI BIN ABU", "ALI ABU", "SITI AMINAH", "SITI AMINA", "TAN AH KOW", "LIM", "RAJU"]
+    columns, candidates = [], []
+    for contest in range(12):
+        for k in range(rng.randrange(0, 6)):
+            columns.append((contest, k, rng.choice(names), rng.choice([10, 20, 30, 4000])))
+        for k in range(rng.randrange(0, 6)):
+            candidates.append((contest, f"c{k}", rng.choice(names), rng.choice([10, 20, 30, 4000])))
+    like = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    worth = lambda a, b: 1e6 * (a[3] == b[3]) + 1e5 * like(a[2], b[2]) - min(abs(a[3] - b[3]), 5e4)
+    got = match.assign_columns(spark.createDataFrame(columns, "contest int, column int, name string, votes int"), spark.createDataFrame(candidates, "contest int, candidate_id string, name string, votes int")).collect()
+    for contest in range(12):
+        a, b = [x for x in columns if x[0] == contest], [x for x in candidates if x[0] == contest]
+        own = {r["column"]: r.candidate_id for r in got if r.contest == contest}
+        if not a or not b:
+            assert not own
+            continue
+        small, large, turned = (a, b, False) if len(a) <= len(b) else (b, a, True)
+        best = max(sum(worth(y, x) if turned else worth(x, y) for x, y in zip(small, pick)) for pick in itertools.permutations(large, len(small)))
+        pairs = [(next(x for x in a if x[1] == c), next(x for x in b if x[1] == i)) for c, i in own.items()]
+        assert len(set(own.values())) == len(own) and all(x[3] == y[3] or like(x[2], y[2]) >= 0.35 for x, y in pairs)
+        # What isn't there was dropped as too unlike: the pairs kept, and the best of the dropped, make up the best total.
+        rest_a, rest_b = [x for x in a if x not in [p[0] for p in pairs]], [y for y in b if y not in [p[1] for p in pairs]]
+        small, large, turned = (rest_a, rest_b, False) if len(rest_a) <= len(rest_b) else (rest_b, rest_a, True)
+        rest = max((sum(worth(y, x) if turned else worth(x, y) for x, y in zip(small, pick)) for pick in itertools.permutations(large, len(small))), default=0)
+        assert abs(sum(worth(x, y) for x, y in pairs) + rest - best) < 1e-6
+
+
+def test_fuzzy_match_equals_a_plain_loop(spark):
+    import difflib
+    import random
+
+    from hustings.operators import match
+
+    rng = random.Random(5)
+    names = ["ALI BIN ABU", "ALI ABU", "SITI AMINAH", "SITI AMINA", "TAN AH KOW", "LIM"]
+    rows = [(c, k, rng.choice(names), rng.choice([1, 2, 3])) for c in range(9) for k in range(4)]
+    candidates = [(c, f"c{k}", rng.choice(names), rng.choice([1, 2, 3])) for c in range(8) for k in range(5)]
+    got = {(r.contest, r.row): r.candidate_id for r in match.fuzzy_match(spark.createDataFrame(rows, "contest int, row int, name string, votes int"), spark.createDataFrame(candidates, "contest int, candidate_id string, name string, votes int")).collect()}
+    want = {}
+    for c, k, name, votes in rows:
+        own = [x for x in candidates if x[0] == c]
+        exact = [x for x in own if x[3] == votes]
+        if own:
+            want[c, k] = exact[0][1] if len(exact) == 1 else min(own, key=lambda x: (-difflib.SequenceMatcher(None, name, x[2]).ratio(), x[1]))[1]
+    assert got == want
+
+
+def test_similarity_equals_difflib(spark):
+    import difflib
+    import random
+
+    from hustings.functions.text import similarity
+
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcde é") for _ in range(n))
+    pairs = [(word(rng.randrange(12)), word(rng.randrange(12))) for _ in range(60)] + [(word(260), word(260)), ("a" * 230, "ab" * 120), (None, "x")]
+    got = [r.s for r in spark.createDataFrame(pairs, "a string, b string").coalesce(1).select(similarity("a", "b").alias("s")).collect()]
+    assert got == [None if a is None else difflib.SequenceMatcher(None, a, b).ratio() for a, b in pairs]

@@ -61,3 +61,20 @@ def test_matching_sees_every_contest_and_place(spark, name):
     want = {(f"{r.edition}:{r.seat}", r.position) for r in ranked}
     assert {(r["contest"], r[place]) for r in QUERIES[name](spark, SMALL).collect()} == want
     assert max(r.position for r in ranked) > 5 and len({r.edition for r in ranked}) > 1
+
+
+def test_catalogue_fold_equals_a_plain_loop(spark, duck):
+    held, names = {}, {}
+    for ordinal, user, kind in duck.sql("SELECT event_id, user_id, event_type FROM events ORDER BY event_id").fetchall():
+        name = f"{kind} {user // 2}"
+        if ordinal % 6 == 0:
+            if user in held:
+                del names[held.pop(user)[0]]
+        elif names.get(name, user) == user:
+            old = held.get(user)
+            if old:
+                del names[old[0]]
+            held[user] = (name, [] if old is None else old[1] + [old[0]] * (old[0] != name and old[0] not in old[1]))
+            names[name] = user
+    got = {r.id: (r.name, r.aliases) for r in QUERIES["e12_catalogue_fold"](spark, SMALL).collect()}
+    assert got == {k: (name, ",".join(aliases)) for k, (name, aliases) in held.items()} and got
