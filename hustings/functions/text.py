@@ -3,26 +3,65 @@
 from __future__ import annotations
 
 import difflib
+import functools
+import json
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType
 
 
-@F.pandas_udf(StringType())
-def fold_ascii(values: pd.Series) -> pd.Series:
+#: Combining marks that are dropped, and precomposed Hangul, whose parts are found by arithmetic.
+MARKS, HANGUL = "[\\u0300-\\u036F]", "[\\uAC00-\\uD7A3]"
+_LAST = 0x20000
+
+
+def _ascii(c: str) -> str:
+    return unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+
+
+def _unmarked(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFD", c) if not "\u0300" <= x <= "\u036f")
+
+
+@functools.cache
+def _tables(rule: Callable[[str], str]) -> tuple[str, str, dict[str, str]]:
+    """The characters beyond ASCII that a rule turns into one other, these others, and what it turns into several."""
+    turned = {c: rule(c) for c in map(chr, range(0x80, _LAST)) if not "\ud800" <= c <= "\udfff" and not "\uac00" <= c <= "\ud7a3"}
+    one = {c: t for c, t in turned.items() if len(t) == 1 and t != c}
+    return "".join(one), "".join(one.values()), {c: t for c, t in turned.items() if len(t) > 1}
+
+
+def _folded(x: Column, rule: Callable[[str], str], dropped: str, hangul: bool = False) -> Column:
+    """Each character by the rule, then without the dropped ones, all in the JVM. ASCII stays as it is; characters that
+    become several are rare and cost a pass over the letters."""
+    keys, values, several = _tables(rule)
+    table = F.from_json(F.lit(json.dumps(several)), "map<string,string>")  # a constant when the plan is made
+    other = lambda c: F.coalesce(F.try_element_at(table, c), F.when(c.rlike(HANGUL), _jamo(c)), c) if hangul else F.coalesce(F.try_element_at(table, c), c)
+    found = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in several) + (HANGUL[1:-1] if hangul else "") + "]"
+    spread = F.when(x.rlike(found), F.array_join(F.transform(F.split(x, ""), other), "")).otherwise(x)
+    return F.when(x.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(spread, keys, values), dropped, "")).otherwise(x)
+
+
+def fold_ascii(x: Column) -> Column:
     """Compatibility decomposition, then ASCII alone."""
-    folded = {x: unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode() for x in values.dropna().unique()}
-    return values.map(folded)
+    return _folded(x, _ascii, "[^\\x00-\\x7F]+")
+
+
+def _jamo(c: Column) -> Column:
+    """A Hangul syllable as its two or three letters."""
+    k = F.ascii(c) - 0xAC00
+    pick = lambda first, n, at: F.substring(F.lit("".join(chr(first + i) for i in range(n))), at.cast("int") + 1, F.lit(1))
+    return F.concat(pick(0x1100, 19, F.floor(k / 588)), pick(0x1161, 21, F.floor(k % 588 / 28)), F.when(k % 28 > 0, pick(0x11A7, 28, k % 28)).otherwise(""))
 
 
-@F.pandas_udf(StringType())
-def strip_marks(values: pd.Series) -> pd.Series:
-    """Canonical decomposition without combining marks U+0300 to U+036F; other scripts stay."""
-    folded = {x: "".join(c for c in unicodedata.normalize("NFD", x) if not "̀" <= c <= "ͯ") for x in values.dropna().unique()}
-    return values.map(folded)
+def strip_marks(x: Column) -> Column:
+    """Canonical decomposition without combining marks U+0300 to U+036F; other scripts stay. Several other marks in a row
+    keep the order in which they stand."""
+    return _folded(x, _unmarked, MARKS, hangul=True)
 
 
 @F.pandas_udf(DoubleType())

@@ -159,3 +159,21 @@ def test_centroid_and_simplified_rings_against_plain_loops(spark):
         want = p.mean(0) if abs(cross.sum()) < 1e-9 else ((p + q) * cross[:, None]).sum(0) / (3 * cross.sum())
         assert np.allclose([row.c.x, row.c.y], want)
         assert np.allclose([(x.x, x.y) for x in row.s], kept(rings[row.k]))
+
+
+def test_folding_equals_the_unicode_tables_for_every_character(spark):
+    import unicodedata
+
+    chars = [chr(c) for c in range(0x20, 0x20000) if not 0xD800 <= c <= 0xDFFF]
+    texts = ["x" + "".join(chars[k : k + 7]) + "y" for k in range(0, len(chars), 7)] + ["e\u0301o\u0308", "ﬁné ½ Å\u0327", "", None, "plain"]
+    got = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", "t", text.fold_ascii(F.col("t")).alias("a"), text.strip_marks(F.col("t")).alias("m")).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        if r.t is None:
+            assert r.a is None and r.m is None
+            continue
+        assert r.a == unicodedata.normalize("NFKD", r.t).encode("ascii", "ignore").decode()
+        want = "".join(c for c in unicodedata.normalize("NFD", r.t) if not "\u0300" <= c <= "\u036f")
+        assert r.m == want or sorted(r.m) == sorted(want)  # only the order of other marks may differ
+    plan = spark.createDataFrame([("é",)], "t string").select(text.upper_with_spaces(F.col("t")))._jdf.queryExecution().toString()
+    assert "Python" not in plan
