@@ -41,6 +41,8 @@ LENGTH, GRAM = 100, 32
 #: More members than this of one bucket are compared by a shuffle of their strings.
 HOT = 20_000
 PIECE = 1 << 20
+#: So many anchors of a task are compared with each other before they are shuffled.
+TOGETHER = 1 << 18
 #: So many members of buckets are refined at a time.
 CHUNK = 4096
 _BASE = 0x9E3779B97F4A7C15
@@ -160,11 +162,20 @@ def _send(bucket: np.ndarray, around: np.ndarray, ident: np.ndarray, tie: np.nda
 def _anchored(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(pieces(*texts_of(batch.column("text")), length, gram))
-            if found:
+            names = _columns(batch, "id", "tie")
+            found: list[tuple[np.ndarray, ...]] = []
+
+            def flush(found: list = found, names: list = names) -> Iterator[pa.RecordBatch]:
                 text, at, bucket, around, right = (np.concatenate(x) for x in zip(*found, strict=True))
-                ident, tie = (x[text] for x in _columns(batch, "id", "tie"))
-                yield from _send(bucket, around, ident, tie, at, right, length - gram)
+                found.clear()
+                yield from _send(bucket, around, *(x[text] for x in names), at, right, length - gram)
+
+            for piece in pieces(*texts_of(batch.column("text")), length, gram):
+                found.append(piece)
+                if sum(len(x[0]) for x in found) >= TOGETHER:
+                    yield from flush()
+            if found:
+                yield from flush()
 
     return run
 
