@@ -40,12 +40,18 @@ def cut(df: DataFrame, path: str | None = None, release: bool = False) -> DataFr
     With `release` the shuffle files of this write go as soon as it ends; nothing else reads them."""
     spark = df.sparkSession
     path = path or f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN_SHUFFLES, "false")
-    spark.conf.set(CLEAN_SHUFFLES, "true" if release else before)
-    try:
+    if not release:
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEAN_SHUFFLES, before)
+    else:
+        before = spark.conf.get(CLEAN_SHUFFLES, None)
+        spark.conf.set(CLEAN_SHUFFLES, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            if before is None:
+                spark.conf.unset(CLEAN_SHUFFLES)
+            else:
+                spark.conf.set(CLEAN_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
