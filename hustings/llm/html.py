@@ -17,7 +17,7 @@ from __future__ import annotations
 import math
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -32,17 +32,30 @@ from hustings.llm.common import table
 
 # Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template head title iframe object canvas select textarea button datalist".split())
+SILENT = frozenset("script style noscript template head title iframe object canvas select textarea button datalist video audio".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var "
                    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd semantics svg g defs use path circle rect line polyline polygon ellipse text tspan".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 CONTAINERS = frozenset("ul ol dl table html body".split())
 
-TOKEN = re.compile(
-    # A quote opens a value only behind an equals sign.
-    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|iframe)\b(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>|<[a-zA-Z/][^<>]*\Z",
-    re.S | re.I,
-)
+ITEMS = frozenset("td th li dd dt tr".split())
+
+
+def _token(inside: str) -> re.Pattern[str]:
+    """Comments, elements of raw text, declarations, tags and a tag cut off at the end; `inside` is what a tag may hold.
+
+    Group 5 is the start of a tag that nothing closes.
+    """
+    return re.compile(
+        rf"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|iframe)\b{inside}>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({inside})>|<[a-zA-Z/][^<>]*\Z|(<)(?=/?[a-zA-Z])",
+        re.S | re.I,
+    )
+
+
+# A quote opens a value only behind an equals sign. Behind a tag that nothing closes, tags end before the next `<`, so
+# that no start of a tag reads on to the end of the page.
+TOKEN = _token(r"(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+")
+CLOSED = _token(r"(?:=\s*\"[^\"<]*\"|=\s*'[^'<]*'|[^<>])*+")
 ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|data-content)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
@@ -68,6 +81,8 @@ def parse(html: str) -> Page:
     """Block elements as nodes; the text of inline elements belongs to the block around them."""
     page = Page([Node("html", -1)])
     stack, links, silent = [("html", 0)], 0, 0
+    places: defaultdict[str, list[int]] = defaultdict(list)  # of each open tag in the stack
+    containers, blocks = [0], [0]  # places of what an end implied by an item or cell, or by another block, doesn't cross
     at = loose = 0
 
     def text(raw: str) -> None:
@@ -83,23 +98,45 @@ def parse(html: str) -> Page:
             if links:
                 page.nodes[node].linked += size
 
+    def open_(tag: str, node: int) -> None:
+        nonlocal links, silent
+        k = len(stack)
+        stack.append((tag, node))
+        places[tag].append(k)
+        links += tag == "a"
+        silent += tag in SILENT
+        if tag in CONTAINERS:
+            containers.append(k)
+        if tag in CONTAINERS or (tag not in INLINE and tag not in ITEMS):
+            blocks.append(k)
+
     def close(k: int) -> None:
         nonlocal links, silent
         for tag, _ in stack[k:]:
             links -= tag == "a"
             silent -= tag in SILENT
+            places[tag].pop()
+        for known in (containers, blocks):
+            while known[-1] >= k:
+                known.pop()
         del stack[k:]
 
-    for m in TOKEN.finditer(html):
+    def tokens() -> Iterator[re.Match[str]]:
+        for m in TOKEN.finditer(html):
+            if m[5]:
+                yield from (m for m in CLOSED.finditer(html, m.start()) if not m[5])
+                return
+            yield m
+
+    for m in tokens():
         text(html[at : m.start()])
         at = m.end()
         tag = (m[3] or "").lower()
         if not tag:
             continue
         if m[2]:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
-            if k:
-                close(k)
+            if places[tag]:
+                close(places[tag][-1])
             continue
         if tag == "br":
             text("\n")
@@ -107,20 +144,14 @@ def parse(html: str) -> Page:
             continue
         if tag in INLINE or tag in SILENT:
             if not m[4].endswith("/"):
-                stack.append((tag, stack[-1][1]))
-                links += tag == "a"
-                silent += tag in SILENT
+                open_(tag, stack[-1][1])
             continue
         if tag in ("html", "body"):
             continue
         # A block ends an open paragraph, an item or cell ends its predecessor; not beyond a container of its own.
-        ends = (*CLOSES.get(tag, ()), "p")
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in ends:
-                close(k)
-                break
-            if stack[k][0] in CONTAINERS or (stack[k][0] not in INLINE and stack[k][0] not in ("td", "th", "li", "dd", "dt", "tr") and tag not in CLOSES):
-                break
+        k = max((places[x][-1] for x in (*CLOSES.get(tag, ()), "p") if places[x]), default=0)
+        if k and k >= (containers if tag in CLOSES else blocks)[-1]:
+            close(k)
         words, label = [], None
         for name, *values in ATTRIBUTE.findall(m[4]):
             value = next(filter(None, values), "").lower()
@@ -130,7 +161,7 @@ def parse(html: str) -> Page:
                 words += re.findall(r"[a-z]+", value)
         page.nodes.append(Node(tag, stack[-1][1], tuple(words), label))
         loose = 0
-        stack.append((tag, len(page.nodes) - 1))
+        open_(tag, len(page.nodes) - 1)
     text(html[at:])
     return page
 
@@ -139,7 +170,7 @@ def features(node: Node) -> tuple[str, ...]:
     out = [f"tag {node.tag}", f"chars {min(8, node.chars.bit_length())}"]
     if node.chars:
         out.append(f"links {round(4 * min(1.0, node.linked / node.chars))}")
-    return (*out, *(f"word {w}" for w in dict.fromkeys(node.words)))
+    return (*out, *(f"word {w}" for w in dict.fromkeys(node.words)), *([] if node.words else ["no words"]))
 
 
 FRAME, CONTENT, NOISE = range(3)
@@ -239,17 +270,17 @@ def labelled_pages(count: int = 400, seed: int = 11) -> list[str]:
 
     def block(longest: int) -> str:
         kind = rng.random()
-        if kind < 0.72:
+        if kind < 0.64:
             return f"<p>{words(1, longest)}.</p>"
-        if kind < 0.80:
+        if kind < 0.72:
             return f"<{(h := pick('h2', 'h3'))}>{words(1, 8)}</{h}>"
+        if kind < 0.82:
+            return "<ul>" + "".join(f"<li>{words(2, pick(20, 50))}</li>" for _ in range(rng.randrange(2, 6))) + "</ul>"
         if kind < 0.86:
-            return "<ul>" + "".join(f"<li>{words(2, 20)}</li>" for _ in range(rng.randrange(2, 6))) + "</ul>"
-        if kind < 0.90:
             return f"<blockquote><p>{words(5, 40)}.</p></blockquote>"
-        if kind < 0.93:
+        if kind < 0.89:
             return f"<pre>{words(3, 20)}</pre>"
-        if kind < 0.96:
+        if kind < 0.92:
             return "<table>" + "".join(f"<tr><td>{words(1, 4)}</td><td>{words(1, 4)}</td></tr>" for _ in range(3)) + "</table>"
         return f"<div>{words(10, 60)}</div>" if kind < 0.98 else f"<figure><figcaption>{words(3, 12)}</figcaption></figure>"
 
@@ -290,7 +321,9 @@ def labelled_pages(count: int = 400, seed: int = 11) -> list[str]:
         name = pick("content", "post", "article", "entry", "story", "main", "text", "body")
         if shape < 0.55:
             main = f"<article data-content=1>{head}{''.join(body)}</article>"
-        elif shape < 0.75:
+        elif shape < 0.67:
+            main = f"<main data-content=1>{head}{''.join(body)}</main>"
+        elif shape < 0.79:
             main = f"<main><div data-content=1 class='{name}'>{head}{''.join(body)}</div></main>"
         else:
             main = f"<div data-content=1 {pick('class', 'id')}='{name}'>{head}{''.join(body)}</div>"
@@ -299,6 +332,21 @@ def labelled_pages(count: int = 400, seed: int = 11) -> list[str]:
         wrap = rng.random()
         whole = f"<div class='{pick('wrapper', 'container', 'page')}'>{before}{main}{after}</div>" if wrap < 0.4 else before + main + after
         out.append(f"<html><body>{whole}</body></html>")
+    # Pages without a frame (a few blocks straight below the body, boxes without a name) and tables that lay a page out.
+    for _ in range(count):
+        blocks = "".join(re.sub(r"^<\w+", r"\g<0> data-content=1", block(pick(3, 8, 30))) for _ in range(rng.randrange(1, 5)))
+        head = f"<h1 data-content=1>{words(1, 8)}</h1>" if rng.random() < 0.4 else ""
+        shape = rng.random()
+        if shape < 0.4:
+            whole = head + blocks
+        elif shape < 0.6:
+            whole = f"<div data-content=1>{head}{blocks}</div>"
+        elif shape < 0.85:
+            whole = head + "".join(f"<div data-content=1>{words(1, 30)}.</div>" for _ in range(rng.randrange(1, 4)))
+        else:
+            menu = "<br>".join(f"<a href='/{word()}'>{words(1, 3)}</a>" for _ in range(rng.randrange(2, 8)))
+            whole = f"<table><tr><td data-content=0>{menu}</td><td data-content=1>{head}{blocks}</td></tr></table>"
+        out.append(f"<html><body>{whole}</body></html>" if rng.random() < 0.5 else whole)
     return out
 
 

@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import os
 import subprocess
+import time
 
 import numpy as np
 import pytest
@@ -83,6 +84,41 @@ def test_html_of_odd_mark_up(page, want):
     assert html.extract(page, html.trained()) == want
 
 
+RISE = "The river rose by two metres in the night and the lower road was closed until noon."
+SAND = "Volunteers carried sand to the old mill, where the water had reached the first step."
+FALL = "By evening the gauge had fallen again."
+LAYOUTS = [
+    ("<p>A short line.</p>", ["A short line."], []),
+    ("<div>Hello there, this is all.</div>", ["Hello there, this is all."], []),
+    (f"<html><body><h1>Flood</h1><p>{FALL}</p></body></html>", ["Flood", FALL], []),
+    (f"<body><div id=hd><a href=/>Gazette</a><ul><li><a href=/n>News</a><li><a href=/s>Sport</a></ul></div><div class=storytext><h1>Flood at the mill</h1><p>{RISE}<p>{SAND}<p>{FALL}</div><div id=ft><a href=/i>Imprint</a> <a href=/p>Privacy</a></div></body>", ["Flood at the mill", RISE, SAND, FALL], ["Gazette","News","Sport","Imprint","Privacy"]),
+    (f"<table><tr><td><a href=/1>Home</a><br><a href=/2>Archive</a><br><a href=/3>Contact</a></td><td><h2>Flood</h2><p>{RISE}</p><p>{SAND}</p></td></tr></table>", ["Flood", RISE, SAND], ["Home","Archive","Contact"]),
+    (f"<div class=page><nav><a href=/>Start</a><a href=/b>Blog</a></nav><section class='post-body'><p>{RISE}</p><blockquote>{FALL}</blockquote><pre>x = 1</pre><p>{SAND}</p></section><section id=reader-comments><p>Great piece, thank you all!</p></section></div>", [RISE, FALL, "x = 1", SAND], ["Start","Blog","Great piece"]),
+    (f"<main><h1>Notes</h1><ul><li>{RISE}</li><li>{SAND}</li></ul><aside><h3>See also</h3><ul><li><a href=/q>Droughts</a></li></ul></aside></main><footer>All rights reserved</footer>", ["Notes", RISE, SAND], ["See also","Droughts","All rights reserved"]),
+    (f"<div class='gdpr-banner'><p>We use cookies to improve your visit.</p></div><article><header><h1>Flood</h1><p>By a reporter</p></header><p>{RISE}</p><div class='ad-slot'>Buy boots now.</div><p>{SAND}</p></article>", ["Flood","By a reporter", RISE, SAND], ["cookies","Buy boots"]),
+    (f"<video controls><p>Your browser cannot play this.</p></video><p>{RISE}</p>", [RISE], ["cannot play"]),
+    (f"Plain text page.\n\n{RISE}", ["Plain text page.", RISE], []),
+]
+
+
+@pytest.mark.parametrize(("page", "content", "noise"), LAYOUTS)
+def test_html_of_layouts_written_by_hand(page, content, noise):
+    text = html.extract(page, html.trained())
+    assert all(x in text for x in content)
+    assert not any(x in text for x in noise)
+
+
+@pytest.mark.parametrize("page", ["<b>" * 50_000 + "<p>" * 50_000, "<div>x</b>" * 50_000, "<a " * 100_000, '<a =">" ' * 100_000, "<ul><li>" * 50_000, "<td>x" * 50_000, "<script " * 50_000])
+def test_html_of_hostile_pages_takes_linear_time(page):
+    start = time.process_time()
+    html.extract(page, html.trained())
+    assert time.process_time() - start < 20  # quadratic work would take hours
+
+
+def test_html_behind_a_tag_that_nothing_closes():
+    assert html.extract('<article><p>if a <b and c</p><p>some more text</p> <a =">" ', html.trained()).endswith("some more text <a =\">\"")
+
+
 def test_html_keeps_columns_but_not_the_result_s_names(spark):
     pages = spark.createDataFrame([(1, "<p>hello there</p>", "a", "u"), (1, "<p>hello there</p>", "a", "u")], "page_id long, html string, text string, url string")
     found = html.main_text(pages, keep=("url", "text", "page_id"))
