@@ -40,6 +40,9 @@ BLOCK_BITS = 16
 FRAGMENTS = 4
 #: A prefix n-gram of more classes than this has its leader sent to them as part of a list.
 HOT = 200
+#: Rows that share a key are paired by bins of sizes, so many to a factor of e; beyond CROWD that answer in a bin, those
+#: that ask are dealt out.
+BINS, CROWD = 10, 2000
 #: Copies (8 bits, reversed), place (22) and size (30) of a class travel in one number, which orders them for the choice of
 #: a leader. A place beyond 22 bits counts as less, which keeps more candidates; more copies than 255 rank as 255.
 COPIES, PLACE, SIZE = (1 << 8) - 1, (1 << 22) - 1, (1 << 30) - 1
@@ -258,10 +261,27 @@ def jaccard_join(docs: DataFrame, n: int = 5, numerator: int = 80, denominator:
         return cut(found.where(denominator * F.col("overlap") >= numerator * (F.col("sizes") - F.col("overlap"))).select("a", "b", "overlap"))
 
     def paired(rows: DataFrame, apart: Column | bool = True) -> DataFrame:
-        """Pairs of rows that share a key."""
-        x, y = rows.alias("x"), rows.alias("y")
-        met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.set") < F.col("y.set")) & F.lit(apart) & _possible(F.col("x.order"), F.col("y.order"), numerator, denominator))
-        return met.select(F.col("x.set").alias("a"), F.col("y.set").alias("b"), (_size(F.col("x.order")) + _size(F.col("y.order"))).alias("sizes")).distinct()
+        """Pairs of rows that share a key and whose sizes and places let them link.
+
+        Of two rows the larger (by size, then set) asks and the other answers. What they can share behind their common key
+        bounds the partner's size from above as well, so rows meet by key and bin of sizes, and a row whose key lies too far
+        behind answers to none. Rows that ask are dealt out where many answer.
+        """
+        size, left, both = _size(F.col("order")), _size(F.col("order")) - _place(F.col("order")), numerator + denominator
+        most = F.least(size, F.floor(left * both / numerator).cast("long") + 1 - size)  # one more, against rounding
+        bins = lambda x: F.floor(F.log(x.cast("double")) * BINS).cast("int")
+        least = F.greatest(F.lit(1), F.floor(size * numerator / denominator).cast("long"))
+        asking = rows.where(most >= least).withColumn("bin", F.explode(F.sequence(bins(least), bins(most))))
+        answering = rows.where(left * both >= 2 * numerator * size).withColumn("bin", bins(size))
+        crowds = lean(cut(answering.groupBy("key", "bin").count().where(F.col("count") > CROWD).select("key", "bin", F.ceil(F.col("count") / CROWD).cast("int").alias("deals"))))
+        deals = F.coalesce("deals", F.lit(1))
+        x = asking.join(crowds, ["key", "bin"], "left").withColumn("deal", F.pmod(F.xxhash64("set"), deals).cast("int")).alias("x")
+        y = answering.join(crowds, ["key", "bin"], "left").withColumn("deal", F.explode(F.sequence(F.lit(0), deals - 1))).alias("y")
+        asks = (_size(F.col("x.order")) > _size(F.col("y.order"))) | ((_size(F.col("x.order")) == _size(F.col("y.order"))) & (F.col("x.set") < F.col("y.set")))
+        same = (F.col("x.key") == F.col("y.key")) & (F.col("x.bin") == F.col("y.bin")) & (F.col("x.deal") == F.col("y.deal"))
+        met = x.join(y, same & asks & F.lit(apart) & _possible(F.col("x.order"), F.col("y.order"), numerator, denominator))
+        a, b = F.col("x.set"), F.col("y.set")
+        return met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), (_size(F.col("x.order")) + _size(F.col("y.order"))).alias("sizes")).distinct()
 
     if whole:
         first = cut(paired(shared))

@@ -129,7 +129,9 @@ def test_jaccard_links_rows_without_ids_and_rows_of_one_id(spark):
     assert sum(r.doc_id is None and bool(r.text) for r in kept) == 1
 
 
-def test_jaccard_whole_join_finds_every_pair(spark):
+@pytest.mark.parametrize(("crowd", "numerator"), [(2000, 80), (3, 80), (3, 90), (1, 67)])
+def test_jaccard_whole_join_finds_every_pair(spark, monkeypatch, crowd, numerator):
+    monkeypatch.setattr(jaccard, "CROWD", crowd)
     rng = np.random.default_rng(8)
     base = [f"z{k}" for k in range(90)]
     texts = []
@@ -137,13 +139,14 @@ def test_jaccard_whole_join_finds_every_pair(spark):
         own = list(base)
         for _ in range(rng.integers(0, 4)):
             own[rng.integers(90)] = f"q{rng.integers(20)}"
-        texts.append((i, " ".join(own)))
-    members, _, links = jaccard.jaccard_join(spark.createDataFrame(texts, "doc_id long, text string"), n=3, numerator=80, whole=True)
+        texts.append((i, " ".join(own[: rng.integers(70, 91)])))  # sizes differ
+    texts += [(40, "a b c"), (41, "a b c d"), (42, "a b c d e"), (43, "a"), (44, "a b")]
+    members, _, links = jaccard.jaccard_join(spark.createDataFrame(texts, "doc_id long, text string"), n=3, numerator=numerator, whole=True)
     name = {r["set"]: shingles(texts[r["id"]][1], 3) for r in members.collect()}
     found = {frozenset((name[r.a], name[r.b])): r.overlap for r in links.collect()}
     sets = list({shingles(t, 3) for _, t in texts})
-    want = {frozenset((a, b)): len(a & b) for k, a in enumerate(sets) for b in sets[:k] if 100 * len(a & b) >= 80 * len(a | b)}
-    assert found == want and len(found) > len(sets)
+    want = {frozenset((a, b)): len(a & b) for k, a in enumerate(sets) for b in sets[:k] if 100 * len(a & b) >= numerator * len(a | b)}
+    assert found == want and len(found) > 5
 
 
 def test_components_of_stars_chains_and_none(spark):
