@@ -31,12 +31,14 @@ REFERENCES: dict[str, tuple[tuple[float, ...], dict[str, float]]] = {
     "es": ((0.77, 0.02, 0.005, 0.16, 0.025, 0.0, 0.02), {"de": 0.060, "la": 0.037, "que": 0.028, "el": 0.028, "en": 0.025, "y": 0.024, "los": 0.016, "a": 0.018}),
 }
 MAX_CHARACTER_DISTANCE = 0.30
-#: Between the largest word distance of labelled clean text (sf0.1: en 0.270, fr 0.279, de 0.235, es 0.294) and that of
+#: Between the largest word distance of labelled clean text (sf0.1: en 0.252, fr 0.270, de 0.221, es 0.269) and that of
 #: a text without any common word (0.337, 0.313, 0.286, 0.360).
-WORD_LIMITS = {"en": 0.30, "fr": 0.295, "de": 0.26, "es": 0.325}
+WORD_LIMITS = {"en": 0.285, "fr": 0.29, "de": 0.25, "es": 0.305}
 MIN_CHARACTERS, MIN_WORDS = 200, 50
 
 _SPACES = " \t\n\x0b\f\r"
+#: A common word counts whatever its case, with or without these at its edges.
+_UPPER, _EDGES = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ".,;:!?()[]\"'-"
 _WS = r"[\x20\x09-\x0D]+"
 
 
@@ -75,6 +77,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     df = df.select("*", F.regexp_replace("rest", _WS, "").alias("odd"), F.size("words").alias("n"))
     window = lambda i: F.xxhash64(*(F.get("words", i + k) for k in range(5)))
     common = _by_language(lang, {name: F.array(*map(F.lit, words)) for name, (_, words) in references.items()}, "array<string>")
+    bare = F.transform("words", lambda w: F.btrim(F.translate(w, _UPPER, _UPPER.lower()), F.lit(_EDGES)))
     df = df.select(
         *rest, "id", "lang", "chars", "n",
         (F.length("rest") - F.length("odd")).alias("space"),
@@ -83,7 +86,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         *((F.length("odd") - F.length(F.regexp_replace("odd", pattern, ""))).alias(name) for name, pattern in (("upper", "[A-Z]+"), ("digit", "[0-9]+"), ("symbol", r"[#*$%&|<>]+"), ("other_letter", r"[^\x00-\x7F]+"))),
         (F.size("lines") - F.size(F.array_distinct("lines"))).alias("dup_lines"),
         F.when(F.col("n") >= 5, F.transform(F.sequence(F.lit(0), F.col("n") - 5), window)).alias("windows"),
-        F.transform(F.filter("words", lambda w: F.array_contains(common, w)), lambda w: F.array_position(common, w)).alias("hits"),
+        F.transform(F.filter(bare, lambda w: F.array_contains(common, w)), lambda w: F.array_position(common, w)).alias("hits"),
     )
     # A window that equals its neighbour in hash order is repeated; its words are the union of five-word spans.
     repeats = F.size(F.array_distinct("windows")) < F.size("windows")
@@ -158,13 +161,13 @@ def _oracle() -> str:
         far_w += f" WHEN '{lang}' THEN {distance([*hits, 'n - ' + ' - '.join(hits)], 'n', [*common.values(), 1 - sum(common.values())])}"
         limit += f" WHEN '{lang}' THEN {WORD_LIMITS[lang]}"
     refs = "CASE lang " + " ".join(f"WHEN '{lang}' THEN {list(common)}" for lang, (_, common) in REFERENCES.items()) + " END"
-    places = max(len(common) for _, common in REFERENCES.values())
-    found = ", ".join(f"len(list_filter(ws, lambda x: x = ref[{k + 1}])) AS h{k}" for k in range(places))
+    places, edges = max(len(common) for _, common in REFERENCES.values()), _EDGES.replace("'", "''")
+    found = ", ".join(f"len(list_filter(bare, lambda x: x = ref[{k + 1}])) AS h{k}" for k in range(places))
     return f"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
 lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dups FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
 win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, key) AS times FROM (SELECT doc_id, unnest(range(1, len(ws) - 3)) AS i, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) AS key FROM d)),
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS repeated FROM win, range(5) r(k) WHERE times > 1 GROUP BY doc_id),
-m AS (SELECT doc_id, lang, {found}, len(ws) AS n, length(text) AS chars, coalesce(dups, 0) AS dups, coalesce(repeated, 0) AS repeated, {counts} FROM (SELECT *, {refs} AS ref FROM d) LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
+m AS (SELECT doc_id, lang, {found}, len(ws) AS n, length(text) AS chars, coalesce(dups, 0) AS dups, coalesce(repeated, 0) AS repeated, {counts} FROM (SELECT *, {refs} AS ref, list_transform(ws, lambda w: trim(translate(w, '{_UPPER}', '{_UPPER.lower()}'), '{edges}')) AS bare FROM d) LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
 j AS (SELECT *, CASE WHEN chars >= {MIN_CHARACTERS} THEN {far_c} END END AS far_c, CASE WHEN n >= {MIN_WORDS} THEN {far_w} END END AS far_w, n < 10 OR 100 * repeated > 20 * n AS failed FROM m)
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(chars - c_space AS BIGINT) AS word_chars, CAST(c_symbol AS BIGINT) AS n_symbols, CAST(dups AS BIGINT) AS n_dup_lines, CAST(repeated AS BIGINT) AS n_repeat_words, failed AS base_failed, NOT failed AND coalesce(far_c, 0) <= {MAX_CHARACTER_DISTANCE} AND coalesce(far_w <= {limit} END, TRUE) AS kept FROM j"""
 

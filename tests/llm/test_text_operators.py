@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -191,6 +192,29 @@ def test_quality_distance_parts_prose_from_symbols(spark):
     assert not found[2].kept and found[3].character_distance is None
 
 
+def test_quality_words_count_whatever_their_case_and_edges(spark):
+    plain = " ".join(f"the x{k} of y{k} and z{k} to w{k}" for k in range(20))
+    odd = plain.replace("the", "The").replace("of", "(of").replace("and", "AND,").replace("to", '"to;"')
+    rows = quality.measure(spark.createDataFrame([(1, plain, "en"), (2, odd, "en"), (3, " ".join(f"v{k}" for k in range(160)), "en")], "doc_id long, text string, lang string")).collect()
+    assert rows[0].word_distance == rows[1].word_distance != rows[2].word_distance
+
+
+def test_quality_equals_its_sql(spark, tmp_path):
+    texts = [
+        None, "", "the", "The the THE, (of) 'a' " * 30, "«Le» la, de. " * 40, " ".join(f"Der w{k}; und die \u0130{k}" for k in range(40)),
+        " ".join(f"El x{k} y \"los\" z{k}. Que" for k in range(40)), " ".join(f"no{k} common{k}" for k in range(60)), "a\n\nb\na\n" * 20,
+    ]
+    rows = [(k, text, lang) for k, (text, lang) in enumerate((t, x) for t in texts for x in ("en", "fr", "de", "es", None))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(quality.ORACLES["op3_quality_rules"])
+    names = [x[0] for x in want.description]
+    found = quality.op3_quality_rules(spark, str(tmp_path))
+    assert sorted(found.columns) == sorted(names)
+    assert {tuple(r[x] for x in names) for r in found.collect()} == set(want.fetchall())
+
+
 def test_licences_equal_brute_force(docs, empty):
     rows = licences.scan(docs).collect()
     brute = {}
