@@ -1,9 +1,11 @@
 """Operator 9: licence scan by a positional rare-token index, in DataFrame functions only.
 
-The postings hold every word of every notice template with its place. Of each file only its licence words are looked
-up, all of them; a template's postings and the file's places agree on an alignment when place minus posting is the
-same. The weight matched at the best alignment, over the template's weight, is the score; a template counts if the
-score reaches the least and one of its mandatory key phrases stands there word by word. Files with equal licence words at equal places are looked up once.
+The postings hold every rare word of every notice template with its place. A template is looked up by its words of
+highest IDF: so many that the others together weigh at most 1 - LEAST_SCORE of it, so any alignment that reaches the
+least score holds one of them, and none is lost. A looked-up word of a file and a template's posting give an alignment
+when place minus posting is the same. Only files with an alignment have all their licence words looked at: the weight
+matched at the alignment, over the template's weight, is the score; a template counts if the score reaches the least and
+its mandatory key phrase stands there word by word. Files with equal licence words at equal places are looked up once.
 
 Defined results: a null or empty text has no words and no labels; repeated rows are labelled alike; other columns are
 not carried; an empty table gives an empty table.
@@ -13,12 +15,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hustings.llm.common import cut, table
 
-# Phrases and their labels, and notices with their labels and mandatory key phrases.
+# Phrases and their labels, and notices, licence texts and identifier lines with their labels and mandatory key phrases.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 NOTICES = [
     ("mit", "released under the mit license", ["mit license"]),
@@ -31,9 +33,14 @@ NOTICES = [
     ("cc-by-nc", "licensed under cc by nc 4 0", ["cc by nc"]),
     ("cc-by-sa", "licensed under cc by sa 4 0", ["cc by sa"]),
     ("mpl", "this source code form is subject to the terms of the mozilla public license", ["mozilla public license"]),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software", ["permission notice shall be included"]),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ["with or without fee is hereby granted"]),
+    ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", ["lesser general public license"]),
+    *((label, f"spdx license identifier {name}", [f"spdx license identifier {name}"]) for label, name in [("mit", "mit"), ("apache", "apache 2 0"), ("gpl", "gpl"), ("lgpl", "lgpl"), ("agpl", "agpl"), ("bsd", "bsd"), ("mpl", "mpl 2 0"), ("isc", "isc"), ("cc-by-nc", "cc by nc"), ("cc-by-sa", "cc by sa"), ("unlicense", "unlicense")]),
 ]
 #: Words so common in prose that they never start a lookup; they still count for key phrases.
-COMMON = "a an and any are at by can for free in is it may not of or that the this to use under with you work version 0 2 4".split()
+COMMON = "a above all an and any are as at be but by can do for free from in is it its kind may no not of or other out so that the this to use under whether whom with without you work version 0 2 4".split()
 LEAST_SCORE = 0.6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -49,7 +56,7 @@ def _places(words: Column, phrase: str) -> Column:
 def read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, places by label, hits): the base phrases' places, and the licence words with theirs."""
     vocabulary = sorted({w for _, notice, _ in NOTICES for w in notice.split(" ")} - set(COMMON))
-    every = sorted({w for _, notice, _ in NOTICES for w in notice.split(" ")})
+    every = sorted({*vocabulary, *(w for _, _, keys in NOTICES for phrase in keys for w in phrase.split(" "))})
     df = docs.select(F.col(id_col).alias("id"), F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER).alias("text"))
     df = df.select("id", F.contains("text", F.lit("license")).alias("named"), F.filter(F.split("text", SEPARATOR), lambda w: w != "").alias("words"))
     none = F.array().cast("array<int>")
@@ -75,31 +82,45 @@ def postings(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS p (notice, label, word, posting, key, rare)")
 
 
+def lookups(index: DataFrame) -> DataFrame:
+    """Postings of highest IDF of each notice, as many as it takes for the rest to weigh too little for the least score.
+
+    index has notice, word, posting, idf and the notice's weight."""
+    before = Window.partitionBy("notice").orderBy(F.desc("idf"), "word", "posting").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.coalesce(F.sum("idf").over(before), F.lit(0.0))
+    # The score is rounded to six digits before it is compared.
+    return index.withColumn("ahead", ahead).where(F.col("ahead") <= (1 - LEAST_SCORE + 1e-5) * F.col("weight")).select("notice", "word", "posting")
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per file: n_words, places of each base label, notices found (labels) and the best score."""
     spark = docs.sparkSession
     files = cut(read(docs, id_col, text_col).withColumn("same", F.when(F.size("hits") > 0, F.md5(F.to_json("hits")))))
-    index = F.broadcast(postings(spark))
     total = files.count()
-    several = files.where("same is not null").groupBy("same").agg(F.first("hits").alias("hits"), F.count("*").alias("copies"))
-    words = cut(several.select("same", "copies", F.explode("hits").alias("hit")).select("same", "copies", F.col("hit.w").alias("word"), F.col("hit.i").alias("place")))
-    rare = postings(spark).where("rare").select("word").distinct()
-    found = words.select("same", "copies", "word").distinct().join(F.broadcast(rare), "word")
-    frequency = found.groupBy("word").agg(F.sum("copies").alias("df"))
+    some = files.where("same is not null")
+    rare = postings(spark).where("rare")
+    frequency = some.select(F.explode(F.array_distinct(F.col("hits.w"))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     # As many rows as the templates have words.
-    idf = F.broadcast(rare.join(frequency, "word", "left").select("word", F.log((F.lit(total) + 1.0) / (F.coalesce("df", F.lit(0)) + 0.5)).alias("idf")))
-    weights = F.broadcast(postings(spark).where("rare").join(idf, "word").groupBy("notice").agg(F.sum("idf").alias("weight")))
-    met = words.join(idf, "word").join(index.where("rare"), "word").groupBy("same", "notice", (F.col("place") - F.col("posting")).alias("shift")).agg(F.sum("idf").alias("matched"))
-    scored = met.join(weights, "notice").select("same", "notice", "shift", F.round(F.least(F.col("matched") / F.col("weight"), F.lit(1.0)), 6).alias("score")).where(F.col("score") >= LEAST_SCORE)
+    idf = rare.select("word").distinct().join(frequency, "word", "left").select("word", F.log((F.lit(total) + 1.0) / (F.coalesce("df", F.lit(0)) + 0.5)).alias("idf"))
+    weighted = rare.join(idf, "word").withColumn("weight", F.sum("idf").over(Window.partitionBy("notice")))
+    index = cut(weighted.select("notice", "word", "posting", "idf", "weight"))
+    place = lambda df: df.select("same", F.explode("hits").alias("hit")).select("same", F.col("hit.w").alias("word"), F.col("hit.i").alias("place"))
+    aligned = ["same", "notice", "shift"]
+    candidates = cut(place(some).join(F.broadcast(lookups(index)), "word").select("same", "notice", (F.col("place") - F.col("posting")).alias("shift")).distinct())
+    looked_at = some.select("same", "hits").join(candidates.select("same").distinct(), "same", "left_semi").dropDuplicates(["same"])
+    words = cut(place(looked_at))
+    met = words.join(F.broadcast(index), "word").groupBy("same", "notice", (F.col("place") - F.col("posting")).alias("shift")).agg((F.sum("idf") / F.first("weight")).alias("share"))
+    scored = met.join(candidates, aligned, "left_semi").select(*aligned, F.round(F.least("share", F.lit(1.0)), 6).alias("score")).where(F.col("score") >= LEAST_SCORE)
     keys = postings(spark).where("key is not null")
     lengths = F.broadcast(keys.groupBy("notice", "key").agg(F.count("*").alias("length")))
     verified = (
-        scored.join(F.broadcast(keys), "notice").withColumn("place", F.col("shift") + F.col("posting")).join(words.drop("copies"), ["same", "word", "place"])
-        .groupBy("same", "notice", "label", "shift", "score", "key").agg(F.count("*").alias("stand")).join(lengths, ["notice", "key"]).where("stand = length")
+        scored.join(F.broadcast(keys), "notice").withColumn("place", F.col("shift") + F.col("posting")).join(words, ["same", "word", "place"])
+        .groupBy(*aligned, "label", "score", "key").agg(F.count("*").alias("stand")).join(lengths, ["notice", "key"]).where("stand = length")
     )
     notices = verified.groupBy("same").agg(F.collect_set("label").alias("noticed"), F.max("score").alias("score"))
-    plain = files.where("same is null").withColumns({"noticed": F.array().cast("array<string>"), "score": F.lit(0.0)})
-    looked = files.where("same is not null").join(notices, "same", "left").withColumns({"noticed": F.coalesce("noticed", F.array().cast("array<string>")), "score": F.coalesce("score", F.lit(0.0))})
+    none = F.array().cast("array<string>")
+    plain = files.where("same is null").withColumns({"noticed": none, "score": F.lit(0.0)})
+    looked = some.join(notices, "same", "left").withColumns({"noticed": F.coalesce("noticed", none), "score": F.coalesce("score", F.lit(0.0))})
     return plain.unionByName(looked).drop("same", "hits")
 
 

@@ -236,6 +236,39 @@ def test_licences_need_the_key_phrase_and_alignment(spark):
     assert found[1] == ({"mit"}, 1.0) and found[4] == ({"mit"}, 1.0) and found[2] == (set(), 0.0) and found[3][0] == {"cc-by-nc"}
 
 
+def test_licences_by_identifier_and_whole_text(spark):
+    mit = next(text for label, text, _ in licences.NOTICES if label == "mit" and len(text) > 600)
+    texts = ["# SPDX-License-Identifier: MIT", "// SPDX-License-Identifier: Apache-2.0\ncode", "SPDX-License-Identifier: LGPL-2.1-only", f"intro {mit} outro", "the identifier of a license is not mit", "spdx license mit identifier"]
+    found = {r.id: set(r.noticed) for r in licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert found == {0: {"mit"}, 1: {"apache"}, 2: {"lgpl"}, 3: {"mit"}, 4: set(), 5: set()}
+
+
+def test_licences_equal_the_sql(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    parts = [text.split() for _, text, _ in licences.NOTICES]
+    texts = [None, "", " . ", *(text for _, text in TEXTS)]
+    for _ in range(120):  # notices with words lost, changed or in another order, several in one text
+        chosen = [list(parts[rng.integers(len(parts))]) for _ in range(rng.integers(1, 4))]
+        for words_ in chosen:
+            for _ in range(rng.integers(0, 1 + len(words_) // 3)):
+                at = rng.integers(len(words_))
+                words_[at] = ("other", "license", words_[rng.integers(len(words_))])[rng.integers(3)]
+            if rng.random() < 0.2:
+                del words_[rng.integers(len(words_))]
+        texts.append(" ".join(" ".join(["foo"] * rng.integers(3) + x) for x in chosen))
+    texts += ["person source code terms"] * 40 + [" ".join(parts[0] * 500)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(licences.ORACLES["op9_licence_scan"])
+    names = [x[0] for x in want.description]
+    rows = sorted(want.fetchall(), key=lambda x: x[0])
+    found = licences.op9_licence_scan(spark, str(tmp_path))
+    assert sorted(found.columns) == sorted(names)
+    assert sorted((tuple(r[x] for x in names) for r in found.collect()), key=lambda x: x[0]) == rows
+    assert sum(r[names.index("score")] > 0 for r in rows) > 60
+
+
 def test_hmm_equals_the_plain_recursion():
     rng = np.random.default_rng(1)
     k, b = 3, 7
