@@ -76,3 +76,42 @@ def changed_keys(a: Column, b: Column) -> Column:
     """Keys whose values differ, with both values."""
     both = F.map_zip_with(a, b, lambda _, x, y: F.struct(x.alias("before"), y.alias("after")))
     return F.map_filter(both, lambda _, v: ~v["before"].eqNullSafe(v["after"]))
+
+
+def finite(x: Column) -> Column:
+    """Whether it is a number: not null, not NaN, not infinite."""
+    return x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf"))
+
+
+def same_values(a: Column, b: Column) -> Column:
+    """Whether two arrays hold the same values equally often, in any order."""
+    return F.array_sort(a) == F.array_sort(b)
+
+
+def grouped(x: Column) -> Column:
+    """Thousands parted by commas, at most three decimals."""
+    return F.call_function("format_number", F.round(x, 3), F.lit("#,##0.###"))
+
+
+def signed(x: Column, digits: int | None = None, suffix: str = "") -> Column:
+    """With a plus if positive; zero has no sign. Grouped, or with so many decimals."""
+    shown = grouped(x) if digits is None else F.format_string(f"%.{digits}f", x.cast("double"))
+    return F.when(x.isNotNull(), F.concat(F.when(x > 0, "+").otherwise(""), shown, F.lit(suffix)))
+
+
+def percent_text(x: Column, digits: int = 1) -> Column:
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f%%", x.cast("double") * 100))
+
+
+# Units of the compact form.
+UNITS = {"": 1, "K": 1_000, "J": 1_000_000, "B": 1_000_000_000, "T": 1_000_000_000_000}
+
+
+def compact(x: Column) -> Column:
+    """At most one decimal and the unit in which what is shown stays below a thousand; the last unit takes the rest."""
+    shown = lambda n: F.regexp_replace(F.format_string("%.1f", F.round(x.cast("double") / n, 1)), r"\.0$", "")
+    *usual, (last, most) = UNITS.items()
+    out = F.concat(shown(most), F.lit(last))
+    for unit, n in reversed(usual):
+        out = F.when(F.round(F.abs(x.cast("double")) / n, 1) < 1000, F.concat(shown(n), F.lit(unit))).otherwise(out)
+    return F.when(x.isNotNull(), out)

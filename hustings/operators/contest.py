@@ -59,3 +59,8 @@ def override(headline: DataFrame, detail: DataFrame, keys: Sequence[str], candid
     """Detail votes replace headline votes where there are any; ranks follow from the result."""
     d = detail.select(*keys, candidate, F.col("votes").alias("detail_votes"))
     return rank_candidates(headline.join(d, [*keys, candidate], "left").withColumn("votes", F.coalesce("detail_votes", "votes")).drop("detail_votes"), keys, candidate)
+
+
+def uncontested(contests: DataFrame) -> DataFrame:
+    """Contests with one candidate and no valid vote; unknown votes aren't none."""
+    return contests.where((F.col("candidates") == 1) & (F.col("valid") == 0))

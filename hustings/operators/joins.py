@@ -42,3 +42,14 @@ def mandatory(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFra
     both = _demand(both, F.col("_n_right").isNull(), keys, "nothing to look up")
     both = _demand(both, F.col("_n_right") > 1, keys, "several to look up")
     return both.select(*left.columns, *(F.col(f"_right.{c}").alias(c) for c in right.columns if c not in keys))
+
+
+def resolved(rows: DataFrame, targets: DataFrame, on: Sequence[str], key: str, strict: bool = True) -> DataFrame:
+    """rows with `key` filled in where it is null: by the one target of the same `on`.
+
+    Without exactly one target the row fails, or if not strict keeps its null. Targets are rows of `on` and `key`."""
+    only = targets.groupBy(*on).agg(F.count("*").alias("_n"), F.first(key).alias("_found"))
+    both = rows.join(only, list(on), "left")
+    if strict:
+        both = _demand(both, F.col(key).isNull() & ~F.col("_n").eqNullSafe(F.lit(1).cast("long")), on, f"{key} can't be resolved")
+    return both.select(*(F.coalesce(key, F.when(F.col("_n") == 1, F.col("_found"))).alias(c) if c == key else F.col(c) for c in rows.columns))

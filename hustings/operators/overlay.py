@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hustings.functions.text import lower_no_spaces
+
 ORDER = ("effective_date", "created_at", "ordinal")
 
 
@@ -165,3 +167,24 @@ def replay(seats: DataFrame, events: DataFrame, keys: Sequence[str], columns: Se
     """The overlay as it stood on each date of a short list: (date, keys, columns), for keys with an event by then."""
     held = events.join(F.broadcast(dates), F.col("effective_date") <= F.col("date"))  # a row per date
     return seats.select(*keys).join(latest(held, ["date", *keys], columns), list(keys))
+
+
+def without_misfiled(changes: DataFrame, exceptions: DataFrame, normalise=lower_no_spaces) -> DataFrame:
+    """changes without those that an exception names; both have seat and position, changes date, party and alliance too.
+
+    An exception holds from from_date on (null: always), for a party other than but_party (null: for any), and if
+    party or alliance is given, for changes to that party or into that alliance. Names are compared normalised; an
+    unknown name of a change equals none."""
+    name = lambda c: normalise(F.coalesce(F.col(c), F.lit("")))
+    x, y = changes.alias("x"), exceptions.alias("y")
+    since = F.col("y.from_date").isNull() | (F.col("x.date") >= F.col("y.from_date"))
+    other = F.col("y.but_party").isNull() | (name("x.party") != name("y.but_party"))
+    into = lambda c: F.coalesce(name(f"x.{c}") == normalise(F.col(f"y.{c}")), F.lit(False))
+    any_of = (F.col("y.party").isNull() & F.col("y.alliance").isNull()) | into("party") | into("alliance")
+    return x.join(y, (F.col("x.seat") == F.col("y.seat")) & (F.col("x.position") == F.col("y.position")) & since & other & any_of, "left_anti")
+
+
+def supplemented(rows: DataFrame, others: DataFrame, supplements: DataFrame, held: str = "held") -> DataFrame:
+    """An event's rows, and the rows of other datasets that its supplements (dataset, place, held) name, with their own date."""
+    taken = others.join(supplements.select("dataset", "place", F.col(held).alias("_held")), ["dataset", "place"])
+    return rows.unionByName(taken.withColumn(held, F.col("_held")).select(*rows.columns))

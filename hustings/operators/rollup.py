@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hustings.functions.numbers import ratio_or_null, ratio_or_zero
@@ -88,3 +88,13 @@ def registry(rows: DataFrame, person: str = "person", name: str = "name", candid
     """Per person: the first name as canonical, other spellings as aliases, all candidacies; arrays sorted."""
     folded = rows.groupBy(person).agg(F.min_by(name, ordinal).alias("canonical"), F.collect_set(name).alias("names"), F.sort_array(F.collect_set(candidacy)).alias("candidacies"))
     return folded.withColumn("aliases", F.sort_array(F.filter("names", lambda x: x != F.col("canonical")))).drop("names")
+
+
+def special_voters(military: Column, police: Column, overseas: Column) -> Column:
+    """Voters who vote ahead or by post; null if a part is unknown."""
+    return military + police + overseas
+
+
+def of_latest(df: DataFrame, coverage: str) -> DataFrame:
+    """Rows of the latest coverage; the latest is one row, so it is sent to all."""
+    return df.join(F.broadcast(df.agg(F.max(coverage).alias(coverage))), coverage).select(*df.columns)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hustings.functions.numbers import approx_equal
+from hustings.functions.text import upper_with_spaces
 
 SCHEMA = "severity string, rule_id string, message string, code string, details map<string,string>"
 
@@ -124,3 +125,9 @@ def expected_counts(counts: DataFrame, label: str, count: str, expected: dict[st
 def report(found: DataFrame, release: str) -> tuple[DataFrame, DataFrame]:
     """K7: the run row (release, counts, status) and its issue rows, which carry the release."""
     return run_status(found).withColumn("release", F.lit(release)), found.withColumn("release", F.lit(release))
+
+
+def tuple_differences(left: DataFrame, right: DataFrame, keys: Sequence[str], normalise=upper_with_spaces) -> DataFrame:
+    """(side, keys): normalised tuples that only one side has, once each; none if the sets are equal."""
+    a, b = (df.select(*(normalise(F.col(k).cast("string")).alias(k) for k in keys)) for df in (left, right))
+    return a.subtract(b).select(F.lit("left").alias("side"), *keys).unionByName(b.subtract(a).select(F.lit("right").alias("side"), *keys))

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hustings.functions.labels import place_label
+
 
 def contains_any(df: DataFrame, columns: Sequence[str], needle: str, fold=F.lower) -> DataFrame:
     """Rows in which any of the columns contains the needle, both folded; an empty needle finds all."""
@@ -52,3 +54,23 @@ def resolve_events(asked: DataFrame, events: DataFrame) -> DataFrame:
 
 def page(df: DataFrame, order: Sequence, number: int, size: int) -> DataFrame:
     return df.orderBy(*order).offset(number * size).limit(size)
+
+
+def last_value_first_place(entries: DataFrame, label: str, order: str) -> DataFrame:
+    """One row per label, with the other columns of its last entry and the place of its first in `order`."""
+    rest = [c for c in entries.columns if c not in (label, order)]
+    kept = entries.groupBy(label).agg(F.max_by(F.struct(*rest), order).alias("_last"), F.min(order).alias(order))
+    return kept.select(label, order, *(F.col(f"_last.{c}").alias(c) for c in rest))
+
+
+def offered(areas: DataFrame, results: DataFrame, heading: str = "NEGERI") -> DataFrame:
+    """(label, place, area, feature): what a search offers, before its labels are made distinct.
+
+    Areas (area, name) come first under their heading, then for each result (area, feature, code, name, winner, terms) its
+    own label and one per distinct term. place orders them: kind of entry, area or feature, place within the result."""
+    named = areas.select(place_label(F.lit(heading), F.lit(None), F.col("name")).alias("label"), F.struct(F.lit(0).alias("kind"), F.col("area").alias("of"), F.lit(0).alias("n")).alias("place"), "area", F.lit(None).cast(results.schema["feature"].dataType).alias("feature"))
+    title = place_label(F.col("code"), F.col("name"), F.lit(None))
+    terms = F.array_distinct(F.coalesce("terms", F.array().cast("array<string>")))
+    labels = F.concat(F.array(place_label(F.col("code"), F.col("name"), F.col("winner"))), F.transform(terms, lambda t: place_label(F.lit(None), t, title)))
+    found = results.select("area", "feature", F.posexplode(labels).alias("n", "label"))
+    return named.unionByName(found.select("label", F.struct(F.lit(1).alias("kind"), F.col("feature").alias("of"), "n").alias("place"), "area", "feature"))

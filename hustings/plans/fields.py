@@ -41,12 +41,11 @@ _DASHED = "regexp_replace(regexp_replace({}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$',
 
 @query(
     "f2a_f2d_slugs",
-    f"SELECT n_nationkey, {_DASHED.format('x')} AS slug, {_DASHED.format("replace(x, 'w.p', 'wp')")} AS territory, 'party-' || {_DASHED.format("replace(x, 'ile', 'le')")} AS catalogue FROM (SELECT n_nationkey, 'w.p. ' || lower(n_name) || ' (1) ile' AS x FROM nation WHERE n_name NOT LIKE '%ILE%')",
+    f"SELECT n_nationkey, {_DASHED.format('x')} AS slug, {_DASHED.format("replace(x, 'w.p', 'wp')")} AS territory, 'party-' || {_DASHED.format("y || 'le'")} AS catalogue FROM (SELECT n_nationkey, 'w.p. ' || lower(n_name) || ' (1) ' AS y, y || 'ile' AS x FROM nation)",
 )
 def f2a_f2d(spark, d):
     x = F.concat(F.lit("W.P. "), "n_name", F.lit(" (1) Île"))
-    nations = table(spark, d, "nation").where("n_name NOT LIKE '%ILE%'")
-    return nations.select("n_nationkey", text.slug(x).alias("slug"), text.slug_territory(x).alias("territory"), text.catalogue_id("party", x).alias("catalogue"))
+    return table(spark, d, "nation").select("n_nationkey", text.slug(x).alias("slug"), text.slug_territory(x).alias("territory"), text.catalogue_id("party", x).alias("catalogue"))
 
 
 @query("f5_similarity", "SELECT p_partkey, 2.0::DOUBLE * p_size / (2 * p_size + p_partkey % 5) AS ratio FROM part")
@@ -62,8 +61,8 @@ def p2(spark, d):
 
 @query("p8_finite_values", "SELECT event_id, value FROM events WHERE event_id % 3 <> 0 AND event_id % 5 <> 0 AND value IS NOT NULL")
 def p8(spark, d):
-    value = F.when(F.col("event_id") % 3 == 0, None).when(F.col("event_id") % 5 == 0, float("nan")).otherwise(F.col("value"))
-    return table(spark, d, "events").select("event_id", value.alias("value")).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    value = F.when(F.col("event_id") % 3 == 0, None).when(F.col("event_id") % 5 == 0, F.when(F.col("event_id") % 2 == 0, float("nan")).otherwise(float("-inf"))).otherwise(F.col("value"))
+    return table(spark, d, "events").select("event_id", value.alias("value")).where(numbers.finite(F.col("value")))
 
 
 @query("m2_cleaned_events", "SELECT event_id, substring(event_type || ' ' || props, 1, 80) AS name, '/' || event_type AS path, event_type || ' ' || CAST(user_id AS VARCHAR) AS message FROM events")
@@ -105,18 +104,15 @@ def r10(spark, d):
     return points.select("c_custkey", F.size("p").alias("points"), F.element_at("p", -1)["x"].alias("x"), F.element_at("p", -1)["y"].alias("y"))
 
 
-@query("r11_number_runs", "SELECT c_custkey, CASE WHEN c_custkey % 3 < 2 THEN c_custkey || ',' || c_custkey - 1 || ',1;7,3,4' END AS groups FROM customer")
+@query("r11_number_runs", "SELECT c_custkey, CASE WHEN c_custkey % 3 < 2 THEN c_custkey + 10 || ',' || c_custkey + 9 || ',1;7,3,4' END AS groups FROM customer")
 def r11(spark, d):
     """Two groups of three that balance, a third of the rows with a stray number before, a third with a wrong sum."""
     k = F.col("c_custkey")
-    run = F.array(k + F.when(k % 3 == 2, 50).otherwise(0), k - 1, F.lit(1), F.lit(7), F.lit(3), F.lit(4)).cast("array<bigint>")
+    run = F.array(k + 10 + F.when(k % 3 == 2, 50).otherwise(0), k + 9, F.lit(1), F.lit(7), F.lit(3), F.lit(4)).cast("array<bigint>")
     given = F.when(k % 3 == 1, F.concat(F.array(F.lit(999)).cast("array<bigint>"), run)).otherwise(run)
     groups = parsing.balanced_groups(F.col("given"), 3)
     joined = F.array_join(F.transform(groups, lambda g: F.array_join(g.cast("array<string>"), ",")), ";")
-    return _customers(spark, d).where("c_custkey > 10").select("c_custkey", given.alias("given")).select("c_custkey", joined.alias("groups"))
-
-
-registry.oracles["r11_number_runs"] += " WHERE c_custkey > 10"
+    return _customers(spark, d).select("c_custkey", given.alias("given")).select("c_custkey", joined.alias("groups"))
 
 
 @query("n9_merged_sums", "SELECT c_custkey, c_custkey + 1 AS a, CAST(2 AS BIGINT) AS b, CAST(c_custkey % 9 AS BIGINT) AS c FROM customer")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from hustings.functions import geometry, numbers, text
-from hustings.operators import editorial, joins, match, overlay, rules
+from hustings.functions import geometry, labels, numbers
+from hustings.operators import contest, editorial, joins, match, overlay, rollup, rules, search
 from hustings.plans import roles
 from hustings.plans.roles import BASE, KEYS, Registry
 from hustings.sources import readers, writers
@@ -234,16 +234,18 @@ def e18(spark, d):
 
 @query("j5_hierarchy_keys", "SELECT s_suppkey AS seat, n_name AS state, r_name AS region, n_regionkey = s_suppkey % 5 AS consistent FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def j5(spark, d):
-    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    joined = table(spark, d, "supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey"))  # 25 nations
+    """A place without its parent, or a parent without its own, fails."""
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name", "n_regionkey")
+    placed = joins.mandatory(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), nations, ["s_nationkey"])
+    joined = joins.mandatory(placed, table(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name"), ["n_regionkey"])
     return joined.select(F.col("s_suppkey").alias("seat"), F.col("n_name").alias("state"), F.col("r_name").alias("region"), (F.col("n_regionkey") == F.col("s_suppkey") % 5).alias("consistent"))
 
 
 @query("j6_unique_fallback", "SELECT c_custkey, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey % 9 ELSE k END AS seat FROM customer LEFT JOIN (SELECT s_nationkey, any_value(s_suppkey) AS k FROM supplier GROUP BY s_nationkey HAVING count(*) = 1) ON s_nationkey = c_nationkey")
 def j6(spark, d):
-    one = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("n"), F.min("s_suppkey").alias("resolved")).where("n = 1")
-    own = F.when(F.col("c_custkey") % 4 != 0, F.col("c_custkey") % 9)
-    return table(spark, d, "customer").join(F.broadcast(one), F.col("c_nationkey") == F.col("s_nationkey"), "left").select("c_custkey", F.coalesce(own, "resolved").alias("seat"))  # 25 nations
+    rows = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("state"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_custkey") % 9).alias("seat"))
+    targets = table(spark, d, "supplier").select(F.col("s_nationkey").alias("state"), F.col("s_suppkey").alias("seat"))
+    return joins.resolved(rows, targets, ["state"], "seat", strict=False).drop("state")
 
 
 _POINTS = "(SELECT label AS grp, vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)"
@@ -274,9 +276,10 @@ def j27(spark, d):
 @query("j30_supplemented_event", "SELECT l_suppkey AS seat, CAST(DATE '1995-06-01' AS VARCHAR) AS held, count(*) AS n FROM lineitem WHERE year(l_shipdate) = 1995 AND l_suppkey <> 3 GROUP BY 1 UNION ALL SELECT l_suppkey, CAST(max(CAST(l_shipdate AS DATE)) AS VARCHAR), count(*) FROM lineitem WHERE year(l_shipdate) = 1996 AND l_suppkey = 3 GROUP BY 1")
 def j30(spark, d):
     rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("seat"), F.year("l_shipdate").alias("year"), F.to_date("l_shipdate").alias("day"))
-    event = rows.where("year = 1995 and seat <> 3").groupBy("seat").agg(F.lit("1995-06-01").alias("held"), F.count("*").alias("n"))
-    later = rows.where("year = 1996 and seat = 3").groupBy("seat").agg(F.max("day").cast("string").alias("held"), F.count("*").alias("n"))
-    return event.unionByName(later)
+    event = rows.where("year = 1995 and seat <> 3").select("seat", F.lit("1995-06-01").alias("held"))
+    others = rows.where("year > 1995").select(F.col("year").alias("dataset"), F.col("seat").alias("place"), "seat", F.lit(None).cast("string").alias("held"))
+    one = rows.where("year = 1996 and seat = 3").groupBy(F.col("year").alias("dataset"), F.col("seat").alias("place")).agg(F.max("day").cast("string").alias("held"))
+    return overlay.supplemented(event, others, one).groupBy("seat", "held").agg(F.count("*").alias("n"))
 
 
 @query("j7_without_source", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
@@ -296,14 +299,15 @@ def v3(spark, d):
 
 @query("p7_latest_coverage", "SELECT o_orderkey FROM orders WHERE o_orderdate = (SELECT max(o_orderdate) FROM orders)")
 def p7(spark, d):
-    o = table(spark, d, "orders")
-    return o.join(F.broadcast(o.agg(F.max("o_orderdate").alias("o_orderdate"))), "o_orderdate").select("o_orderkey")  # one row
+    return rollup.of_latest(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate").select("o_orderkey")
 
 
-@query("p9_excluded_corrections", "SELECT event_id FROM events WHERE NOT (user_id = 5 AND event_id % 2 = 0 AND CAST(ts AS DATE) >= DATE '2024-01-10' AND event_type <> 'click')")
+@query("p9_excluded_corrections", "SELECT event_id FROM events WHERE NOT (user_id = 5 AND event_id % 2 = 0 AND CAST(ts AS DATE) >= DATE '2024-01-10' AND event_type <> 'click') AND NOT (user_id = 7 AND event_id % 2 = 0 AND (event_type = 'view' OR event_id % 3 = 2))")
 def p9(spark, d):
-    misfiled = (F.col("user_id") == 5) & (F.col("event_id") % 2 == 0) & (F.to_date("ts") >= F.lit("2024-01-10").cast("date")) & (F.col("event_type") != "click")
-    return table(spark, d, "events").where(~misfiled).select("event_id")
+    changes = table(spark, d, "events").select("event_id", F.col("user_id").alias("seat"), (F.col("event_id") % 2).alias("position"), F.to_date("ts").alias("date"), F.concat(F.lit(" "), F.upper("event_type")).alias("party"), F.concat(F.lit("group "), F.col("event_id") % 3).alias("alliance"))
+    rules_ = [(5, 0, "2024-01-10", "click", None, None), (7, 0, None, None, "VIEW.", "Group-2")]
+    exceptions = spark.createDataFrame(rules_, "seat long, position long, from_date string, but_party string, party string, alliance string").withColumn("from_date", F.to_date("from_date"))
+    return overlay.without_misfiled(changes, exceptions).select("event_id")
 
 
 @query("p10_renamed_columns", "SELECT s_suppkey AS seat, s_name AS winner, s_nationkey AS state FROM supplier")
@@ -321,34 +325,52 @@ def p11_p12(spark, d):
 @query("p15_sections", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'postal' WHEN c_custkey % 3 = 1 THEN 'early' ELSE 'ordinary' END AS section FROM customer")
 def p15(spark, d):
     code = F.concat(F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 3 == 0, "/UP").when(F.col("c_custkey") % 3 == 1, "/00").otherwise("/01"))
-    return table(spark, d, "customer").select("c_custkey", F.when(code.endswith("/UP"), "postal").when(code.endswith("/00"), "early").otherwise("ordinary").alias("section"))
+    return table(spark, d, "customer").select("c_custkey", labels.section(code).alias("section"))
 
 
 @query("p18_uncontested_by_order", BASE + "SELECT edition, count(*) AS n FROM (SELECT edition, seat, orderkey FROM lines GROUP BY ALL HAVING count(DISTINCT candidate) = 1 AND sum(CASE WHEN flag = 'N' THEN q ELSE 0 END) = 0) GROUP BY edition")
 def p18(spark, d):
-    by = roles.lines(spark, d).groupBy(*KEYS, "orderkey").agg(F.count_distinct("candidate").alias("n"), F.sum(F.when(F.col("flag") == "N", F.col("q")).otherwise(0)).alias("valid"))
-    return by.where("n = 1 and valid = 0").groupBy("edition").agg(F.count("*").alias("n"))
+    by = roles.lines(spark, d).groupBy(*KEYS, "orderkey").agg(F.count_distinct("candidate").alias("candidates"), F.sum(F.when(F.col("flag") == "N", F.col("q")).otherwise(0)).alias("valid"))
+    return contest.uncontested(by).groupBy("edition").agg(F.count("*").alias("n"))
 
 
 @query("p19_special_voters", BASE + "SELECT seat, CAST(sum(CASE WHEN stream <= 3 THEN q ELSE 0 END) AS BIGINT) AS special FROM lines GROUP BY seat")
 def p19(spark, d):
     part = lambda k: F.sum(F.when(F.col("stream") == k, F.col("q")).otherwise(0))
     sums = roles.lines(spark, d).groupBy("seat").agg(part(1).alias("military"), part(2).alias("police"), part(3).alias("overseas"))
-    return sums.select("seat", (F.col("military") + F.col("police") + F.col("overseas")).alias("special"))
+    return sums.select("seat", rollup.special_voters(F.col("military"), F.col("police"), F.col("overseas")).alias("special"))
 
 
 @query("u7_last_value_first_place", "SELECT event_type || ' ' || CAST(user_id % 9 AS VARCHAR) AS label, max_by(user_id, event_id) AS value, min(event_id) AS place FROM events GROUP BY 1")
 def u7(spark, d):
-    e = table(spark, d, "events")
-    return e.groupBy(F.concat_ws(" ", "event_type", (F.col("user_id") % 9).cast("string")).alias("label")).agg(F.max_by("user_id", "event_id").alias("value"), F.min("event_id").alias("place"))
+    offered = table(spark, d, "events").select(F.concat_ws(" ", "event_type", (F.col("user_id") % 9).cast("string")).alias("label"), F.col("user_id").alias("value"), F.col("event_id").alias("place"))
+    return search.last_value_first_place(offered, "label", "place")
+
+
+_OFFERED = "SELECT 'NEGERI · ' || r_name AS label, 0 AS kind, CAST(r_regionkey AS BIGINT) AS x, 0 AS n, r_regionkey AS area, NULL AS feature FROM region UNION ALL SELECT 'S' || s_suppkey || ' ' || s_name || ' · ' || n_name, 1, s_suppkey, 0, n_regionkey, s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT n_name || ' · S' || s_suppkey || ' ' || s_name, 1, s_suppkey, 1, n_regionkey, s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT 'NEGERI · ' || r_name, 1, s_suppkey, 2, n_regionkey, s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey % 50 = 0"
+
+
+@query("f11_search_entries", f"SELECT label, area, feature, first_kind, first_of FROM (SELECT label, max_by(area, (kind, x, n)) AS area, max_by(coalesce(feature, -1), (kind, x, n)) AS feature, min((kind, x, n))[1] AS first_kind, min((kind, x, n))[2] AS first_of FROM ({_OFFERED}) GROUP BY label)")
+def f11(spark, d):
+    """A supplier in fifty has a term that reads like a region's own entry: the entry keeps its place and leads to the last."""
+    regions = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("area"), F.col("r_name").alias("name"))
+    nations = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    placed = table(spark, d, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    odd = F.col("s_suppkey") % 50 == 0
+    code = F.concat(F.lit("S"), F.col("s_suppkey").cast("string"))
+    results = placed.select(F.col("n_regionkey").cast("long").alias("area"), F.col("s_suppkey").cast("long").alias("feature"), code.alias("code"), F.col("s_name").alias("name"), F.col("n_name").alias("winner"), F.array("n_name", "n_name").alias("terms"))
+    plain = search.offered(regions, results)
+    clash = placed.where(odd).select(labels.place_label(F.lit("NEGERI"), F.lit(None), F.col("r_name")).alias("label"), F.struct(F.lit(1).alias("kind"), F.col("s_suppkey").cast("long").alias("of"), F.lit(2).alias("n")).alias("place"), F.col("n_regionkey").cast("long").alias("area"), F.col("s_suppkey").cast("long").alias("feature"))
+    found = search.last_value_first_place(plain.unionByName(clash), "label", "place")
+    return found.select("label", "area", F.coalesce("feature", F.lit(-1)).alias("feature"), F.col("place.kind").alias("first_kind"), F.col("place.of").alias("first_of"))
 
 
 @query("u9_normalised_tuples", "SELECT 'left' AS side, replace(n_name, '_', ' ') AS name FROM nation WHERE n_nationkey % 7 = 0 UNION ALL SELECT 'right', 'X ' || replace(n_name, '_', ' ') FROM nation WHERE n_nationkey % 7 = 0")
 def u9(spark, d):
     n = table(spark, d, "nation")
-    left = n.select(text.upper_with_spaces(F.concat(F.lit(" "), F.lower("n_name"))).alias("name"), "n_regionkey")
-    right = n.select(text.upper_with_spaces(F.when(F.col("n_nationkey") % 7 == 0, F.concat(F.lit("x-"), "n_name")).otherwise(F.col("n_name"))).alias("name"), "n_regionkey")
-    return left.exceptAll(right).select(F.lit("left").alias("side"), "name").unionByName(right.exceptAll(left).select(F.lit("right").alias("side"), "name"))
+    left = n.select(F.concat(F.lit(" "), F.lower("n_name")).alias("name"), "n_regionkey")
+    right = n.select(F.when(F.col("n_nationkey") % 7 == 0, F.concat(F.lit("x-"), "n_name")).otherwise(F.col("n_name")).alias("name"), "n_regionkey")
+    return rules.tuple_differences(left, right, ["name", "n_regionkey"]).select("side", "name")
 
 
 @query("f8_short_names", "SELECT n_name, CASE WHEN n_nationkey % 4 = 0 THEN 'N' || n_nationkey ELSE n_name END AS short, CASE WHEN n_nationkey % 4 = 0 THEN '#0000ff' ELSE '#7b8580' END AS color FROM nation")
@@ -360,25 +382,31 @@ def f8(spark, d):
     return named.withColumnRenamed("shortName", "short")
 
 
-@query("f10_number_formats", "SELECT c_custkey, format('{:,}', c_custkey * 1234) AS grouped, CASE WHEN c_custkey % 2 = 0 THEN '+' ELSE '-' END || CAST(c_custkey AS VARCHAR) AS signed, CAST(c_custkey % 100 AS VARCHAR) || '.0%' AS percent FROM customer")
+_COMPACT = "CASE " + " ".join(f"WHEN round(x / {n}, 1) < 1000 THEN regexp_replace(printf('%.1f', round(x / {n}, 1)), '\\.0$', '') || '{unit}'" for unit, n in [("", "1.0"), ("K", "1e3"), ("J", "1e6"), ("B", "1e9")]) + " ELSE regexp_replace(printf('%.1f', round(x / 1e12, 1)), '\\.0$', '') || 'T' END"
+
+
+@query("f10_number_formats", f"SELECT c_custkey, format('{{:,}}', c_custkey * 1234) AS grouped, CASE c_custkey % 3 WHEN 0 THEN '0 kerusi' WHEN 1 THEN '+' || format('{{:,}}', c_custkey) || ' kerusi' ELSE '-' || format('{{:,}}', c_custkey) || ' kerusi' END AS signed, CAST(c_custkey % 100 AS VARCHAR) || '.0%' AS percent, {_COMPACT} AS compact FROM (SELECT c_custkey, CAST(c_custkey AS DOUBLE) * c_custkey * c_custkey AS x FROM customer)")
 def f10(spark, d):
     k = F.col("c_custkey")
-    return table(spark, d, "customer").select("c_custkey", F.format_number(k * 1234, 0).alias("grouped"), F.format_string("%+d", F.when(k % 2 == 0, k).otherwise(-k)).alias("signed"), F.format_string("%.1f%%", (k % 100) / 100 * 100).alias("percent"))
+    change = F.when(k % 3 == 0, 0).when(k % 3 == 1, k).otherwise(-k)
+    cube = k.cast("double") * k * k
+    return table(spark, d, "customer").select("c_custkey", numbers.grouped(k * 1234).alias("grouped"), numbers.signed(change, suffix=" kerusi").alias("signed"), numbers.percent_text((k % 100) / 100).alias("percent"), numbers.compact(cube).alias("compact"))
 
 
-@query("n5_n6_dates", "SELECT year(min(CAST(o_orderdate AS DATE))) || '-' || year(max(CAST(o_orderdate AS DATE))) AS years, strftime(min(CAST(o_orderdate AS DATE)), '%d/%m/%Y') AS first, strftime(min(CAST(o_orderdate AS DATE)), '%Y-%m-%dT00:00:00Z') AS baseline FROM orders")
+@query("n5_n6_dates", "SELECT o_custkey, CASE WHEN year(a) = year(b) THEN CAST(year(a) AS VARCHAR) ELSE year(a) || '–' || year(b) END AS years, strftime(a, '%d ') || ['JAN','FEB','MAC','APR','MEI','JUN','JUL','OGO','SEP','OKT','NOV','DIS'][month(a)] || strftime(a, ' %Y') AS first, strftime(a, '%Y-%m-%dT00:00:00.000Z') AS baseline, strftime(b, '%Y-%m-%d') AS last FROM (SELECT o_custkey, min(CAST(o_orderdate AS DATE)) AS a, max(CAST(o_orderdate AS DATE)) AS b FROM orders GROUP BY o_custkey)")
 def n5_n6(spark, d):
     day = F.to_date("o_orderdate")
-    ends = table(spark, d, "orders").agg(F.min(day).alias("a"), F.max(day).alias("b"))
-    return ends.select(F.concat_ws("-", F.year("a").cast("string"), F.year("b").cast("string")).alias("years"), F.date_format("a", "dd/MM/yyyy").alias("first"), F.date_format(F.to_timestamp("a"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("baseline"))
+    ends = table(spark, d, "orders").groupBy("o_custkey").agg(F.min(day).alias("a"), F.max(day).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    return ends.select("o_custkey", labels.year_range(a, b).alias("years"), labels.day_label(a).alias("first"), labels.baseline(a).alias("baseline"), labels.iso_date(b).alias("last"))
 
 
 @query("n12_multisets", BASE + "SELECT edition, seat, list_sort(list(votes)) = list_sort(list(votes + CASE WHEN seat % 3 = 0 AND position = 1 THEN 1 ELSE 0 END)) AS equal FROM ranked GROUP BY edition, seat")
 def n12(spark, d):
     ranked = roles.ranked(spark, d)
     off = F.when((F.col("seat") % 3 == 0) & (F.col("position") == 1), 1).otherwise(0)
-    both = ranked.groupBy(*KEYS).agg(F.array_sort(F.collect_list("votes")).alias("a"), F.array_sort(F.collect_list(F.col("votes") + off)).alias("b"))
-    return both.select(*KEYS, (F.col("a") == F.col("b")).alias("equal"))
+    both = ranked.groupBy(*KEYS).agg(F.collect_list("votes").alias("a"), F.collect_list(F.col("votes") + off).alias("b"))
+    return both.select(*KEYS, numbers.same_values(F.col("a"), F.col("b")).alias("equal"))
 
 
 @query("n15_tag_of_payload", "SELECT s_suppkey, sha256('{\"s_suppkey\":' || CAST(s_suppkey AS VARCHAR) || ',\"s_name\":\"' || s_name || '\"}') AS etag FROM supplier")
