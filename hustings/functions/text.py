@@ -64,10 +64,24 @@ def strip_marks(x: Column) -> Column:
     return _folded(x, _unmarked, MARKS, hangul=True)
 
 
+def _compared(a: str, b: str) -> float:
+    return difflib.SequenceMatcher(None, a, b).ratio()
+
+
+#: Pairs of short texts come again and again, as names do; a task keeps so many of the last ones.
+_kept = functools.lru_cache(1 << 16)(_compared)
+SHORT = 256
+
+
+def ratio(a: str, b: str) -> float:
+    """Ratcliff-Obershelp ratio of two texts."""
+    return _kept(a, b) if len(a) + len(b) <= SHORT else _compared(a, b)
+
+
 @F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two texts."""
-    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def upper_with_spaces(x: Column) -> Column:

@@ -25,3 +25,14 @@ def test_pairs_in_range_doesnt_pair_copies_one_by_one(spark):
     start = time.monotonic()
     assert match.pairs_in_range(copies.unionByName(others), "grp", 4.3, 5.0, 6).count() == 400_000
     assert time.monotonic() - start < 60
+
+
+def test_a_pair_of_short_names_is_compared_once(monkeypatch):
+    from hustings.functions import text
+
+    asked = []
+    monkeypatch.setattr(text.difflib, "SequenceMatcher", lambda _, a, b: asked.append((a, b)) or __import__("types").SimpleNamespace(ratio=lambda: 0.5))
+    text._kept.cache_clear()
+    assert [text.ratio("once", "twice") for _ in range(50)] == [0.5] * 50 and len(asked) == 1
+    assert [text.ratio("x" * 300, "y") for _ in range(3)] == [0.5] * 3 and len(asked) == 4  # long texts aren't kept
+    text._kept.cache_clear()
