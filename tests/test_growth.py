@@ -36,3 +36,27 @@ def test_a_pair_of_short_names_is_compared_once(monkeypatch):
     assert [text.ratio("once", "twice") for _ in range(50)] == [0.5] * 50 and len(asked) == 1
     assert [text.ratio("x" * 300, "y") for _ in range(3)] == [0.5] * 3 and len(asked) == 4  # long texts aren't kept
     text._kept.cache_clear()
+
+
+def test_many_contests_are_assigned_at_once_and_names_compared_once(monkeypatch):
+    import itertools
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    cost = rng.integers(0, 30, (60, 4, 5)).astype(float)
+    chosen = match.best_assignments(cost)
+    for one, own in zip(cost, chosen, strict=True):
+        assert len(set(own)) == 4 and one[range(4), own].sum() == min(one[range(4), list(p)].sum() for p in itertools.permutations(range(5), 4))
+    asked = []
+    monkeypatch.setattr(match, "ratio", lambda a, b: asked.append((a, b)) or float(len(a) + len(b)))
+    lists = lambda *sizes: pa.array([["n%d" % (k % 3) for k in range(n)] for n in sizes])
+    left, right = lists(4, 2, 4, 1).slice(1), lists(5, 5, 5, 2).slice(1)
+    like = match._alike(left.flatten(), right.flatten())
+    seen = {(r, c) for i, j in match._shapes(left, right) for k in range(len(i)) for r in i[k] for c in j[k] if (like(i, j[:, :1]) == 4).all()}
+    assert seen == {(r, c) for r in range(2) for c in range(5)} | {(r, c) for r in range(2, 6) for c in range(5, 10)} | {(6, c) for c in (10, 11)}
+    asked.clear()
+    many = pa.array(["a", "b", None] * 1000)
+    got = match._alike(many, many)(np.arange(3000)[:, None], np.arange(300)[None, :])
+    assert sorted(asked) == [("a", "a"), ("a", "b"), ("b", "a"), ("b", "b")] and np.isnan(got).sum() == 3000 * 300 - 2000 * 200
