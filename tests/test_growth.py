@@ -60,3 +60,13 @@ def test_many_contests_are_assigned_at_once_and_names_compared_once(monkeypatch)
     many = pa.array(["a", "b", None] * 1000)
     got = match._alike(many, many)(np.arange(3000)[:, None], np.arange(300)[None, :])
     assert sorted(asked) == [("a", "a"), ("a", "b"), ("b", "a"), ("b", "b")] and np.isnan(got).sum() == 3000 * 300 - 2000 * 200
+
+
+def test_fuzzy_match_keeps_columns_and_missing_values(spark):
+    rows = spark.createDataFrame([("c", 1, "ALI", 5, "x"), ("c", 2, None, 9, "y"), ("c", 3, "SITI", None, "z"), (None, 4, "ALI", 5, "w"), ("d", 5, "ALI", 5, "v")], "k string, row int, name string, votes int, note string")
+    candidates = spark.createDataFrame([("c", "p", "SITI", 5), ("c", "q", "ALI", None), ("c", "r", None, 6), (None, "s", "ALI", 5)], "k string, candidate_id string, name string, votes int")
+    df = match.fuzzy_match(rows, candidates, "k")
+    assert df.columns == ["k", "row", "name", "votes", "note", "candidate_id", "ratio"]
+    assert "Window" not in df._jdf.queryExecution().toString()  # pairs aren't sorted
+    got = {r["row"]: (r.candidate_id, r.note, r.ratio) for r in df.collect()}
+    assert got == {1: ("p", "x", got[1][2]), 2: ("p", "y", None), 3: ("p", "z", 1.0)} and 0 < got[1][2] < 1
