@@ -36,13 +36,20 @@ def _tables(rule: Callable[[str], str]) -> tuple[str, str, dict[str, str]]:
 
 
 def _folded(x: Column, rule: Callable[[str], str], dropped: str, hangul: bool = False) -> Column:
-    """Each character by the rule, then without the dropped ones, all in the JVM. ASCII stays as it is; characters that
-    become several are rare and cost a pass over the letters."""
+    """Each character by the rule, then without the dropped ones, all in the JVM. ASCII stays as it is; only texts with
+    characters that become several are cut into runs of ASCII and single characters. Which they are is looked up in a
+    table: a class of hundreds of characters would be tried one by one at every letter."""
     keys, values, several = _tables(rule)
     table = F.from_json(F.lit(json.dumps(several)), "map<string,string>")  # a constant when the plan is made
-    other = lambda c: F.coalesce(F.try_element_at(table, c), F.when(c.rlike(HANGUL), _jamo(c)), c) if hangul else F.coalesce(F.try_element_at(table, c), c)
-    found = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in several) + (HANGUL[1:-1] if hangul else "") + "]"
-    spread = F.when(x.rlike(found), F.array_join(F.transform(F.split(x, ""), other), "")).otherwise(x)
+    listed = "".join(several)
+    found = F.translate(x, listed, "") != x
+    other = lambda c: F.when(F.ascii(c) < 128, c).when(F.translate(c, listed, "") == "", F.try_element_at(table, c))
+    whole = other
+    if hangul:
+        found = found | x.rlike(HANGUL)
+        whole = lambda c: other(c).when(F.ascii(c).between(0xAC00, 0xD7A3), _jamo(c))
+    pieces = F.regexp_extract_all(x, F.lit(r"[\x00-\x7F]+|[^\x00-\x7F]"), F.lit(0))
+    spread = F.when(found, F.array_join(F.transform(pieces, lambda c: whole(c).otherwise(c)), "")).otherwise(x)
     return F.when(x.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(spread, keys, values), dropped, "")).otherwise(x)
 
 

@@ -70,3 +70,20 @@ def test_fuzzy_match_keeps_columns_and_missing_values(spark):
     assert "Window" not in df._jdf.queryExecution().toString()  # pairs aren't sorted
     got = {r["row"]: (r.candidate_id, r.note, r.ratio) for r in df.collect()}
     assert got == {1: ("p", "x", got[1][2]), 2: ("p", "y", None), 3: ("p", "z", 1.0)} and 0 < got[1][2] < 1
+
+
+def test_folding_has_no_class_of_all_characters_and_equals_unicodedata(spark):
+    import unicodedata
+
+    from hustings.functions import text
+
+    several = "".join({**text._tables(text._ascii)[2], **text._tables(text._unmarked)[2]})
+    texts = [several, "plain", "a½b́\nﬁn", "각한글 가x", "\U00100000\U00100001½", "", None, "Île " + "x" * 500 + "㎏", "日本語が"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.fold_ascii(F.col("t")).alias("a"), text.strip_marks(F.col("t")).alias("m"))
+    assert "\\x{BC}" not in df._jdf.queryExecution().toString()  # tried one by one at every letter
+    for r in df.collect():
+        if r.t is not None:
+            assert r.a == unicodedata.normalize("NFKD", r.t).encode("ascii", "ignore").decode()
+            assert r.m == "".join(c for x in r.t for c in unicodedata.normalize("NFD", x) if not "̀" <= c <= "ͯ")
+        else:
+            assert r.a is None and r.m is None
