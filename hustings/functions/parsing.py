@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 NUMBER = r"\d[\d,]*"
 
@@ -54,22 +52,21 @@ def date_in(x: Column) -> Column:
     return F.try_to_date(F.nullif(F.regexp_extract(x, r"(\d{8})", 1), F.lit("")), "yyyyMMdd")
 
 
-@F.pandas_udf(StringType())
-def collapse_overlay(texts: pd.Series) -> pd.Series:
-    """Text printed twice over itself: a repeated half of the lines goes, equal neighbours go, aabbcc becomes abc."""
+#: A word of two or more letters, each printed twice.
+DOUBLED = r"(?s)^(?=...)(?:(.)\1)++\z"
+
 
-    def one(text: str | None) -> str | None:
-        if text is None:
-            return None
-        lines = text.split("\n")
-        half = len(lines) // 2
-        if half and len(lines) % 2 == 0 and lines[:half] == lines[half:]:
-            lines = lines[:half]
-        lines = [x for k, x in enumerate(lines) if k == 0 or x != lines[k - 1]]
-        single = lambda w: w[::2] if len(w) > 2 and len(w) % 2 == 0 and w[::2] == w[1::2] else w
-        return "\n".join(" ".join(map(single, x.split(" "))) for x in lines)
-
-    return texts.map(one)
+def collapse_overlay(x: Column) -> Column:
+    """Text printed twice over itself: a repeated half of the lines goes, equal neighbours go, aabbcc becomes abc."""
+    lines = F.split(x, "\n", -1)
+    half = F.floor(F.size(lines) / 2).cast("int")
+    first = F.slice(lines, F.lit(1), half)
+    once = F.when((half > 0) & (F.size(lines) % 2 == 0) & (first == F.slice(lines, half + 1, half)), first).otherwise(lines)
+    single = lambda w: F.when(w.rlike(DOUBLED), F.regexp_replace(w, r"(?s)(.)\1", "$1")).otherwise(w)
+    spelt = lambda line: F.when(line.rlike(r"([^ ])\1([^ ])\2"), F.array_join(F.transform(F.split(line, " ", -1), single), " ")).otherwise(line)
+    pairs = F.arrays_zip(once.alias("own"), F.concat(F.array(F.lit(None).cast("string")), once).alias("last"))
+    kept = F.filter(pairs, lambda p: p["own"].isNotNull() & ~p["own"].eqNullSafe(p["last"]))
+    return F.when(x.isNotNull(), F.array_join(F.transform(kept, lambda p: spelt(p["own"])), "\n"))
 
 
 def balanced_groups(numbers: Column, width: int, most: int = 2) -> Column:

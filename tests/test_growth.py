@@ -87,3 +87,23 @@ def test_folding_has_no_class_of_all_characters_and_equals_unicodedata(spark):
             assert r.m == "".join(c for x in r.t for c in unicodedata.normalize("NFD", x) if not "̀" <= c <= "ͯ")
         else:
             assert r.a is None and r.m is None
+
+
+def test_overlays_collapse_without_python_and_equal_a_plain_loop(spark):
+    from hustings.functions import parsing
+
+    def plain(text):
+        lines = text.split("\n")
+        half = len(lines) // 2
+        if half and len(lines) % 2 == 0 and lines[:half] == lines[half:]:
+            lines = lines[:half]
+        lines = [x for k, x in enumerate(lines) if k == 0 or x != lines[k - 1]]
+        single = lambda w: w[::2] if len(w) > 2 and len(w) % 2 == 0 and w[::2] == w[1::2] else w
+        return "\n".join(" ".join(map(single, x.split(" "))) for x in lines)
+
+    rng = random.Random(2)
+    texts = ["", "\n", "\n\n", "aa", "aaaa", "aabbcc xx", "ééßß😀😀 x", "aab\r\r \r\raa", "$$\\\\ $$$$", "aabb\n", " aabb  aabb ", "a" * 40001, "ab" * 30000, "aabb" * 20000, None]
+    texts += ["".join(rng.choice(["aa", "bb", "a", " ", "\n", "\n\n", "  ", "\t\t"]) for _ in range(rng.randrange(14))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", parsing.collapse_overlay(F.col("t")).alias("c"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [r.c for r in df.collect()] == [None if t is None else plain(t) for t in texts]
