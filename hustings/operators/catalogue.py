@@ -23,32 +23,35 @@ def judged(edits: DataFrame, normalise=lower_no_spaces) -> DataFrame:
     rows = edits.select("ordinal", "id", "action", name.alias("name"), normalise(name).alias("norm"))
     plain = F.when(F.col("id").isNull() | ~F.coalesce(F.col("action").isin("save", "delete"), F.lit(False)), "invalid").when((F.col("action") == "save") & (F.coalesce("norm", F.lit("")) == ""), "name_required")
     rows = cut(rows.withColumn("fault", plain))
-    now = rows.withColumn("why", F.col("fault"))
+    now = rows.where("fault is null").select("ordinal", "id", "norm", (F.col("action") == "save").alias("saves"), F.lit(True).alias("stands"))
     while True:
         after = cut(_judge(now))
-        if after.where(~F.col("why").eqNullSafe(F.col("before"))).isEmpty():
-            return after.select("ordinal", "id", "action", "name", F.col("why").isNull().alias("stands"), F.col("why").alias("reason"))
+        if after.where("stands <> before").isEmpty():
+            break
         now = after.drop("before")
+    refused = after.where("not stands").select("ordinal", F.when(F.col("saves"), "name_exists").otherwise("not_found").alias("why"))
+    why = F.coalesce("fault", "why")
+    return rows.join(refused, "ordinal", "left").select("ordinal", "id", "action", "name", why.isNull().alias("stands"), why.alias("reason"))
 
 
 def _judge(edits: DataFrame) -> DataFrame:
-    """One round: why an edit doesn't stand, given which ones stood before."""
-    stood = edits.where("why is null")
-    own = Window.partitionBy("id").orderBy("ordinal")
-    spans = stood.withColumns({"ends": F.lead("ordinal").over(own), "ours": F.lag("action").over(own)})
-    # What an item holds from its standing save on until its next standing edit.
-    kept = spans.where("action = 'save'").select("id", "norm", F.col("ordinal").alias("at"), "ends")
-    steps = kept.select("id", "norm", "at", F.lit(1).alias("step")).unionByName(kept.where("ends is not null").select("id", "norm", F.col("ends").alias("at"), F.lit(-1).alias("step")))
-    asks = edits.where("fault is null and action = 'save'").select("id", "norm", F.col("ordinal").alias("at"), F.lit(0).alias("step"), F.lit(True).alias("asks"))
-    line = steps.withColumn("asks", F.lit(False)).unionByName(asks)
+    """One round: which edits stand, given which ones stood before. Edits go once by item and the saves once by name;
+    what a save needs to know of its item goes along with it."""
+    own = Window.partitionBy("id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy("id").orderBy(F.desc("ordinal")).rowsBetween(Window.unboundedPreceding, -1)
+    # An item is there if the last standing edit before was a save; a save holds its name until the next standing edit.
+    there = F.last(F.when(F.col("stands"), F.col("saves")), ignorenulls=True).over(own)
+    ends = F.last(F.when(F.col("stands"), F.col("ordinal")), ignorenulls=True).over(back)
+    seen = edits.withColumns({"there": F.coalesce(there, F.lit(False)), "ends": ends})
+    deletes = seen.where("not saves").select("ordinal", "id", "norm", "saves", F.col("there").alias("stands"), F.col("stands").alias("before"))
+    start = F.struct(F.col("ordinal").alias("at"), F.col("stands").cast("int").alias("step"), F.lit(True).alias("asks"))
+    end = F.when(F.col("stands") & F.col("ends").isNotNull(), F.struct(F.col("ends").alias("at"), F.lit(-1).alias("step"), F.lit(False).alias("asks")))
+    saves = seen.where("saves").select("ordinal", "id", "norm", "stands", "ends").repartition("norm")
+    line = saves.select("ordinal", "id", "norm", "stands", F.explode(F.array_compact(F.array(start, end))).alias("x")).select("ordinal", "id", "norm", "stands", "x.*")
     # Holders just before the edit: steps at earlier ordinals only.
     before = lambda *by: F.coalesce(F.sum("step").over(Window.partitionBy(*by).orderBy("at").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    taken = line.withColumn("others", before("norm") - before("norm", "id")).where("asks").select(F.col("at").alias("ordinal"), (F.col("others") > 0).alias("taken"))
-    # An item is there if the last standing edit before was a save.
-    seen = F.last(F.when(F.col("why").isNull(), F.col("action")), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1))
-    joined = edits.withColumn("last", F.when(F.col("fault").isNull(), seen)).join(taken, "ordinal", "left")
-    why = F.coalesce(F.col("fault"), F.when(F.col("taken"), "name_exists").when((F.col("action") == "delete") & ~F.col("last").eqNullSafe(F.lit("save")), "not_found"))
-    return joined.withColumn("before", F.col("why")).withColumn("why", why).select("ordinal", "id", "action", "name", "norm", "fault", "why", "before")
+    held = line.withColumn("all", before("norm")).withColumn("ours", before("norm", "id")).where("asks")
+    return deletes.unionByName(held.select("ordinal", "id", "norm", F.lit(True).alias("saves"), (F.col("all") == F.col("ours")).alias("stands"), F.col("stands").alias("before")))
 
 
 def catalogue(edits: DataFrame, normalise=lower_no_spaces) -> tuple[DataFrame, DataFrame]:
