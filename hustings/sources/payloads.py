@@ -43,9 +43,11 @@ def _root(text: Column) -> Column:
 def lists(texts: DataFrame, element: str | StructType, wrapper: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(elements, issues) of texts (path, text) that are lists, or objects with the list under the wrapper's name.
 
-    elements: path, ordinal from 0, element (null if it isn't an object). A text that isn't JSON, or whose root is another, is one issue."""
+    A list too long for one text may come in parts: with a column `first`, its place in the list is added to each
+    element's. elements: path, ordinal from 0, element (null if it isn't an object). A text that isn't JSON, or whose root is another, is one issue."""
     kind = element.simpleString() if isinstance(element, StructType) else f"struct<{element}>" if not element.lower().startswith("struct<") else element
-    rows = texts.select("path", "text", _root(F.col("text")).alias("root"))
+    first = F.col("first") if "first" in texts.columns else F.lit(0)
+    rows = texts.select("path", "text", first.cast("int").alias("first"), _root(F.col("text")).alias("root"))
     bare = F.from_json("text", "array<string>")  # each element's own text, so that one at fault doesn't take the others along
     if wrapper is None:
         held, fault = F.when(F.col("root") == "list", bare), "not_a_list"
@@ -54,7 +56,7 @@ def lists(texts: DataFrame, element: str | StructType, wrapper: str | None = Non
         held, fault = F.when(F.col("root") == "list", bare).when(F.col("root") == "object", inside), f"no_list_{wrapper}"
     rows = rows.withColumn("held", held)
     one = F.when(F.substring("one", 1, 1) == "{", F.from_json("one", kind))
-    elements = rows.where("held is not null").select("path", F.posexplode("held").alias("ordinal", "one")).select("path", "ordinal", one.alias("element"))
+    elements = rows.where("held is not null").select("path", "first", F.posexplode("held").alias("at", "one")).select("path", (F.col("first") + F.col("at")).alias("ordinal"), one.alias("element"))
     reason = F.when(F.col("root").isNull(), "not_json").otherwise(fault)
     issues = rows.where("held is null").select("path", F.lit(None).cast("int").alias("ordinal"), F.lit(None).cast("string").alias("field"), reason.alias("reason"))
     return elements, issues

@@ -107,3 +107,12 @@ def test_overlays_collapse_without_python_and_equal_a_plain_loop(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", parsing.collapse_overlay(F.col("t")).alias("c"))
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
     assert [r.c for r in df.collect()] == [None if t is None else plain(t) for t in texts]
+
+
+def test_a_long_list_comes_in_parts(spark):
+    from hustings.sources import payloads
+
+    texts = [("p", 0, '[{"id": "a"}, {"id": "b"}]'), ("p", 2, '{"changes": [{"id": "c"}, 7]}'), ("q", 0, "[1")]
+    elements, issues = payloads.lists(spark.createDataFrame(texts, "path string, first bigint, text string"), "id string", "changes")
+    assert sorted((r.ordinal, r.element and r.element.id) for r in elements.collect()) == [(0, "a"), (1, "b"), (2, "c"), (3, None)]
+    assert [(r.path, r.reason) for r in issues.collect()] == [("q", "not_json")]
