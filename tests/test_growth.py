@@ -116,3 +116,28 @@ def test_a_long_list_comes_in_parts(spark):
     elements, issues = payloads.lists(spark.createDataFrame(texts, "path string, first bigint, text string"), "id string", "changes")
     assert sorted((r.ordinal, r.element and r.element.id) for r in elements.collect()) == [(0, "a"), (1, "b"), (2, "c"), (3, None)]
     assert [(r.path, r.reason) for r in issues.collect()] == [("q", "not_json")]
+
+
+def test_the_normalised_forms_share_one_fold_without_patterns_between_words(spark):
+    import re
+    import unicodedata
+
+    from hustings.functions import text
+
+    forms = {"upper": text.upper_with_spaces, "upper_packed": text.upper_no_spaces, "lower": text.lower_with_spaces, "packed": text.lower_no_spaces, "slug": text.slug}
+    rng = random.Random(7)
+    texts = ["", " ", "--", "<>", "><<>> <b>x</b>", "a<>b><c", "\x00a\x00\x7f\x00b", "a\n\r\n\tb\n", "É—è  d'Île", "a日b 日", "½ﬁ", "\U0002f800\U0002fa1dx", "\U0001d400 😀", "W.P. 12"]
+    texts += ["".join(rng.choice(["a", "Z", "9", " ", "  ", "<", ">", "-", "\n", "é", "ß", "日", "½", "각", "\U0002f801", "_"]) for _ in range(rng.randrange(30))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts + [None]], "t string").select("t", *[f(F.col("t")).alias(k) for k, f in forms.items()], text.strip_marks(F.col("t")).alias("marks"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE(t, [^" not in plan and "[^A-Z0-9]+" not in plan and "[^a-z0-9]+" not in plan  # one pattern after the other over every text
+    for r in df.collect():
+        if r.t is None:
+            assert set(r) == {None}
+            continue
+        words = re.findall("[a-z0-9]+", unicodedata.normalize("NFKD", r.t).encode("ascii", "ignore").decode().lower())
+        want = {"upper": " ".join(words).upper(), "upper_packed": "".join(words).upper(), "lower": " ".join(words), "packed": "".join(words), "slug": "-".join(words)}
+        assert {k: r[k] for k in want} == want, r.t
+        assert r.marks == "".join(c for x in r.t for c in unicodedata.normalize("NFD", x) if not "̀" <= c <= "ͯ")
+    broken = spark.range(1).select(F.unhex(F.lit("61804220C3A9")).cast("string").alias("t")).select(text.upper_with_spaces(F.col("t")).alias("u"))
+    assert broken.collect()[0].u == "AB E"  # a byte that is no UTF-8 is no letter
