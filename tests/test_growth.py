@@ -27,6 +27,19 @@ def test_pairs_in_range_doesnt_pair_copies_one_by_one(spark):
     assert time.monotonic() - start < 60
 
 
+def test_pairs_in_range_spreads_crowded_places_over_tasks_and_passes_rows_on_list_by_list(spark):
+    """Two places of 2500 segments: once all pairs were one task's, and a pair of lists (10^6 rows) was held as a whole."""
+    segments = spark.range(5000).select(F.lit(1).alias("grp"), F.when(F.col("id") < 4999, F.col("id")).alias("id"), (F.col("id") % 2 * 4.5).alias("top"), F.lit(0.0).alias("cx"))
+    pairs = match.pairs_in_range(segments, "grp", 4.3, 5.0, 6)
+    tasks = pairs.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"), F.count("below").alias("known"), F.sum("id").alias("ids"), F.sum("below").alias("belows"))
+    rows = tasks.collect()
+    assert [sum(r[k] for r in rows) for k in ("n", "known", "ids", "belows")] == [2500 * 2500, 2500 * 2499, 2500 * sum(range(0, 5000, 2)), 2500 * sum(range(1, 4999, 2))]
+    assert len(rows) > 3  # of nine pairs of lists
+    plan = tasks._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    steps = [x.split("Generate")[0] for x in plan.splitlines() if any(f"Generate explode({y}ids#" in x for y in ("_", "", "transform("))]
+    assert len(steps) == 2 and "*(" in steps[0] and "*(" not in steps[1]  # only the inner loop is part of a generated one
+
+
 def test_a_pair_of_short_names_is_compared_once(monkeypatch):
     from hustings.functions import text
 
